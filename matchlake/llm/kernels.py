@@ -35,6 +35,7 @@ def stream(n: int, seed: int) -> np.ndarray:
 
 _PLACE = stream(4096, 2) | _U(1)
 _STEP = stream(64, 3) | _U(1)
+_BYTE_STREAM = stream(16, 4) | _U(1)
 
 
 class Words:
