@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, decontaminate, token_counts, toxicity
+from matchlake.llm import bpe, decontaminate, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes from every document the words inside 35-word windows that occur anywhere else."""
+    return substring_dedup.digests(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts, op8_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
