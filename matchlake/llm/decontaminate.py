@@ -127,10 +127,10 @@ class SuffixArray:
         return length
 
 
-def _shards(at: np.ndarray) -> Iterator[tuple[int, int]]:
+def _shards(at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     lo = 0
     while lo < len(at) - 1:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SHARD, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
         yield lo, hi
         lo = hi
 
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
         for b in batches:
             words, at = ALNUM.hashes(*flat(b.column(text)))
             n_hit, ids, spans = [], [], []
-            for lo, hi in _shards(at):
+            for lo, hi in _shards(at, SHARD):
                 base = at[lo]
                 a, i, s = judged(words[base : at[hi]], at[lo : hi + 1] - base)
                 n_hit.append(a)
@@ -210,7 +210,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: st
         for b in batches:
             words, at = ALNUM.hashes(*flat(b.column(text)))
             keep = np.ones(len(at) - 1, bool)
-            for lo, hi in _shards(at):
+            for lo, hi in _shards(at, SHARD):
                 array = SuffixArray(words[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 for block in blocks:
                     _, d = array.matches(block.value)

@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, decontaminate, substring_dedup, token_counts, toxicity
+from matchlake.llm import bpe, decontaminate, ngram_join, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more."""
+    return ngram_join.join(_read(spark, sf_dir, "documents"))
+
+
 def _fold(n: int):
     """crc32 of doc_id as text, modulo n."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -51,7 +56,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts, op8_substring_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts, op8_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -45,11 +45,11 @@ WINDOW, GROUP = 35, 1 << 20
 _KEY, _FOUND = "_dedup_key", "_dedup_found"
 
 
-def _groups(words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """Whole documents of about GROUP words: words, offsets, first and last document."""
+def _groups(words: np.ndarray, at: np.ndarray, group: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Whole documents of about `group` words: words, offsets, first and last document."""
     lo = 0
     while lo < len(at) - 1:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + GROUP, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + group, "right")) - 1)
         yield words[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], lo, hi
         lo = hi
 
@@ -126,7 +126,7 @@ def _repeated_anchors(docs: DataFrame, text: str, window: int, buckets: int) ->
         for b in batches:
             words, at = PLAIN.hashes(*flat(b.column(text)))
             keys = b.column(_KEY).to_numpy(zero_copy_only=False)
-            for w, o, lo, hi in _groups(words, at):
+            for w, o, lo, hi in _groups(words, at, GROUP):
                 value, doc = _anchors(w, o, window)
                 if not len(value):
                     continue
@@ -163,7 +163,7 @@ def _repeated_edges(docs: DataFrame, text: str, window: int, buckets: int) -> Da
             column = b.column(_FOUND)
             found, ends = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
             ends = ends - ends[0]
-            for w, o, lo, hi in _groups(words, at):
+            for w, o, lo, hi in _groups(words, at, GROUP):
                 _, anchor, valid, doc = _windows(w, o, window)
                 if not len(anchor):
                     continue
