@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, decontaminate, ngram_join, substring_dedup, token_counts, toxicity
+from matchlake.llm import bpe, cover_tree, decontaminate, ngram_join, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_read(spark, sf_dir, "documents"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors with a cosine of 0.95 or more."""
+    return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts, op8_substring_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts, op8_substring_dedup, op10_cover_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
