@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, cover_tree, decontaminate, ngram_join, substring_dedup, token_counts, toxicity
+from matchlake.llm import bpe, cover_tree, decontaminate, ngram_join, quality, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of op1: verdict, and host and path.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page's url by the rules, else by its host's propagated trust and distrust."""
+    return url_filter.judge(_read(spark, sf_dir, "pages"), RULES)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more."""
     return ngram_join.join(_read(spark, sf_dir, "documents"))
@@ -55,13 +64,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document's quality; the rows with a fold of 2 are not learnt from."""
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"), _fold(4) != 2)
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all vectors with a cosine of 0.95 or more."""
     return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts, op8_substring_dedup, op10_cover_tree)}
+    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
