@@ -1,18 +1,68 @@
-"""A corpus cleaning pipeline of the corpus operators."""
+"""A corpus cleaning pipeline: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from matchlake.llm import bpe, decontaminate, ngram_join, substring_dedup, toxicity
+from matchlake.llm.tables import saved, text_key
 
-#: The stages score text and follow iterative links, which SQL can't express.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity score, learnt from the labelled documents of this input, is TOXIC or more."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    kept = toxicity.score(docs, model, docs.columns).where(F.col("toxic_score") < TOXIC)
+    return kept.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each component of near copies, once, and all without doc_id."""
+    firsts = ngram_join.join(docs).where("component_id = doc_id").select("doc_id").distinct()
+    kept = docs.join(firsts, "doc_id", "left_semi").withColumn("_text_key", text_key(F.col("text"))).dropDuplicates(["doc_id", "_text_key"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 35 words and more that repeat out of the texts; all documents stay."""
+    return _measured(substring_dedup.remove_repeats(docs))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of ten words of the benchmark."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds each text's token ids."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where documents have the column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("byte-level BPE", tokenize),
+]
+
+#: The stages fit models and follow links, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the documents of sf_dir."""
+    """All stages over the documents of sf_dir; each stage's result is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, cover_tree, decontaminate, ngram_join, quality, substring_dedup, token_counts, toxicity, url_filter
+from matchlake.llm import bpe, cover_tree, decontaminate, html_wrapper, ngram_join, quality, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_wrapper.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the tokens of every document; over_limit: more than 1024."""
     counts = token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -78,7 +83,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree)}
+    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op6_html_wrapper, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
