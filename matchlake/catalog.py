@@ -5,20 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from matchlake.plans import tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+MODULES = (tracking,)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and value by event type."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("n_events"))
+    """Consolidated statistics of every player of every game."""
+    return tracking.QUERIES["player_consolidation"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
