@@ -33,7 +33,7 @@ from matchlake.llm.kernels import LOWER, _PLACE, _STEP, flat, mix, stream
 from matchlake.llm.tables import bounded
 
 BUCKETS, SMOOTH, FIT_ROWS, EPOCHS, COST = 1 << 18, 1.0, 20_000, 12, 1.0
-GROUP = 1 << 20
+GROUP = 1 << 17
 _U = np.uint64
 #: Shape of each byte: capital, small, digit, beyond ASCII, or itself.
 _SHAPE = np.arange(256)
@@ -57,7 +57,7 @@ def features(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 def _features(data, word, first, last, off) -> list[np.ndarray]:
     n = len(word)
     if not n:
-        return [np.zeros(0, np.int64)] * (len(off) - 1)
+        return [np.zeros(0, np.int32)] * (len(off) - 1)
     base = int(first[0])
     b = _SHAPE[data[base : last[-1]]]
     start, end = first - base, last - base
@@ -90,7 +90,8 @@ def _features(data, word, first, last, off) -> list[np.ndarray]:
     doc = np.searchsorted(off, np.concatenate(owner), "right") - 1
     pair = np.unique(doc * BUCKETS + bucket)
     cut = np.searchsorted(pair, np.arange(len(off)) * BUCKETS)
-    return [pair[x:y] & (BUCKETS - 1) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    values = (pair & (BUCKETS - 1)).astype(np.int32)
+    return [values[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 @dataclass
@@ -159,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
         for b in batches:
             y = b.column("_label").to_numpy(zero_copy_only=False)
             fs = features(*flat(b.column("_text")))
-            both = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(f for f, v in zip(fs, y, strict=True) if v == k)]), minlength=BUCKETS) for k in (1, 0)]
+            both = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(f for f, v in zip(fs, y, strict=True) if v == k)]), minlength=BUCKETS) for k in (1, 0)]
             at = np.flatnonzero(both[0] + both[1])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0][at]), pa.array(both[1][at])], names=["bucket", "p", "q"])
 
