@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.plans import rollups, scoring, tracking
+from matchlake.plans import detection, rollups, scoring, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-MODULES = (tracking, scoring, rollups)
+MODULES = (tracking, scoring, rollups, detection)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,8 +92,9 @@ def zone_cell(x: Column, y: Column, half: float = 9.0, depth: float = 4.5, colum
 
 
 def speed_label(speed: Column, real: Column) -> Column:
-    """km/h of real speeds in m/s, else pixels per second."""
-    return F.when(real, F.format_string("%.1f km/h", speed * 3.6)).otherwise(F.format_string("%.1f px/s", speed))
+    """Whole km/h of real speeds in m/s, else pixels per second, halves to even."""
+    whole = lambda v: F.bround(v, 0).cast("long")
+    return F.when(real, F.format_string("%d km/h", whole(speed * 3.6))).otherwise(F.format_string("%d px/s", whole(speed)))
 
 
 def weighted_score(factors: dict[str, Column], weights: dict[str, float]) -> Column:
