@@ -170,9 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_label"), pa.array(fs, pa.binary())], names=["_key", "label", "f"])
 
     rows = texts.join(bounded(marked), "_key")
-    found = rows.select("_label", "_text").mapInArrow(count, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toPandas()
+    found = rows.select("_label", "_text").mapInArrow(count, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
     p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    p[found["bucket"]], q[found["bucket"]] = found["p"], found["q"]
+    at = found.column("bucket").to_numpy()
+    p[at], q[at] = found.column("p").to_numpy(), found.column("q").to_numpy()
     by = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
     ratio = np.log((SMOOTH + p) / (SMOOTH + p).sum()) - np.log((SMOOTH + q) / (SMOOTH + q).sum())
     model = Model(np.zeros(BUCKETS), ratio, 0.0, (by.get(0, 0), by.get(1, 0)))
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
         chosen = marked.orderBy(F.xxhash64("_key"), "_key").limit(fit_rows)
         rows = texts.join(bounded(chosen), "_key")
     kind = docs.schema[key].dataType
-    seen = rows.select("_key", "_label", "_text").mapInArrow(listed, T.StructType([T.StructField("_key", kind), T.StructField("label", T.IntegerType()), T.StructField("f", T.BinaryType())])).toPandas()
+    seen = rows.select("_key", "_label", "_text").mapInArrow(listed, T.StructType([T.StructField("_key", kind), T.StructField("label", T.IntegerType()), T.StructField("f", T.BinaryType())])).toArrow().to_pandas()
     seen = seen.sort_values("_key", kind="stable")  # the same order on any cluster
     xs, y = [], np.where(seen["label"].to_numpy() == 1, 1.0, -1.0)
     for raw, v in zip(seen["f"], y, strict=True):

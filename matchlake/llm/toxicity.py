@@ -166,7 +166,7 @@ def _left_out(model: Model, rows: DataFrame, label: str, text: str) -> np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["label", "n", "sums"])
 
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.select(label, text).mapInArrow(run, "label int, n long, sums array<double>").toPandas()
+    return rows.select(label, text).mapInArrow(run, "label int, n long, sums array<double>").toArrow().to_pandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -176,9 +176,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     """
     marked = labels.where(F.col(label).isin(0, 1) & train).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(bounded(marked), "_key")
-    found = _counted(rows, "_label", "_text").toPandas()
+    found = _counted(rows, "_label", "_text").toArrow()
     toxic, clean = np.zeros(TOKENS + STARTS), np.zeros(TOKENS + STARTS)
-    toxic[found["bucket"]], clean[found["bucket"]] = found["toxic"], found["clean"]
+    at = found.column("bucket").to_numpy()
+    toxic[at], clean[at] = found.column("toxic").to_numpy(), found.column("clean").to_numpy()
+    del found
     by = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
     model = Model(toxic, clean, (by.get(0, 0), by.get(1, 0)))
     if not model.usable():
