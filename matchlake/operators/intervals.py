@@ -71,3 +71,9 @@ def inside_any(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, s
 def rebased(df: DataFrame, start: str, end: str, low: Column, high: Column) -> DataFrame:
     """Ranges that lie wholly inside [low, high], counted from low."""
     return df.where((F.col(start) >= low) & (F.col(end) <= high)).withColumns({start: F.col(start) - low, end: F.col(end) - low})
+
+
+def over_cap(df: DataFrame, keys: list[str], member: str, start: str, end: str, strength: str, most: int, share: float = 0.25) -> DataFrame:
+    """(keys, member): spans that are beyond the `most` strongest for at least `share` of their own length."""
+    life = df.groupBy(*keys, member).agg(F.sum(F.col(end) - F.col(start)).alias("_life"))
+    return excess(df, keys, member, start, end, strength, most).join(life, [*keys, member]).where(F.col("excess") >= share * F.col("_life")).select(*keys, member)

@@ -44,3 +44,21 @@ def concatenated(parts: DataFrame, game: str, order: str, duration: str) -> Data
     """Adds `offset`: the summed durations of the parts of a game before each one."""
     w = Window.partitionBy(game).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("offset", F.coalesce(F.sum(duration).over(w), F.lit(0)))
+
+
+def dataset(parts: dict[str, DataFrame], key: str, label: str, remap: dict[str, dict[int, int]], fraction: float, seed: int) -> DataFrame:
+    """One dataset of several: (key, label, source, split).
+
+    Keys get their source as a prefix; labels are mapped by source, and those
+    without a target go.  Each source is put into an order by the digest of key
+    and seed; the last `fraction` of it is "val", all but at least one row.
+    """
+    out = None
+    for source, df in parts.items():
+        table = F.create_map(*[F.lit(x) for kv in remap[source].items() for x in kv])
+        rows = df.select(F.concat(F.lit(source + "/"), F.col(key).cast("string")).alias(key), table[F.col(label)].alias(label), F.lit(source).alias("source")).where(F.col(label).isNotNull())
+        out = rows if out is None else out.unionByName(rows)
+    w = Window.partitionBy("source")
+    place = F.row_number().over(w.orderBy(F.md5(F.concat(F.col(key), F.lit(str(seed)))), key))
+    train = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * (1 - fraction)))
+    return out.withColumn("split", F.when(place <= train, "train").otherwise("val"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import scalars
-from matchlake.operators import asof, stats
+from matchlake.operators import asof, graph, intervals, stats, upserts
 from matchlake.plans.bindings import RALLIES, TOUCHES, rallies, table, touches
 from matchlake.plans.tracking import _WON, _won
 
@@ -100,3 +100,31 @@ def dashboard_totals(spark: SparkSession, d: str) -> DataFrame:
     r = rallies(spark, d).agg(F.count("*").alias("rallies"), r6(F.avg(F.col("end") - F.col("start")), "mean_duration"))
     t = touches(spark, d).agg(F.count("*").alias("touches"), F.countDistinct("player").alias("players"))
     return r.join(F.broadcast(t))
+
+
+@query("""WITH p AS (SELECT 'a' AS source, 'a/' || CAST(doc_id AS VARCHAR) AS id, CASE quality WHEN 0 THEN 5 WHEN 1 THEN 6 END AS label FROM labels UNION ALL SELECT 'b', 'b/' || CAST(doc_id AS VARCHAR), CASE toxic WHEN 1 THEN 7 END FROM labels),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(id || '9'), id) AS k, count(*) OVER (PARTITION BY source) AS n FROM p WHERE label IS NOT NULL)
+SELECT id, CAST(label AS INT) AS label, source, CASE WHEN k <= greatest(1, floor(n * (1 - 0.2))) THEN 'train' ELSE 'val' END AS split FROM o""")
+def dataset_split(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources with remapped classes, put into a seeded order and split."""
+    l = table(spark, d, "labels")
+    parts = {"a": l.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "b": l.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))}
+    return upserts.dataset(parts, "id", "label", {"a": {0: 5, 1: 6}, "b": {1: 7}}, 0.2, 9)
+
+
+@query(f"""WITH {TOUCHES}, p AS (SELECT game, player, rally // 8 AS part, min(frame) AS s, max(frame) + 1 AS e, count(*) AS strength FROM touches GROUP BY game, player, rally // 8),
+m AS (SELECT game, player * 1000 + part AS member, s, e, strength FROM p), b AS (SELECT game, s AS t FROM m UNION SELECT game, e FROM m),
+a AS (SELECT game, t, lead(t) OVER (PARTITION BY game ORDER BY t) AS u FROM b), j AS (SELECT a.game, t, u, member, row_number() OVER (PARTITION BY a.game, t ORDER BY strength, member) AS r, count(*) OVER (PARTITION BY a.game, t) AS n FROM a JOIN m ON a.game = m.game AND m.s <= a.t AND m.e >= a.u WHERE u IS NOT NULL),
+x AS (SELECT game, member, sum(u - t) AS excess FROM j WHERE r <= n - 3 GROUP BY game, member) SELECT x.game, x.member FROM x JOIN m USING (game, member) WHERE excess >= 0.25 * (e - s)""")
+def roster_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Spans beyond a cap of three for a quarter of their length."""
+    t = touches(spark, d).groupBy("game", "player", F.floor(F.col("rally") / 8).alias("part")).agg(F.min("frame").alias("s"), (F.max("frame") + 1).alias("e"), F.count("*").alias("strength"))
+    m = t.select("game", (F.col("player") * 1000 + F.col("part")).alias("member"), "s", "e", "strength")
+    return intervals.over_cap(m, ["game"], "member", "s", "e", "strength", 3)
+
+
+@query()
+def tracklet_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of a label as one track by id, cut where they jump."""
+    e = table(spark, d, "embeddings").select((F.col("label") % 2).alias("game"), F.col("label").alias("track"), F.col("vec_id").alias("frame"), "embedding")
+    return graph.chained(e, "game", "track", "frame", "embedding", gap=25)

@@ -151,3 +151,16 @@ def test_quality_renormalises_over_known_factors(spark):
     dig = ["dig", 1.0, 1.0, 0.0, 4.0, 1.0, None, None, 0.0, 0.0, 1.0, 1.0, None, None, None, None]
     got = [r["score"] for r in quality.scored(spark.createDataFrame([tuple(serve), tuple(dig), ("hit", *nothing), ("set", *nothing)], cols)).collect()]
     assert got[0] == 0.5 and abs(got[1] - (0.35 * 1 + 0.35 * 0.5) / 0.7) < 1e-9 and got[2] is None and got[3] is None
+
+
+def test_tracklets_are_cut_by_gaps_and_jumps(spark):
+    a, b = [1.0, 0.0], [-1.0, 0.0]
+    data = [(1, 7, f, v) for f, v in [(0, a), (1, a), (2, a), (3, b), (4, b), (9, b), (10, None), (11, a)]]
+    got = [r["part"] for r in graph.chained(spark.createDataFrame(data, "g int, t int, f int, v array<double>"), "g", "t", "f", "v").orderBy("f").collect()]
+    assert got == [0, 0, 0, 1, 1, 2, 2, 2]
+
+
+def test_dataset_keeps_a_training_row(spark):
+    one = spark.createDataFrame([(1, 0)], "id int, label int")
+    got = upserts.dataset({"x": one, "y": one.where("false")}, "id", "label", {"x": {0: 3}, "y": {0: 1}}, 0.9, 1).collect()
+    assert [tuple(r) for r in got] == [("x/1", 3, "x", "train")]
