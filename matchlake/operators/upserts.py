@@ -62,3 +62,21 @@ def dataset(parts: dict[str, DataFrame], key: str, label: str, remap: dict[str,
     place = F.row_number().over(w.orderBy(F.md5(F.concat(F.col(key), F.lit(str(seed)))), key))
     train = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * (1 - fraction)))
     return out.withColumn("split", F.when(place <= train, "train").otherwise("val"))
+
+
+def rallies_overridden(given: DataFrame, games: DataFrame, game: str = "game", slack: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(rallies, faults) of hand-made rallies (game, start_time_s, end_time_s).
+
+    faults: (game, start_time_s, fault) of rallies that end before they begin,
+    begin under 0, end more than `slack` after the game (game, fps, duration_s)
+    or overlap the one before.  rallies: the games without a fault, numbered by
+    start, with frames and durations computed anew.
+    """
+    w = Window.partitionBy(game).orderBy("start_time_s", "end_time_s")
+    rows = given.join(F.broadcast(games), game).withColumns({"rally_index": F.row_number().over(w) - 1, "_before": F.max("end_time_s").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    fault = F.when(F.col("end_time_s") <= F.col("start_time_s"), "ends before it begins").when(F.col("start_time_s") < 0, "begins before the game").when(F.col("end_time_s") > F.col("duration_s") + slack, "ends after the game").when(F.col("start_time_s") < F.col("_before"), "overlaps the one before")
+    rows = rows.withColumn("fault", fault)
+    faults = rows.where("fault is not null").select(game, "start_time_s", "fault")
+    frame = lambda c: F.bround(F.col(c) * F.col("fps"), 0).cast("long")
+    good = rows.join(faults.select(game).distinct(), game, "left_anti")
+    return good.select(game, "rally_index", frame("start_time_s").alias("start_frame"), frame("end_time_s").alias("end_frame"), "start_time_s", "end_time_s", (F.col("end_time_s") - F.col("start_time_s")).alias("duration_s")), faults

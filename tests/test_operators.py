@@ -164,3 +164,11 @@ def test_dataset_keeps_a_training_row(spark):
     one = spark.createDataFrame([(1, 0)], "id int, label int")
     got = upserts.dataset({"x": one, "y": one.where("false")}, "id", "label", {"x": {0: 3}, "y": {0: 1}}, 0.9, 1).collect()
     assert [tuple(r) for r in got] == [("x/1", 3, "x", "train")]
+
+
+def test_rally_override(spark):
+    games = spark.createDataFrame([("a", 30.0, 60.0), ("b", 25.0, 10.0)], "game string, fps double, duration_s double")
+    given = spark.createDataFrame([("a", 20.0, 30.0), ("a", 1.0, 2.5), ("b", 1.0, 3.0), ("b", 2.0, 4.0), ("b", 5.0, 11.0), ("b", 9.0, 8.0)], "game string, start_time_s double, end_time_s double")
+    good, faults = upserts.rallies_overridden(given, games)
+    assert [tuple(r)[:4] for r in good.orderBy("rally_index").collect()] == [("a", 0, 30, 75), ("a", 1, 600, 900)]
+    assert sorted((r["start_time_s"], r["fault"]) for r in faults.collect()) == [(2.0, "overlaps the one before"), (5.0, "ends after the game"), (9.0, "ends before it begins")]
