@@ -17,7 +17,7 @@ The Jaccard distance of shingle sets is a metric.  Two facts of it do the work:
 
 Pairs that no bound excludes are verified on the whole sets.  Documents whose
 sets are equal are one point.  Links that can't change any component are not
-followed: in a large region the first rounds link documents to pivots, and
+followed: in a large region documents are linked to a few pivots first, and
 only pairs of different components are joined exactly afterwards.  No sample,
 cap or chance decides what is found; which shingles are known to be frequent
 affects the speed alone.
@@ -41,9 +41,10 @@ from matchlake.llm.kernels import LOWER, flat, mix, shingle_sets, stream
 from matchlake.llm.tables import bounded, partitions, saved
 
 WORDS, NEED = 5, 75  # shingle length; links: 100 * intersection >= NEED * union
-FREQUENT = 1 << 17  # at most so many shingles are held as frequent: 2 MB
-GROUP = 1 << 20  # words per pass
-SMALL, BLOCK, PIVOTS, FIRST = 64, 2048, 8, 8  # region of all pairs; documents per block; cells per level; pairs tried first
+FREQUENT = 1 << 19  # at most so many shingles are held as frequent: 8 MB
+GROUP, HELD = 1 << 20, 1 << 22  # words per pass; shingles that a task counts together
+SMALL, LEAF, BLOCK = 8, 64, 2048  # documents of a region, and of a cell, whose pairs are all looked at; documents per block
+PIVOTS, STARS, FIRST = 8, 3, 3  # cells per level; documents that others are first linked to; pairs tried first
 _SEED = stream(1, 9)
 _U = np.uint64
 
@@ -119,19 +120,29 @@ def _distinct(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
 
 
 def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of shingles that tasks met in several documents: the most frequent, at most FREQUENT.
+    """Sorted hashes and counts of shingles that a task met in several documents at once: the most frequent, at most FREQUENT.
 
     Only the order of shingles depends on it, no result.
     """
 
+    def met(seen: dict[int, np.ndarray]) -> pa.RecordBatch:
+        u, c = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+        m = c > 1
+        return pa.RecordBatch.from_arrays([pa.array(u[m].view(np.int64)), pa.array(c[m])], names=["shingle", "docs"])
+
     def run(batches):
+        seen, held = {}, 0
         for b in batches:
             for _, sets in _sets(*flat(b.column(text)), GROUP):
-                every = [s for _, s in _distinct(sets)]
-                if every:
-                    u, c = np.unique(np.concatenate(every), return_counts=True)
-                    m = c >= 3
-                    yield pa.RecordBatch.from_arrays([pa.array(u[m].view(np.int64)), pa.array(c[m])], names=["shingle", "docs"])
+                for k, s in _distinct(sets):
+                    if k not in seen:
+                        seen[k] = s
+                        held += len(s)
+                if held >= HELD:
+                    yield met(seen)
+                    seen, held = {}, 0
+        if seen:
+            yield met(seen)
 
     counts = saved(docs.select(text).mapInArrow(run, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs")))
     steps = counts.groupBy(F.floor(F.log2("docs") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
@@ -143,10 +154,10 @@ def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
         least = r["step"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    top = counts.where(F.floor(F.log2("docs") * 8) >= least).toPandas()
-    h = top["shingle"].to_numpy(np.int64).view(np.uint64)
+    top = counts.where(F.floor(F.log2("docs") * 8) >= least).toArrow()
+    h = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], top["docs"].to_numpy(np.int64)[order]
+    return h[order], top.column("docs").to_numpy()[order]
 
 
 def regions(sets: list[np.ndarray], hot: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +204,7 @@ def _possible(sig, n, place, i, j):
 
 
 def _candidates(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(region, a, b): pairs of signatures (region null), and (region, a) members of larger regions."""
+    """(region, a, b, place): pairs of signatures (region null), and (region, a, place) members of larger regions."""
     hot, count = frequent(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast((hot, count))
     names = ["hash", "sig", "n", "place"]
@@ -222,7 +233,6 @@ def _candidates(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         read = lambda x, kind: np.frombuffer(b"".join(table.column(x).to_pylist()), kind)
         h, sig, n, place = read("hash", np.uint32), read("sig", np.int64), read("n", np.uint16).astype(np.int64), read("place", np.uint16).astype(np.int64)
-        bucket = table.column("bucket")[0].as_py()
         order = np.lexsort((sig, h))
         h, sig, n, place = h[order], sig[order], n[order], place[order]
         new = np.append(True, (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]))[: len(h)]
@@ -230,20 +240,26 @@ def _candidates(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         cut = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
         size = np.diff(np.append(cut, len(h)))
         two = cut[size == 2]
-        pairs, large = [_possible(sig, n, place, two, two + 1)], []
+        pairs, large = [_possible(sig, n, place, two, two + 1)], {}
         for c, m in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             if m <= SMALL:
                 pairs.append(_in_cell(sig[c : c + m], n[c : c + m], place[c : c + m]))
             else:
-                large.append((np.full(m, bucket << 32 | int(h[c]), np.int64), sig[c : c + m]))
+                member = sig[c : c + m]
+                for k in range(STARS):  # documents of middling size, spread over it
+                    hub = c + np.argsort(n[c : c + m], kind="stable")[min(m // 2 + k, m - 1)]
+                    pairs.append(_possible(sig, n, place, np.full(m, hub), np.arange(c, c + m)))
+                name = int(mix(mix(member.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0])  # regions of the same documents are one
+                large[name] = (member, np.minimum(place[c : c + m], large[name][1]) if name in large else place[c : c + m])
         found = np.unique(np.column_stack([np.concatenate(x) for x in zip(*pairs, strict=True)]), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        region = np.concatenate([x for x, _ in large]) if large else np.zeros(0, np.int64)
-        member = np.concatenate([x for _, x in large]) if large else np.zeros(0, np.int64)
+        region = np.repeat(np.array(list(large), np.int64), [len(x) for x, _ in large.values()]) if large else np.zeros(0, np.int64)
+        member = np.concatenate([x for x, _ in large.values()]) if large else np.zeros(0, np.int64)
+        first = np.concatenate([x for _, x in large.values()]) if large else np.zeros(0, np.int64)
         none, k = pa.nulls(len(found), pa.int64()), len(region)
-        return pa.table({"region": pa.concat_arrays([none, pa.array(region)]), "a": pa.array(np.concatenate((found[:, 0], member))), "b": pa.concat_arrays([pa.array(found[:, 1].copy()), pa.nulls(k, pa.int64())])})
+        return pa.table({"region": pa.concat_arrays([none, pa.array(region)]), "a": pa.array(np.concatenate((found[:, 0], member))), "b": pa.concat_arrays([pa.array(found[:, 1].copy()), pa.nulls(k, pa.int64())]), "place": pa.concat_arrays([none, pa.array(first)])})
 
     dealt = docs.select(text).mapInArrow(emit, "bucket int, hash binary, sig binary, n binary, place binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "region long, a long, b long")
+    return dealt.groupBy("bucket").applyInArrow(meet, "region long, a long, b long, place long")
 
 
 def _bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -286,35 +302,25 @@ def _cells(x: np.ndarray, reach: int, members: np.ndarray, small: int, depth: in
                 yield deeper, own & mine
 
 
-def _members(large: DataFrame, points: DataFrame, classes: DataFrame | None, first: bool, seed: int) -> DataFrame:
-    """Candidate pairs (a, b) of larger regions.
-
-    Without classes: documents to the pivots of their block.  With classes:
-    pairs of different classes, the FIRST nearest of each two classes of a block, or all.
-    """
-    pivots = classes is None
-    sized = large.groupBy("region").agg(F.count("*").alias("size"))
-    rows = large.join(sized, "region").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("a", F.lit(seed)), F.col("blocks")).cast("int")).join(points.select(F.col("sig").alias("a"), "n", "sketch"), "a")
-    if classes is None:
-        rows = rows.withColumn("class", F.col("a")).withColumn("other", F.lit(-1))
-    else:
-        rows = rows.join(classes.select(F.col("node").alias("a"), F.col("root").alias("class")), "a", "left").withColumn("class", F.coalesce("class", "a"))
-        mixed = rows.groupBy("region").agg((F.min("class") < F.max("class")).alias("mixed")).where("mixed").select("region")
-        rows = rows.join(mixed, "region", "left_semi")
-        # each two blocks meet once: a block is sent to (itself, every other block)
-        rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("region", "a", "n", "sketch", "class", F.col("block").alias("own"), F.least("block", "mate").alias("block"), F.greatest("block", "mate").alias("other"))
-    if classes is None:
-        rows = rows.select("region", "a", "n", "sketch", "class", F.col("block").alias("own"), "block", "other")
+def _members(large: DataFrame, points: DataFrame, classes: DataFrame, first: bool) -> DataFrame:
+    """Candidate pairs (a, b) of different classes in larger regions: the FIRST nearest of each two classes of a block, or all."""
+    rows = large.join(classes.select(F.col("node").alias("a"), F.col("root").alias("class")), "a", "left").withColumn("class", F.coalesce("class", "a"))
+    sized = rows.groupBy("region").agg(F.count("*").alias("size"), (F.min("class") < F.max("class")).alias("mixed")).where("mixed").drop("mixed")
+    rows = rows.join(sized, "region").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    # each two blocks meet once: a block is sent to itself and to every other block
+    rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("region", "a", "place", "class", F.col("block").alias("own"), F.least("block", "mate").alias("block"), F.greatest("block", "mate").alias("other"))
+    rows = rows.join(points.select(F.col("sig").alias("a"), "n", "sketch"), "a")
 
     def join(table: pa.Table) -> pa.Table:
-        sig, n, own = (table.column(c).to_numpy() for c in ("a", "n", "own"))
+        sig, n, own, place = (table.column(c).to_numpy() for c in ("a", "n", "own", "place"))
         raw, kind = table.column("sketch").to_pylist(), table.column("class").to_numpy()
         block, other = table.column("block")[0].as_py(), table.column("other")[0].as_py()
         out_a, out_b, near = [], [], []
         order = np.argsort(n)
         sig, n, own, kind, raw = sig[order], n[order], own[order], kind[order], [raw[k] for k in order]
+        left = n - place[order]  # bounds the intersection of a pair whose first common shingle is the region's
         lo = 0
         while lo < len(n):  # rings of sizes: a document, and those of up to 100 / NEED of its size
             ring = np.flatnonzero((n >= n[lo]) & (100 * n[lo] * 100 >= NEED * NEED * n))
@@ -322,24 +328,17 @@ def _members(large: DataFrame, points: DataFrame, classes: DataFrame | None, fir
             cells = min(len(raw[k]) for k in ring)
             x = np.stack([_folded(raw[k], cells) for k in ring])
             reach = 2 * int(n[ring].max()) * (100 - NEED) // (100 + NEED)
-            if pivots:
-                parts = [(np.arange(len(ring)), np.ones(len(ring), bool))]
-            else:
-                parts = _cells(x, reach, np.arange(len(ring)), SMALL)
-            for members, mine in parts:
-                left = members[mine]
-                if pivots:
-                    left = left[: min(PIVOTS, len(left))]
-                for k in left.tolist():
+            for members, mine in _cells(x, reach, np.arange(len(ring)), LEAF):
+                for k in members[mine].tolist():
                     rest = members[members != k]
                     rest = rest[(home[k] | home[rest]) & (kind[ring[rest]] != kind[ring[k]])]
-                    if other != block and not pivots:
+                    if other != block:
                         rest = rest[own[ring[rest]] != own[ring[k]]]
                     if not len(rest):
                         continue
                     gap = np.abs(x[rest] - x[k]).sum(1)
                     m, nk = n[ring[rest]], int(n[ring[k]])
-                    good = (gap <= difference(m, nk)) & (100 * np.minimum(m, nk) >= NEED * np.maximum(m, nk))
+                    good = (gap <= difference(m, nk)) & (100 * np.minimum(m, nk) >= NEED * np.maximum(m, nk)) & (np.minimum(left[ring[rest]], left[ring[k]]) >= overlap(m, nk))
                     out_a.append(np.full(good.sum(), ring[k]))
                     out_b.append(ring[rest[good]])
                     near.append(gap[good] / (m[good] + nk))
@@ -347,7 +346,7 @@ def _members(large: DataFrame, points: DataFrame, classes: DataFrame | None, fir
         if not out_a:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         i, j, d = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(near)
-        if first and not pivots and len(i):
+        if first and len(i):
             pair = np.column_stack((np.minimum(kind[i], kind[j]), np.maximum(kind[i], kind[j])))
             best = np.lexsort((d, pair[:, 1], pair[:, 0]))
             new = np.append(True, (np.diff(pair[best], axis=0) != 0).any(1))
@@ -395,24 +394,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = saved(described(docs, key, text))
     points = saved(rows.where("n > 0").groupBy("sig").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"))
     met = saved(_candidates(docs.where(F.col(key).isNotNull()), text, 2 * partitions(spark)))
-    large = met.where("region is not null").select("region", "a")
-    pairs = _bounded_pairs(met.where("region is null").select("a", "b").distinct(), points)
+    large = met.where("region is not null").groupBy("region", "a").agg(F.min("place").alias("place"))
+    tested = saved(_bounded_pairs(met.where("region is null").select("a", "b").distinct(), points))
+    links = saved(verified(tested, docs, points, key, text))
     if large.limit(1).count():
-        pairs = pairs.union(_members(large, points, None, True, 0)).distinct()
-        tested = saved(pairs)
-        links = saved(verified(tested, docs, points, key, text))
         for first in (True, False):
-            classes = components(links)
-            more = _members(large, points, classes, first, 1).distinct().join(tested, ["a", "b"], "left_anti")
-            more = saved(more)
-            if not more.limit(1).count():
-                if first:
-                    continue
-                break
-            links = saved(links.union(verified(more, docs, points, key, text)))
-            tested = tested.union(more)
-    else:
-        links = saved(verified(saved(pairs), docs, points, key, text))
+            more = saved(_members(large, points, components(links), first).distinct().join(tested, ["a", "b"], "left_anti"))
+            if more.limit(1).count():
+                links = saved(links.union(verified(more, docs, points, key, text)))
+                tested = tested.union(more)
     classes = components(links)
     reps = classes.join(points.select(F.col("sig").alias("node"), "rep"), "node")
     roots = reps.groupBy("root").agg(F.min("rep").alias("component"))
