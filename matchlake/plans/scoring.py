@@ -54,15 +54,19 @@ def _late(reference: float) -> str:
     return _c(f"1 - (CASE WHEN gap - sqrt(pow(x - prev_x, 2) + pow(y - prev_y, 2)) / nullif(speed_in, 0) IS NOT NULL THEN greatest(0.0, gap - sqrt(pow(x - prev_x, 2) + pow(y - prev_y, 2)) / nullif(speed_in, 0)) END) / {reference}")
 
 
-def _sql() -> str:
-    q, p = quality, Params()
-    columns = {
+def _factors() -> dict[str, dict[str, str]]:
+    q = quality
+    return {
         "serve": {"speed": _c(f"speed / {q.SERVE_SPEED}"), "placement": _c(f"opponent_distance / {q.SERVE_PLACEMENT}"), "trajectory_height": _c(f"1 - apex / {q.SERVE_HEIGHT}")},
         "dig": {"placement": _c(f"1 - sqrt(pow(x - set_x, 2) + pow(y - set_y, 2)) / {q.RECEIVE_PLACEMENT}"), "reaction": _late(q.RECEIVE_EXCESS), "handling_speed": _c(f"1 - speed / {q.RECEIVE_SPEED}")},
         "set": {"placement": _c(f"1 - sqrt(pow(x - spike_x, 2) + pow(y - spike_y, 2)) / {q.SET_PLACEMENT}"), "height": _c(f"1 - abs(apex - {q.SET_HEIGHT}) / {q.SET_HEIGHT_TOLERANCE}"), "time_given": _c(f"gap / {q.SET_TIME}")},
         "spike": {"positioning": _c(f"1 - abs(x - 9.0) / {q.SPIKE_POSITION}"), "speed": _c(f"speed / {q.SPIKE_SPEED}"), "placement": _c(f"opponent_distance / {q.SPIKE_PLACEMENT}"), "blockers": _c(f"blockers / {float(q.SPIKE_BLOCKERS)}")},
         "block": {"positioning": _c(f"1 - abs(x - 9.0) / {q.BLOCK_POSITION}"), "reach": _c(f"height / {q.BLOCK_REACH}"), "timing": _late(q.BLOCK_EXCESS)},
     }
+
+
+def _sql() -> str:
+    q, p, columns = quality, Params(), _factors()
     cases = " ".join(f"WHEN '{k}' THEN {_mean({n: (c, p.weights(q.CATEGORIES[k])[n]) for n, c in cs.items()})}" for k, cs in columns.items())
     return f"""{TOUCHES},
 sided AS (SELECT *, CASE WHEN x < 9.0 THEN 'A' ELSE 'B' END AS team FROM touches),
@@ -75,6 +79,8 @@ scored AS (SELECT *, CASE action_type {cases} END AS score FROM wide)"""
 
 
 SCORED = _sql()
+_FLAT = " UNION ALL ".join(f"SELECT player, action_type, '{n}' AS factor, {c} AS v FROM wide WHERE action_type = '{k}'" for k, cs in _factors().items() for n, c in cs.items() if n not in ("time_given", "blockers"))
+_SERVE = scalars.redistributed(Params().weights("SERVE_WEIGHTS"), "placement", 0.6)
 
 
 @query(f"WITH {SCORED} SELECT game, touch_id, action_type, round(score, 10) AS score FROM scored")
@@ -96,18 +102,19 @@ def quality_across_games(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("player", "action_type").agg(r6(stats.weighted_mean("a", "n"), "average"), r6(F.median("a"), "median"), F.count("a").alias("games"))
 
 
-@query()
+@query(f"""WITH {SCORED}, flat AS ({_FLAT}), e AS (SELECT action_type, factor, avg(v) AS a FROM flat GROUP BY ALL), o AS (SELECT player, action_type, factor, avg(v) AS b FROM flat GROUP BY ALL HAVING count(v) > 0),
+g AS (SELECT player, action_type, factor, a - b AS gap FROM o JOIN e USING (action_type, factor)), r AS (SELECT *, row_number() OVER (PARTITION BY player, action_type ORDER BY round(gap, 9) DESC, factor DESC) AS k FROM g) SELECT player, action_type, factor, round(gap, 6) AS gap FROM r WHERE k = 1 AND gap > 0.08""")
 def quality_shortfalls(spark: SparkSession, d: str) -> DataFrame:
     """Each player's biggest shortfall by category."""
     return quality.shortfalls(quality.scored(wide(spark, d)), "action_type", "player").withColumn("gap", F.round("gap", 6))
 
 
-@query()
+@query(f"WITH {SCORED} SELECT game, touch_id, round({_mean({n: (c, _SERVE[n]) for n, c in _factors()['serve'].items()})}, 10) AS score FROM scored WHERE action_type = 'serve'")
 def quality_reweighted(spark: SparkSession, d: str) -> DataFrame:
     """Serve scores under a placement weight of 0.6, the others rescaled."""
     weights = scalars.redistributed(Params().weights("SERVE_WEIGHTS"), "placement", 0.6)
     t = quality.scored(wide(spark, d)).where("action_type = 'serve'")
-    return t.select("game", "touch_id", r6(quality.reweighted(t, weights), "score"))
+    return t.select("game", "touch_id", F.round(quality.reweighted(t, weights), 10).alias("score"))
 
 
 @query(f"""WITH {SCORED}, m AS (SELECT team, action_type, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM scored WHERE action_type IN ('set', 'spike') GROUP BY ALL) SELECT team, action_type, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, n FROM m""")
