@@ -15,7 +15,7 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score, learnt from the labelled documents of this input, is TOXIC or more."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    kept = toxicity.score(docs, model, docs.columns).where(F.col("toxic_score") < TOXIC)
+    kept = toxicity.score(docs, model, docs.columns, out="_pipeline_score").where(F.col("_pipeline_score") < TOXIC)
     return kept.select(*docs.columns)
 
 

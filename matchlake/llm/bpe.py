@@ -89,7 +89,7 @@ class Codec:
             else:
                 break
         if limit is None:
-            if len(self.fits_memo) > 4 * MEMO:
+            if len(self.fits_memo) > MEMO:
                 self.fits_memo.clear()
             self.fits_memo[key] = good
         return good

@@ -122,6 +122,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
+def slices(at: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about `size` bytes (or whatever `at` counts)."""
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k consecutive values; k - 1 fewer than h has (none if h is short)."""
     if len(h) < k:

@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.llm.kernels import LOWER, _PLACE, _STEP, flat, mix, stream
+from matchlake.llm.kernels import LOWER, _PLACE, _STEP, flat, mix, slices, stream
 from matchlake.llm.tables import bounded
 
 BUCKETS, SMOOTH, FIT_ROWS, EPOCHS, COST = 1 << 18, 1.0, 20_000, 12, 1.0
-GROUP = 1 << 17
+GROUP = 1 << 20  # bytes per pass
 _U = np.uint64
 #: Shape of each byte: capital, small, digit, beyond ASCII, or itself.
 _SHAPE = np.arange(256)
@@ -43,14 +43,10 @@ _SHAPE_VALUE = stream(256, 11)
 
 def features(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct feature buckets of each text."""
-    lower, off, first, last = LOWER.hashes(data, at, spans=True)
     out: list[np.ndarray] = []
-    lo = 0
-    while lo < len(off) - 1:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + GROUP, "right")) - 1)
-        a, z = off[lo], off[hi]
-        out += _features(data, lower[a:z], first[a:z], last[a:z], off[lo : hi + 1] - a)
-        lo = hi
+    for lo, hi in slices(at, GROUP):
+        word, off, first, last = LOWER.hashes(data, at[lo : hi + 1], spans=True)
+        out += _features(data, word, first, last, off)
     return out
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.llm.kernels import _BYTE_STREAM, ALNUM, flat, mix
+from matchlake.llm.kernels import _BYTE_STREAM, ALNUM, flat, mix, slices
 from matchlake.llm.tables import bounded
 
 TOKENS, STARTS = 1 << 20, 1 << 18
@@ -130,11 +130,16 @@ def _counted(rows: DataFrame, label: str, text: str) -> DataFrame:
     schema = "bucket long, toxic long, clean long"
 
     def run(batches):
+        n = TOKENS + STARTS
         for b in batches:
-            token, start, off = tokens(*flat(b.column(text)))
-            y = np.repeat(b.column(label).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(off))
-            n = TOKENS + STARTS
-            both = [np.bincount(np.concatenate((token[y == v], start[y == v])), minlength=n) for v in (1, 0)]
+            data, texts = flat(b.column(text))
+            labels = b.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
+            both = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+            for lo, hi in slices(texts):
+                token, start, off = tokens(data, texts[lo : hi + 1])
+                y = np.repeat(labels[lo:hi], np.diff(off))
+                for k, v in enumerate((1, 0)):
+                    both[k] += np.bincount(token[y == v], minlength=n) + np.bincount(start[y == v], minlength=n)
             at = np.flatnonzero(both[0] + both[1])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0][at]), pa.array(both[1][at])], names=["bucket", "toxic", "clean"])
 
@@ -148,9 +153,11 @@ def _left_out(model: Model, rows: DataFrame, label: str, text: str) -> np.ndarra
     def run(batches):
         m = shared.value
         for b in batches:
-            token, start, off = tokens(*flat(b.column(text)))
+            data, texts = flat(b.column(text))
+            labels = b.column(label).to_pylist()
             ys, sizes, sums = [], [], []
-            for y, a, z in zip(b.column(label).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+            each = ((token, start, y, a, z) for lo, hi in slices(texts) for token, start, off in [tokens(data, texts[lo : hi + 1])] for y, a, z in zip(labels[lo:hi], off[:-1].tolist(), off[1:].tolist(), strict=True))
+            for token, start, y, a, z in each:
                 t, g = token[a:z], start[a:z]
                 if len(t):
                     ut, it, ct = np.unique(t, return_inverse=True, return_counts=True)
@@ -224,11 +231,11 @@ def calibrate(model: Model, seen) -> None:
     model.slope, model.offset = max(0.0, float(w[0])), float(w[1])
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", passages: bool = False) -> DataFrame:
-    """The columns `keep`, toxic_score and, if asked for, the significant passages as (begin, end) token ranges with their sums."""
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", passages: bool = False, out: str = "toxic_score") -> DataFrame:
+    """The columns `keep`, the score as `out` and, if asked for, the significant passages as (begin, end) token ranges with their sums."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     part = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("sum", T.DoubleType())])
-    fields = [docs.schema[c] for c in keep] + [T.StructField("toxic_score", T.DoubleType())]
+    fields = [docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())]
     if passages:
         fields.append(T.StructField("passages", T.ArrayType(part)))
     names = [f.name for f in fields]
@@ -237,13 +244,15 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", pa
     def run(batches):
         m = shared.value
         for b in batches:
-            token, start, off = tokens(*flat(b.column(text)))
-            odds = m.odds(token, start) if m.usable() else np.zeros(len(token))
-            evidence, found = np.zeros(len(off) - 1), []
-            for k, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                evidence[k], kept = m.evidence(odds[a:z])
-                if passages:
-                    found.append([{"begin": x, "end": y, "sum": s} for x, y, s in kept])
+            data, texts = flat(b.column(text))
+            evidence, found = np.zeros(len(b)), []
+            for lo, hi in slices(texts):
+                token, start, off = tokens(data, texts[lo : hi + 1])
+                odds = m.odds(token, start) if m.usable() else np.zeros(len(token))
+                for k, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                    evidence[lo + k], kept = m.evidence(odds[a:z])
+                    if passages:
+                        found.append([{"begin": x, "end": y, "sum": s} for x, y, s in kept])
             columns = [b.column(c) for c in keep] + [pa.array(m.probability(evidence))]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(found, arrow)] if passages else []), names=names)
 

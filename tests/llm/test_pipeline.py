@@ -18,8 +18,8 @@ def test_stages_take_effect(spark, tmp_path):
     docs |= {300 + k: near.replace(near.split()[k], f"x{k}", 1) for k in range(5)}
     docs |= {400 + k: make(30) + " " + passage + " " + make(30) for k in range(3)}
     docs |= {500: make(20) + " " + item + " " + make(9), 600: None, 601: ""}
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in docs.items()]
-    spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, t, "en", "s", len(t or ""), "mine") for i, t in docs.items()]
+    spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long, toxic_score string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(200 <= i < 260)) for i in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"]: r for r in __spark_entry__.queries()["pipeline"](spark, str(tmp_path)).collect()}
