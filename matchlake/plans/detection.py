@@ -183,3 +183,10 @@ def speed_labels(spark: SparkSession, d: str) -> DataFrame:
     """Facet filters and labelled speeds."""
     t = touches(spark, d).where(F.col("action_type").isin("serve", "spike") & (F.col("rally") < 20))
     return t.select("game", "touch_id", scalars.speed_label(F.col("speed"), F.col("touch_id") % 3 != 0).alias("label"))
+
+
+@query(f"""WITH {TOUCHES} SELECT game, touch_id, CASE WHEN touch_id % 3 <> 0 THEN printf('%d km/h', CAST(round_even(speed * 3.6, 0) AS BIGINT)) ELSE printf('%d px/s', CAST(round_even(speed, 0) AS BIGINT)) END AS label FROM touches WHERE action_type IN ('serve', 'spike')""")
+def speed_labels_all(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled speeds of all rallies."""
+    t = touches(spark, d).where(F.col("action_type").isin("serve", "spike"))
+    return t.select("game", "touch_id", scalars.speed_label(F.col("speed"), F.col("touch_id") % 3 != 0).alias("label"))

@@ -144,6 +144,25 @@ def appearance_distances(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "label").where("a < b").select("label", "a", "b", F.round(scalars.half_cosine_distance(F.col("x"), F.col("y")), 5).alias("distance"))
 
 
+@query("""WITH g AS (SELECT label AS name, embedding AS g FROM embeddings WHERE vec_id % 2 = 0), q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = 1),
+e AS (SELECT vec_id, name, min(1 - list_dot_product(embedding::DOUBLE[], g::DOUBLE[])) AS dist FROM q CROSS JOIN g GROUP BY ALL), r AS (SELECT *, lead(dist) OVER (PARTITION BY vec_id ORDER BY dist, name) AS second, row_number() OVER (PARTITION BY vec_id ORDER BY dist, name) AS n FROM e)
+SELECT vec_id, name, round(dist, 5) AS distance FROM r WHERE n = 1 AND dist <= 0.8 AND (second IS NULL OR second - dist >= 0.02)""")
+def gallery_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """All query vectors (odd ids) against the whole gallery of even ids, with a margin to the second name."""
+    e = table(spark, d, "embeddings").withColumn("all", F.lit(0))
+    gallery = e.where("vec_id % 2 = 0").select("all", F.col("label").alias("name"), "embedding")
+    out = vectors.gallery_match(e.where("vec_id % 2 = 1").select("all", "vec_id", "embedding"), gallery, "vec_id", "embedding", "name", ["all"], 0.8, 0.02)
+    return out.select("vec_id", "name", F.round("distance", 5).alias("distance"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(greatest(0.0, least(1.0, (1 - list_dot_product(a.v, b.v)) / 2)), 5) AS distance FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id""")
+def appearance_distances_all(spark: SparkSession, d: str) -> DataFrame:
+    """Half cosine distances of all pairs inside a label."""
+    e = table(spark, d, "embeddings")
+    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return a.join(b, "label").where("a < b").select("label", "a", "b", F.round(scalars.half_cosine_distance(F.col("x"), F.col("y")), 5).alias("distance"))
+
+
 @query()
 def identity_cliques(spark: SparkSession, d: str) -> DataFrame:
     """Groups of vectors of a label that are pairwise similar."""
@@ -156,7 +175,7 @@ def identity_cliques(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def identity_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Tracklets of a game merged by appearance where they don't overlap in time."""
-    e = table(spark, d, "embeddings").where("vec_id % 5 = 0").withColumn("start", F.col("vec_id") * 3).withColumn("end", F.col("vec_id") * 3 + 20)
+    e = table(spark, d, "embeddings").withColumn("start", F.col("vec_id") * 3).withColumn("end", F.col("vec_id") * 3 + 20)
     return graph.agglomerated(e, "label", "vec_id", "embedding", 0.2)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchlake import params
+from matchlake import catalog, params
 from matchlake.functions import scalars
 from matchlake.operators import asof, graph, intervals, ordered, quality, spatial, stats, upserts
 
@@ -97,6 +98,39 @@ def test_agglomeration_respects_time(spark):
     assert got in ([(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 4)], [(1, 1, 1), (1, 2, 2), (1, 3, 2), (1, 4, 4)])
 
 
+def test_agglomeration_merges_the_nearest_first(spark):
+    rng = np.random.default_rng(5)
+    at = rng.normal(size=(60, 3)).round(3)
+    begin = [int(v) for v in rng.integers(0, 300, 60)]
+    clusters = {k: ([k], at[k]) for k in range(60)}
+    clash = lambda a, b: any(begin[i] <= begin[j] + 9 and begin[j] <= begin[i] + 9 for i in a for j in b)
+    cost = lambda x, y: (1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y)) / 2
+    while True:
+        pairs = [(cost(clusters[x][1], clusters[y][1]), x, y) for x in clusters for y in clusters if x < y and not clash(clusters[x][0], clusters[y][0])]
+        if not pairs or min(pairs)[0] > 0.2:
+            break
+        _, x, y = min(pairs)
+        other = clusters.pop(y)
+        clusters[x] = (clusters[x][0] + other[0], clusters[x][1] + other[1])
+    df = spark.createDataFrame([(1, k, [float(v) for v in at[k]], begin[k], begin[k] + 9) for k in range(60)], "game int, id int, v array<double>, start int, end int")
+    assert rows(graph.agglomerated(df, "game", "id", "v", 0.2)) == sorted((1, n, x) for x, (ns, _) in clusters.items() for n in ns)
+
+
+def test_clusters_cover_all_vectors(spark):
+    d = "/root/testdata/sf0.001"
+    got = catalog.queries()["identity_clusters"](spark, d)
+    assert got.select("node").distinct().count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
+
+
+def test_whole_tables_have_queries(spark):
+    d = "/root/testdata/sf0.001"
+    sizes = [n for (n,) in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().select("count").collect()]
+    assert catalog.queries()["appearance_distances_all"](spark, d).count() == sum(n * (n - 1) // 2 for n in sizes)
+    for name in ("gallery_match", "speed_labels"):
+        part, whole = catalog.queries()[name](spark, d), catalog.queries()[name + "_all"](spark, d)
+        assert part.exceptAll(whole).count() == 0 and whole.count() > part.count()
+
+
 def test_scoreboard_machine(spark):
     reads = [(0, 0), (1, 0), (None, 1), (2, 1), (3, 2), (0, 1), (1, None)]
     df = spark.createDataFrame([("g", k, a, b) for k, (a, b) in enumerate(reads)], "game string, n int, l int, r int")
