@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.operators.vectors import gallery_distance
+
 from matchlake.functions.scalars import angle, distance, noisy_or, outside
 
 # Confidence a selected ball needs, boxes that a size profile needs, its width in deviations.
@@ -89,6 +91,29 @@ def pair_cost(gap: Column, metres: Column, zone: Column, appearance: Column, opp
     return F.when(F.coalesce(opposite, F.lit(0.0)) >= 0.7, None).when(cost <= 0.45, cost)
 
 
+def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, keys: list[str], member: str, start: str, end: str, zone: str, side: str, vector: str, shape: str, zone_most: float = 0.95, confident: float = 0.7, most: float = 0.34) -> DataFrame:
+    """(keys, a, b, distance): pairs of members that may be one player, of which no time, place, side or look speaks against.
+
+    Their spans don't overlap, their zones (shares of the rows of places) differ
+    by at most zone_most, they are not on different sides with both at least
+    `confident`, and the mean distance of their galleries is at most `most`.
+    Unknown zones and sides speak against nothing; without vectors there is no match.
+    """
+    ids = spans.select(*keys, member).distinct()
+    each = places.where(F.col(zone).isNotNull()).groupBy(*keys, member, zone).agg(F.count("*").alias("_n"))
+    zones = each.groupBy(*keys, member).agg(F.map_from_entries(F.collect_list(F.struct(zone, "_n"))).alias("_zones"), F.sum("_n").alias("_total"))
+    sides = places.groupBy(*keys, member).agg(F.count_if(F.col(side) == "A").alias("_A"), F.count_if(F.col(side) == "B").alias("_B"))
+    known = ids.join(zones, [*keys, member], "left").join(sides, [*keys, member], "left")
+    known = known.withColumns({"_side": F.when(F.col("_A") + F.col("_B") > 0, F.when(F.col("_A") >= F.col("_B"), "A").otherwise("B")), "_sure": F.expr("try_divide(greatest(_A, _B), _A + _B)")})
+    of = lambda m: known.select(*keys, F.col(member).alias(m), *[F.col(c).alias(c + m) for c in ("_zones", "_total", "_side", "_sure")])
+    pairs = ids.withColumnRenamed(member, "a").join(ids.withColumnRenamed(member, "b"), keys).where("a < b")
+    pairs = bridged(spans, pairs, keys, member, start, end).join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"])
+    shared = F.aggregate(F.map_entries("_zonesa"), F.lit(0.0), lambda s, z: s + F.least(z["value"] / F.col("_totala"), F.coalesce(F.element_at("_zonesb", z["key"]), F.lit(0)) / F.col("_totalb")))
+    near = F.coalesce(1 - shared <= zone_most, F.lit(True))
+    opposite = F.coalesce((F.col("_sidea") != F.col("_sideb")) & (F.col("_surea") >= confident) & (F.col("_sureb") >= confident), F.lit(False))
+    return gallery_distance(gallery, gallery, member, member, vector, keys, shape, pairs.where(near & ~opposite)).where(F.col("distance") <= most)
+
+
 def set_sides(samples: DataFrame, keys: list[str], side: str, team: str, weight: str, least: int = 1) -> DataFrame:
     """(keys, A, B): which team, x or y, holds each side by weighted votes.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import scalars
-from matchlake.operators import detection, intervals, stats
+from matchlake.operators import detection, intervals, stats, vectors
 from matchlake.plans.bindings import TOUCHES, table, touches
 from matchlake.plans.scoring import SCORED, wide
 from matchlake.plans.tracking import _WON, _won
@@ -190,3 +190,35 @@ def speed_labels_all(spark: SparkSession, d: str) -> DataFrame:
     """Labelled speeds of all rallies."""
     t = touches(spark, d).where(F.col("action_type").isin("serve", "spike"))
     return t.select("game", "touch_id", scalars.speed_label(F.col("speed"), F.col("touch_id") % 3 != 0).alias("label"))
+
+
+_PARTS = "parts AS (SELECT *, player * 1000 + rally // 2 AS m FROM touches)"
+_GALLERY = "gallery AS (SELECT game, m, embedding::DOUBLE[] AS v, label % 4 AS bin FROM parts JOIN embeddings ON vec_id = touch_id)"
+_MEANS = "SELECT a.game, a.m AS a, b.m AS b, avg(least(1.0, greatest(0.0, least(1.0, (1 - list_dot_product(a.v, b.v)) / 2)) + 0.2 * abs(a.bin - b.bin) / 3)) AS distance FROM gallery a JOIN gallery b ON a.game = b.game AND a.m < b.m GROUP BY ALL"
+
+
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A player's touches of two rallies as a tracklet m, and the vectors of those touches that have one."""
+    p = touches(spark, d).withColumn("m", F.col("player") * 1000 + F.floor(F.col("rally") / 2))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("touch_id"), "embedding", (F.col("label") % 4).alias("bin"))
+    return p, p.select("game", "m", "touch_id").join(e, "touch_id")
+
+
+@query(f"""WITH {TOUCHES}, {_PARTS}, {_GALLERY} SELECT game, a, b, round(distance, 5) AS distance FROM ({_MEANS})""")
+def gallery_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Mean distances of the galleries of a game's tracklets, with the cost of differing shapes."""
+    _, gallery = _parts(spark, d)
+    return vectors.gallery_distance(gallery, gallery, "m", "m", "embedding", ["game"], "bin").withColumn("distance", F.round("distance", 5))
+
+
+@query(f"""WITH {TOUCHES}, {_PARTS}, {_GALLERY}, spans AS (SELECT game, m, min(frame) AS s, max(frame) AS e, count(*) AS n, count(*) FILTER (x < 9.0) AS l FROM parts GROUP BY ALL),
+zones AS (SELECT game, m, CAST(floor(x / 3) AS INT) AS z, count(*) AS n FROM parts GROUP BY ALL),
+shared AS (SELECT a.game, a.m AS a, b.m AS b, sum(least(a.n / s.n, b.n / t.n)) AS o FROM zones a JOIN zones b ON a.game = b.game AND a.z = b.z AND a.m < b.m JOIN spans s ON s.game = a.game AND s.m = a.m JOIN spans t ON t.game = b.game AND t.m = b.m GROUP BY ALL)
+SELECT game, a, b, round(distance, 5) AS distance FROM ({_MEANS}) d JOIN spans s USING (game) JOIN spans t USING (game) LEFT JOIN shared USING (game, a, b)
+WHERE s.m = a AND t.m = b AND greatest(s.s - t.e, t.s - s.e) > 0 AND 1 - coalesce(o, 0) <= 0.95 AND NOT ((s.l >= s.n - s.l) <> (t.l >= t.n - t.l) AND greatest(s.l, s.n - s.l) / s.n >= 0.7 AND greatest(t.l, t.n - t.l) / t.n >= 0.7) AND distance <= 0.34""")
+def candidate_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Tracklets of a game that may be one player."""
+    p, gallery = _parts(spark, d)
+    p = p.withColumns({"zone": F.floor(F.col("x") / 3).cast("int"), "side": F.when(F.col("x") < 9.0, "A").otherwise("B")})
+    spans = p.groupBy("game", "m").agg(F.min("frame").alias("s"), F.max("frame").alias("e"))
+    return detection.candidate_matches(spans, p, gallery, ["game"], "m", "s", "e", "zone", "side", "embedding", "bin").withColumn("distance", F.round("distance", 5))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchlake import catalog, params
 from matchlake.functions import scalars
-from matchlake.operators import asof, graph, intervals, ordered, quality, spatial, stats, upserts
+from matchlake.operators import asof, detection, graph, intervals, ordered, quality, spatial, stats, upserts, vectors
 
 
 def rows(df):
@@ -131,6 +131,19 @@ def test_whole_tables_have_queries(spark):
         assert part.exceptAll(whole).count() == 0 and whole.count() > part.count()
 
 
+def test_candidates_pass_every_gate(spark):
+    """1 and 2 match; 3 overlaps 1 and 2 in time, 4 shares no zone, 5 is on the other side, 6 looks different, 7 has no vector."""
+    spans = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 6, 9), (1, 3, 4, 7), (1, 4, 20, 25), (1, 5, 30, 35), (1, 6, 40, 45), (1, 7, 50, 55), (2, 8, 60, 65)], "g int, m int, s int, e int")
+    spots = {1: [(1, "A"), (2, "A")], 2: [(1, "A")], 3: [(1, "A")], 4: [(9, "A")], 5: [(1, "B"), (2, "B")], 6: [(1, "A")], 7: [(1, "A")], 8: [(1, "A")]}
+    places = spark.createDataFrame([(1 + (m == 8), m, z, s) for m, at in spots.items() for z, s in at], "g int, m int, zone int, side string")
+    looks = {m: [1.0, 0.0] for m in (1, 2, 3, 4, 5, 8)} | {6: [-1.0, 0.0], 7: None}
+    gallery = spark.createDataFrame([(1 + (m == 8), m, v, m % 2) for m, v in looks.items()], "g int, m int, v array<double>, bin int")
+    got = rows(detection.candidate_matches(spans, places, gallery, ["g"], "m", "s", "e", "zone", "side", "v", "bin"))
+    assert [(g, a, b, round(x, 6)) for g, a, b, x in got] == [(1, 1, 2, round(0.2 / 3, 6))]
+    far = vectors.gallery_distance(gallery, gallery, "m", "m", "v", ["g"], "bin").where("a = 1 and b = 6").collect()
+    assert [r["distance"] for r in far] == [1.0]
+
+
 def test_scoreboard_machine(spark):
     reads = [(0, 0), (1, 0), (None, 1), (2, 1), (3, 2), (0, 1), (1, None)]
     df = spark.createDataFrame([("g", k, a, b) for k, (a, b) in enumerate(reads)], "game string, n int, l int, r int")
