@@ -9,13 +9,73 @@ alone: the same word hashes alike in every task, run and cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 _U = np.uint64
+_HELD: dict[tuple, object] = {}
+_LIBC = ctypes.CDLL(None)
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """The object of this key in a worker process, made when first asked for; a worker holds one at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def released() -> None:
+    """Gives memory that is free inside this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidy(run: Callable, holds: bool = False) -> Callable:
+    """run, a function over Arrow batches, for workers that many operators use in turn.
+
+    Tables held for other operators are dropped first (unless run `holds` some
+    itself), and free memory is given back after every batch.
+    """
+
+    def tidied(batches):
+        if not holds:
+            _HELD.clear()
+        for out in run(batches):
+            yield out
+            del out
+            released()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """As tidy, for a function of a group's table; small groups are not worth the calls."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        _HELD.clear()
+        out = run(table)
+        if table.nbytes > 1 << 20:
+            released()
+        return out
+
+    return tidied
+
+
+def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The packed values of a binary column's rows in a row, without a Python object for each row; nulls hold none."""
+    if isinstance(column, pa.Array):
+        column = pa.chunked_array([column])
+    parts = []
+    for c in column.chunks:
+        data, at = flat(c)
+        parts.append(data[at[0] : at[-1]])
+    return np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
