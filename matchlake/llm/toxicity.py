@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.llm.kernels import _BYTE_STREAM, ALNUM, flat, mix, slices
+from matchlake.llm.kernels import _BYTE_STREAM, ALNUM, flat, mix, slices, tidy
 from matchlake.llm.tables import bounded
 
 TOKENS, STARTS = 1 << 20, 1 << 18
@@ -99,9 +99,12 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
+    def __post_init__(self):
+        self.totals = max(1.0, self.toxic[:TOKENS].sum()), max(1.0, self.clean[:TOKENS].sum())
+
     def odds(self, token, start, own=None) -> np.ndarray:
         """Log-odds of token occurrences. own: (toxic, clean, toxic of the beginning, clean of it) counts to leave out."""
-        n1, n0 = max(1.0, self.toxic[:TOKENS].sum()), max(1.0, self.clean[:TOKENS].sum())
+        n1, n0 = self.totals
         g1, g0, c1, c0 = self.toxic[start], self.clean[start], self.toxic[token], self.clean[token]
         if own is not None:
             c1, c0, g1, g0 = c1 - own[0], c0 - own[1], g1 - own[2], g0 - own[3]
@@ -143,7 +146,7 @@ def _counted(rows: DataFrame, label: str, text: str) -> DataFrame:
             at = np.flatnonzero(both[0] + both[1])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0][at]), pa.array(both[1][at])], names=["bucket", "toxic", "clean"])
 
-    counts = rows.select(label, text).mapInArrow(run, schema)
+    counts = rows.select(label, text).mapInArrow(tidy(run), schema)
     return counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -173,7 +176,7 @@ def _left_out(model: Model, rows: DataFrame, label: str, text: str) -> np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["label", "n", "sums"])
 
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.select(label, text).mapInArrow(run, "label int, n long, sums array<double>").toArrow().to_pandas()
+    return rows.select(label, text).mapInArrow(tidy(run), "label int, n long, sums array<double>").toArrow().to_pandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -257,4 +260,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", pa
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(found, arrow)] if passages else []), names=names)
 
     read = docs.select(*dict.fromkeys([*keep, text]))
-    return read.mapInArrow(run, T.StructType(fields))
+    return read.mapInArrow(tidy(run), T.StructType(fields))
