@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.llm.kernels import LOWER, _PLACE, _STEP, flat, mix, slices, stream
+from matchlake.llm.kernels import LOWER, _PLACE, _STEP, flat, mix, slices, stream, tidy
 from matchlake.llm.tables import bounded
 
 BUCKETS, SMOOTH, FIT_ROWS, EPOCHS, COST = 1 << 18, 1.0, 20_000, 12, 1.0
@@ -42,7 +42,7 @@ _SHAPE_VALUE = stream(256, 11)
 
 
 def features(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct feature buckets of each text."""
+    """Distinct feature buckets of each text, in a fixed order."""
     out: list[np.ndarray] = []
     for lo, hi in slices(at, GROUP):
         word, off, first, last = LOWER.hashes(data, at[lo : hi + 1], spans=True)
@@ -64,30 +64,20 @@ def _features(data, word, first, last, off) -> list[np.ndarray]:
     value = np.where(new, _SHAPE_VALUE[b] * _PLACE[inside & 4095], _U(0))
     total = np.append(_U(0), np.cumsum(value, dtype=np.uint64))
     shape = mix(total[end] - total[start])
-    left = off[1:][np.repeat(np.arange(len(off) - 1), np.diff(off))] - np.arange(n)  # words to the text's end
-    made, owner = [], []
-
-    def add(h, k, kind):
-        good = left[: len(h)] >= k
-        made.append(mix(h[good] + _STEP[kind]))
-        owner.append(np.flatnonzero(good))
-
-    add(word, 1, 20)
-    add(shape, 1, 21)
+    kinds = [(1, word, 20), (1, shape, 21)]
     if n > 1:
-        add(word[:-1] * _STEP[1] + word[1:], 2, 22)
-        add(shape[:-1] * _STEP[1] + shape[1:], 2, 23)
-        add((word[:-1] == word[1:]).astype(np.uint64), 2, 24)
+        kinds += [(2, word[:-1] * _STEP[1] + word[1:], 22), (2, shape[:-1] * _STEP[1] + shape[1:], 23), (2, (word[:-1] == word[1:]).astype(np.uint64), 24)]
     if n > 2:
-        add(shape[:-2] * _STEP[2] + shape[1:-1] * _STEP[1] + shape[2:], 3, 25)
-        add((word[:-2] == word[2:]).astype(np.uint64), 3, 26)
-        add(((word[:-2] == word[1:-1]) & (word[1:-1] == word[2:])).astype(np.uint64), 3, 27)
-    bucket = (np.concatenate(made) & _U(BUCKETS - 1)).astype(np.int64)
-    doc = np.searchsorted(off, np.concatenate(owner), "right") - 1
-    pair = np.unique(doc * BUCKETS + bucket)
-    cut = np.searchsorted(pair, np.arange(len(off)) * BUCKETS)
-    values = (pair & (BUCKETS - 1)).astype(np.int32)
-    return [values[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        two = word[:-2] == word[2:]
+        kinds += [(3, shape[:-2] * _STEP[2] + shape[1:-1] * _STEP[1] + shape[2:], 25), (3, two.astype(np.uint64), 26), (3, (two & (word[1:-1] == word[2:])).astype(np.uint64), 27)]
+    buckets = [(k, (mix(h + _STEP[kind]) & _U(BUCKETS - 1)).astype(np.int32)) for k, h, kind in kinds]
+    last, out = np.zeros(BUCKETS, np.int32), []
+    for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        f = np.concatenate([np.zeros(0, np.int32), *(h[x : y - k + 1] for k, h in buckets if y - x >= k)])
+        place = np.arange(len(f), dtype=np.int32)
+        last[f] = place
+        out.append(f[last[f] == place])
+    return out
 
 
 @dataclass
@@ -166,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_label"), pa.array(fs, pa.binary())], names=["_key", "label", "f"])
 
     rows = texts.join(bounded(marked), "_key")
-    found = rows.select("_label", "_text").mapInArrow(count, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
+    found = rows.select("_label", "_text").mapInArrow(tidy(count), "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
     p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = found.column("bucket").to_numpy()
     p[at], q[at] = found.column("p").to_numpy(), found.column("q").to_numpy()
@@ -179,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
         chosen = marked.orderBy(F.xxhash64("_key"), "_key").limit(fit_rows)
         rows = texts.join(bounded(chosen), "_key")
     kind = docs.schema[key].dataType
-    seen = rows.select("_key", "_label", "_text").mapInArrow(listed, T.StructType([T.StructField("_key", kind), T.StructField("label", T.IntegerType()), T.StructField("f", T.BinaryType())])).toArrow().to_pandas()
+    seen = rows.select("_key", "_label", "_text").mapInArrow(tidy(listed), T.StructType([T.StructField("_key", kind), T.StructField("label", T.IntegerType()), T.StructField("f", T.BinaryType())])).toArrow().to_pandas()
     seen = seen.sort_values("_key", kind="stable")  # the same order on any cluster
     xs, y = [], np.where(seen["label"].to_numpy() == 1, 1.0, -1.0)
     for raw, v in zip(seen["f"], y, strict=True):
@@ -207,4 +197,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
             z = np.array([m.margin(f) for f in features(*flat(b.column(text)))])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(m.probability(z))], names=[f.name for f in schema.fields])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
