@@ -26,8 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Distinct pre-tokens that a task remembers; beyond it the memory starts anew.
-MEMO = 400_000
+from matchlake.llm.kernels import held, tidy
+
+#: Pre-tokens of up to SHORT characters, and pairs of tokens, that a worker remembers; beyond it either memory starts anew.
+MEMO, SHORT = 1 << 18, 32
 #: Characters that are split into pre-tokens at once, about.
 PIECE = 1 << 16
 
@@ -44,7 +46,7 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.token = {r: b for b, r in ranks.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}  # the two tokens that a token was merged from
-        self.fits_memo: dict[tuple[int, int], bool] = {}
+        self.fits_memo: dict[int, bool] = {}  # by left << 32 | right
         self.shorter: dict[int, int] = {}
         self.automaton = ahocorasick.Automaton()
         for b, r in ranks.items():
@@ -70,7 +72,7 @@ class Codec:
         Undo merges of the two sides from the highest rank on: a crossing
         merge that comes before the last of them would have been done first.
         """
-        key = (left, right)
+        key = left << 32 | right
         if limit is None:
             known = self.fits_memo.get(key)
             if known is not None:
@@ -89,7 +91,7 @@ class Codec:
             else:
                 break
         if limit is None:
-            if len(self.fits_memo) > MEMO:
+            if len(self.fits_memo) >= MEMO:
                 self.fits_memo.clear()
             self.fits_memo[key] = good
         return good
@@ -138,10 +140,12 @@ class Codec:
         """A pre-token's ids as little-endian unsigned 32-bit integers."""
         found = self.memo.get(piece)
         if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
             ids = self.encode_bytes(piece.encode("utf-8"))
-            found = self.memo[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
+            found = b"".join(i.to_bytes(4, "little") for i in ids)
+            if len(piece) <= SHORT:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[piece] = found
         return found
 
     def encode_packed(self, text: str) -> bytes:
@@ -163,7 +167,7 @@ class Codec:
 
 
 def pieces(text: str) -> Iterator[str]:
-    """The text cut where any tokenization of it is cut too: before a space that follows a letter or digit, or a letter after a digit."""
+    """The text cut where any tokenization of it is cut too: before a space between a letter of a to z and a character that is no white space."""
     lo = 0
     while len(text) - lo > PIECE:
         hi = lo + PIECE
@@ -175,15 +179,9 @@ def pieces(text: str) -> Iterator[str]:
         yield text[lo:]
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each vocabulary in a worker process."""
-    key = (path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(read_ranks(path), pattern)
-    return _CODECS[key]
+    """The codec of a vocabulary, kept by the worker process while it encodes."""
+    return held(("codec", path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -206,7 +204,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             keep = [n for n in b.schema.names if n.lower() != ids.lower()]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [made], names=[*keep, ids])
 
-    return df.mapInArrow(run, _with(df.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))))
+    return df.mapInArrow(tidy(run, holds=True), _with(df.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -219,7 +217,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out:
             keep = [n for n in b.schema.names if n.lower() != out.lower()]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [made], names=[*keep, out])
 
-    return df.mapInArrow(run, _with(df.schema, T.StructField(out, T.BinaryType())))
+    return df.mapInArrow(tidy(run, holds=True), _with(df.schema, T.StructField(out, T.BinaryType())))
 
 
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,4 +237,4 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
                 back.append(hashlib.sha256(c.decode_packed(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tidy(run, holds=True), schema)

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.llm.kernels import ALNUM, flat
+from matchlake.llm.kernels import ALNUM, flat, tidy
 
-WINDOW, SHARD, BLOCK = 10, 1 << 20, 4 << 20
+WINDOW, SHARD, BLOCK = 10, 1 << 19, 4 << 20
 _SORTED = 16  # words by which suffixes are sorted
 _U = np.uint64
 
@@ -199,7 +199,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
             hits = np.concatenate(n_hit) if n_hit else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.diff(at).astype(np.int64)), pa.array(hits.astype(np.int64)), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(arrow))], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidy(run), schema)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -217,4 +217,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: st
                     keep[lo + np.searchsorted(at[lo : hi + 1] - at[lo], d, "right") - 1] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchlake.llm.components import components
-from matchlake.llm.kernels import LOWER, flat, mix, shingle_sets, stream
+from matchlake.llm.kernels import LOWER, flat, joined, mix, shingle_sets, stream, tidy, tidy_group
 from matchlake.llm.tables import bounded, partitions, saved
 
 WORDS, NEED = 5, 75  # shingle length; links: 100 * intersection >= NEED * union
 FREQUENT = 1 << 19  # at most so many shingles are held as frequent: 8 MB
-GROUP, HELD = 1 << 20, 1 << 22  # words per pass; shingles that a task counts together
+GROUP, HELD = 1 << 19, 1 << 21  # words per pass; shingles that a task counts together
 SMALL, LEAF, BLOCK = 8, 64, 2048  # documents of a region, and of a cell, whose pairs are all looked at; documents per block
 PIVOTS, STARS, FIRST = 8, 3, 3  # cells per level; documents that others are first linked to; pairs tried first
 _SEED = stream(1, 9)
@@ -111,7 +111,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
                     raw.append(sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(raw, pa.binary())], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidy(run), schema)
 
 
 def _distinct(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
@@ -144,7 +144,7 @@ def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
         if seen:
             yield met(seen)
 
-    counts = saved(docs.select(text).mapInArrow(run, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs")))
+    counts = saved(docs.select(text).mapInArrow(tidy(run), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs")))
     steps = counts.groupBy(F.floor(F.log2("docs") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
     total, least = 0, None
     for r in steps:
@@ -231,7 +231,7 @@ def _candidates(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut], pa.int32()), *(pa.array(rows[x], pa.binary()) for x in names)], names=["bucket", *names])
 
     def meet(table: pa.Table) -> pa.Table:
-        read = lambda x, kind: np.frombuffer(b"".join(table.column(x).to_pylist()), kind)
+        read = lambda x, kind: joined(table.column(x), kind)
         h, sig, n, place = read("hash", np.uint32), read("sig", np.int64), read("n", np.uint16).astype(np.int64), read("place", np.uint16).astype(np.int64)
         order = np.lexsort((sig, h))
         h, sig, n, place = h[order], sig[order], n[order], place[order]
@@ -258,8 +258,8 @@ def _candidates(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         none, k = pa.nulls(len(found), pa.int64()), len(region)
         return pa.table({"region": pa.concat_arrays([none, pa.array(region)]), "a": pa.array(np.concatenate((found[:, 0], member))), "b": pa.concat_arrays([pa.array(found[:, 1].copy()), pa.nulls(k, pa.int64())]), "place": pa.concat_arrays([none, pa.array(first)])})
 
-    dealt = docs.select(text).mapInArrow(emit, "bucket int, hash binary, sig binary, n binary, place binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "region long, a long, b long, place long")
+    dealt = docs.select(text).mapInArrow(tidy(emit), "bucket int, hash binary, sig binary, n binary, place binary")
+    return dealt.groupBy("bucket").applyInArrow(tidy_group(meet), "region long, a long, b long, place long")
 
 
 def _bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def _bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
             c = [b.column(x).to_pylist() for x in ("s_a", "n_a", "s_b", "n_b")]
             yield b.filter(pa.array([may_link(*x) for x in zip(*c, strict=True)], pa.bool_())).select(["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "n_a", "s_b", "n_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "n_a", "s_b", "n_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _cells(x: np.ndarray, reach: int, members: np.ndarray, small: int, depth: int = 0):
@@ -372,7 +372,7 @@ def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, key: str, tex
                 mine = [(sig[lo + k], s.tobytes()) for k, s in enumerate(sets) if len(s) and signature(s) == sig[lo + k]]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in mine], pa.int64()), pa.array([s for _, s in mine], pa.binary())], names=["sig", "items"])
 
-    sets = saved(texts.select("a", "whole").mapInArrow(build, "sig long, items binary").dropDuplicates(["sig"]))
+    sets = saved(texts.select("a", "whole").mapInArrow(tidy(build), "sig long, items binary").dropDuplicates(["sig"]))
 
     def run(batches):
         for b in batches:
@@ -384,7 +384,7 @@ def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, key: str, tex
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     side = lambda x: sets.select(F.col("sig").alias(x), F.col("items").alias(f"items_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

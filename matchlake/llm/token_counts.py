@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from matchlake.llm.bpe import Codec
-from matchlake.llm.kernels import _PLACE, _STEP, flat, mix, stream
+from matchlake.llm.kernels import _PLACE, _STEP, flat, held, mix, stream, tidy
 
 LETTER, NUMBER, REST, BLANK, WHITE = range(5)
 _BYTE = stream(256, 7)
@@ -255,13 +255,9 @@ def _printable() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    """The counter of a vocabulary, kept by the worker process while it counts."""
+    return held(("counter", path), lambda: Counter(path))
 
 
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,4 +270,4 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             data, at = flat(b.column(text))
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.diff(at)), pa.array(c.texts(data, at))], names=[key, "n_bytes", "n_tokens"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tidy(run, holds=True), schema)
