@@ -1,14 +1,17 @@
 """Benchmark decontamination by suffix arrays of the training shards.
 
 Each task cuts its documents into shards of about SHARD words and sorts the
-shard's word suffixes (prefix doubling over word codes, up to 16 words, more
-than any window has).  Every window of the benchmark - the first words of each
-test suffix - is binary-searched in the array; the interval found holds all its
-occurrences, whose full 64-bit word hashes are then compared and extended to
-the longest verbatim matches.  Nothing is shuffled: documents stay where they
-are read, and the benchmark goes to the tasks in blocks of at most BLOCK words,
-each sent once to an executor, so a benchmark of any size costs passes over the
-shard in memory, not driver memory.
+shard's word suffixes (prefix doubling over word codes, until all differ or
+the longest window is covered).  Every window of the benchmark - the first
+words of each test suffix - is binary-searched in the array; the interval found
+holds all its occurrences, whose full 64-bit word hashes are then compared and
+extended to the longest verbatim matches.  Nothing is shuffled: documents stay
+where they are read.  The benchmark goes to the tasks in blocks of about BLOCK
+words, one at a time: a larger benchmark costs a pass over the documents for
+each block, with the findings so far written to the shared folder between two
+passes, and neither the driver nor a worker holds more than one block.
+Occurrences are looked at LISTED at a time, so that short items that occur all
+over a shard take no more memory than others.
 
 Defined cases: null and empty texts have no words and no hits; items without
 words match nothing; an item of fewer words than the window is one window;
@@ -21,6 +24,7 @@ by ``scan``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchlake.llm.kernels import ALNUM, flat, tidy
+from matchlake.llm.tables import saved
 
-WINDOW, SHARD, BLOCK = 10, 1 << 19, 4 << 20
-_SORTED = 16  # words by which suffixes are sorted
+WINDOW, SHARD, BLOCK, LISTED = 10, 1 << 19, 4 << 20, 1 << 19
 _U = np.uint64
 
 
@@ -57,24 +61,27 @@ class Items:
 
 
 class SuffixArray:
-    """Word suffixes of a shard, sorted by their first 16 word codes."""
+    """Word suffixes of a shard, sorted by their first `depth` word codes."""
 
-    def __init__(self, words: np.ndarray, at: np.ndarray):
+    def __init__(self, words: np.ndarray, at: np.ndarray, depth: int = WINDOW):
         n = len(words)
         self.words = words
-        self.doc_end = np.repeat(at[1:], np.diff(at))
-        self.codes = np.append(_codes(words), np.zeros(_SORTED, np.int64))
+        self.doc_begin, self.doc_end = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
+        self.codes = np.append(_codes(words), np.zeros(depth, np.int64))
         rank, width = self.codes[:n], 1
-        while width < _SORTED:
+        self.order = np.argsort(rank, kind="stable")
+        while width < depth:
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - width)] = rank[width:]
             key = rank * (int(rank.max(initial=0)) + 1) + ahead
-            order = np.argsort(key)
-            ordered = key[order]
+            self.order = np.argsort(key)
+            ordered = key[self.order]
+            new = np.append(True, ordered[1:] != ordered[:-1])[:n]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])[:n])
+            rank[self.order] = np.cumsum(new)
             width *= 2
-        self.order = order
+            if new.all():
+                break
 
     def bound(self, items: Items, upper: bool) -> np.ndarray:
         """Where each suffix's window begins (or ends) among the sorted suffixes."""
@@ -97,22 +104,33 @@ class SuffixArray:
             high = np.where(open_ & ~right, mid, high)
         return low
 
-    def matches(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of (test suffix, shard position) whose windows are the same words of one document."""
+    def matches(self, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of (test suffix, shard position) whose windows are the same words of one document, about LISTED at a time."""
         if not len(items.start) or not len(self.order):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         low, high = self.bound(items, False), self.bound(items, True)
-        count = high - low
-        suffix = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(suffix)) - np.repeat(np.cumsum(count) - count, count) + low[suffix]
-        at = self.order[place]
-        good = at + items.length[suffix] <= self.doc_end[at]
-        suffix, at = suffix[good], at[good]
-        for j in range(int(items.length.max(initial=0))):
-            same = (items.length[suffix] <= j) | (items.words[np.minimum(items.start[suffix] + j, len(items.words) - 1)] == self.words[np.minimum(at + j, len(self.words) - 1)])
-            if not same.all():
-                suffix, at = suffix[same], at[same]
-        return suffix, at
+        found = np.flatnonzero(high > low)
+        count = (high - low)[found]
+        total = np.cumsum(count) - count
+        cuts = np.flatnonzero(np.append(True, np.diff(total // LISTED) > 0)[: len(found)])
+        for a, z in pairwise([*cuts.tolist(), len(found)]):
+            n, base = count[a:z], found[a:z]
+            suffix = np.repeat(base, n)
+            at = self.order[np.arange(len(suffix)) - np.repeat(np.cumsum(n) - n, n) + low[suffix]]
+            good = at + items.length[suffix] <= self.doc_end[at]
+            suffix, at = suffix[good], at[good]
+            for j in range(int(items.length[base].max(initial=0))):
+                same = (items.length[suffix] <= j) | (items.words[np.minimum(items.start[suffix] + j, len(items.words) - 1)] == self.words[np.minimum(at + j, len(self.words) - 1)])
+                if not same.all():
+                    suffix, at = suffix[same], at[same]
+            if len(at):
+                yield suffix, at
+
+    def heads(self, items: Items, suffix: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which matches don't go on to the left, in item and document."""
+        on = (items.place[suffix] > 0) & (at > self.doc_begin[at])
+        on[on] = items.words[items.start[suffix[on]] - 1] == self.words[at[on] - 1]
+        return ~on
 
     def longest(self, items: Items, suffix: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many words each match goes on for, within its item and document."""
@@ -135,86 +153,120 @@ def _shards(at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int):
-    """The benchmark as broadcast blocks of at most about BLOCK words."""
-    sc = benchmark.sparkSession.sparkContext
-    ids, texts, size, out = [], [], 0, []
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[tuple[Items, bool]]:
+    """The benchmark in blocks of about BLOCK words, each with whether it is the last."""
+    ids, texts, size, before = [], [], 0, None
     for r in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
+        if size >= BLOCK:
+            if before is not None:
+                yield before, False
+            before = Items(ids, texts, window)
+            ids, texts, size = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
         size += len(r[1] or "") // 4
-        if size >= BLOCK:
-            out.append(sc.broadcast(Items(ids, texts, window)))
-            ids, texts, size = [], [], 0
-    if ids or not out:
-        out.append(sc.broadcast(Items(ids, texts, window)))
-    return out
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    if before is not None:
+        yield before, not ids
+    if ids or before is None:
+        yield Items(ids, texts, window), True
+
+
+_MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_at", T.LongType()), T.StructField("doc_at", T.LongType()), T.StructField("n_words", T.LongType())])
+_ARROW = pa.struct([("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64()), ("n_words", pa.int64())])
+
+
+def _judged(words: np.ndarray, at: np.ndarray, items: Items, listed: bool):
+    """Of a shard's documents: which words are hit, the items found, and the matches if `listed`."""
+    cover = np.zeros(len(words) + 1, np.int64)
+    found: list[set] = [set() for _ in range(len(at) - 1)]
+    spans: list[list] = [[] for _ in range(len(at) - 1)]
+    array = SuffixArray(words, at, int(items.length.max(initial=1)))
+    for suffix, d in array.matches(items):
+        np.add.at(cover, d, 1)
+        np.add.at(cover, d + items.length[suffix], -1)
+        doc = np.searchsorted(at, d, "right") - 1
+        pair = np.unique(doc * len(items.ids) + items.item[suffix])
+        for k, i in zip((pair // len(items.ids)).tolist(), (pair % len(items.ids)).tolist(), strict=True):
+            if items.ids[i] is not None:
+                found[k].add(items.ids[i])
+        if listed:
+            head = array.heads(items, suffix, d)
+            s, p, doc = suffix[head], d[head], doc[head]
+            for i, a, k, x, n in zip(items.item[s].tolist(), items.place[s].tolist(), doc.tolist(), (p - at[doc]).tolist(), array.longest(items, s, p).tolist(), strict=True):
+                spans[k].append({"item_id": items.ids[i], "item_at": a, "doc_at": x, "n_words": n})
+    return np.cumsum(cover[:-1]) > 0, found, spans
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", listed: bool = True) -> DataFrame:
     """One row per document: key, n_words, n_hit (words inside occurring windows), item_ids (sorted strings) and matches.
 
     matches: array of (item_id, item_at, doc_at, n_words), the longest verbatim
     matches of at least a window, by word positions; left- and right-maximal.
+    Without `listed` the column is left out.
     """
-    kind = docs.schema[key].dataType
-    blocks = _blocks(benchmark, item, item_text, window)
-    match = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_at", T.LongType()), T.StructField("doc_at", T.LongType()), T.StructField("n_words", T.LongType())])
-    schema = T.StructType([T.StructField(key, kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(match))])
-    arrow = pa.struct([("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64()), ("n_words", pa.int64())])
-
-    def judged(words, at):
-        cover = np.zeros(len(words) + 1, np.int64)
-        listed: list[set] = [set() for _ in range(len(at) - 1)]
-        spans: list[list] = [[] for _ in range(len(at) - 1)]
-        array = SuffixArray(words, at)
-        for block in blocks:
-            items = block.value
-            suffix, d = array.matches(items)
-            if not len(d):
-                continue
-            np.add.at(cover, d, 1)
-            np.add.at(cover, d + items.length[suffix], -1)
-            doc = np.searchsorted(at, d, "right") - 1
-            for k, i in set(zip(doc.tolist(), items.item[suffix].tolist(), strict=True)):
-                if items.ids[i] is not None:
-                    listed[k].add(items.ids[i])
-            pair = set(zip(suffix.tolist(), d.tolist(), strict=True))
-            head = np.array([not (items.place[s] > 0 and (s - 1, p - 1) in pair) or p == at[k] for s, p, k in zip(suffix.tolist(), d.tolist(), doc.tolist(), strict=True)], bool)
-            for s, p, k, n in zip(suffix[head].tolist(), d[head].tolist(), doc[head].tolist(), array.longest(items, suffix[head], d[head]).tolist(), strict=True):
-                spans[k].append({"item_id": items.ids[items.item[s]], "item_at": int(items.place[s]), "doc_at": int(p - at[k]), "n_words": n})
-        hit = np.append(0, np.cumsum(np.cumsum(cover[:-1]) > 0))
-        return hit[at[1:]] - hit[at[:-1]], [sorted(x) for x in listed], [sorted(x, key=lambda m: (m["doc_at"], m["item_id"] or "", m["item_at"])) for x in spans]
-
-    def run(batches):
-        for b in batches:
-            words, at = ALNUM.hashes(*flat(b.column(text)))
-            n_hit, ids, spans = [], [], []
-            for lo, hi in _shards(at, SHARD):
-                base = at[lo]
-                a, i, s = judged(words[base : at[hi]], at[lo : hi + 1] - base)
-                n_hit.append(a)
-                ids += i
-                spans += s
-            hits = np.concatenate(n_hit) if n_hit else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.diff(at).astype(np.int64)), pa.array(hits.astype(np.int64)), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(arrow))], names=schema.names)
-
-    return docs.select(key, text).mapInArrow(tidy(run), schema)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    out = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), *([T.StructField("matches", T.ArrayType(_MATCH))] if listed else [])])
+    state = T.StructType([*rows.schema.fields, T.StructField("cover", T.BinaryType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(_MATCH))])
+
+    def passed(shared, first: bool, last: bool):
+        def run(batches):
+            for b in batches:
+                words, at = ALNUM.hashes(*flat(b.column("_text")))
+                hits, ids, spans = [], [], []
+                for lo, hi in _shards(at, SHARD):
+                    h, i, s = _judged(words[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shared.value, listed)
+                    hits.append(h)
+                    ids += i
+                    spans += s
+                hit = np.concatenate(hits) if hits else np.zeros(0, bool)
+                if not first:
+                    for k, (c, i, s) in enumerate(zip(*(b.column(x).to_pylist() for x in ("cover", "item_ids", "matches")), strict=True)):
+                        hit[at[k] : at[k + 1]] |= np.unpackbits(np.frombuffer(c, np.uint8), count=int(at[k + 1] - at[k])).astype(bool)
+                        ids[k].update(i)
+                        spans[k] += s
+                found = pa.array([sorted(x) for x in ids], pa.list_(pa.string()))
+                lists = pa.array([sorted(x, key=lambda m: (m["doc_at"], m["item_id"] or "", m["item_at"])) for x in spans], pa.list_(_ARROW))
+                if last:
+                    total = np.append(0, np.cumsum(hit))
+                    columns = [b.column("_key"), pa.array(np.diff(at).astype(np.int64)), pa.array((total[at[1:]] - total[at[:-1]]).astype(np.int64)), found]
+                    yield pa.RecordBatch.from_arrays(columns + [lists] * listed, names=out.names)
+                else:
+                    cover = [np.packbits(hit[x:y]).tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_text"), pa.array(cover, pa.binary()), found, lists], names=state.names)
+
+        return tidy(run)
+
+    first = True
+    for block, last in _blocks(benchmark, item, item_text, window):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        rows = rows.mapInArrow(passed(shared, first, last), out if last else state)
+        if not last:
+            rows = saved(rows)
+            shared.unpersist()
+        first = False
+    return rows
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without any occurring window, all columns as they were. Every row is judged where it is read."""
-    blocks = _blocks(benchmark, item, item_text, window)
-
-    def run(batches):
-        for b in batches:
-            words, at = ALNUM.hashes(*flat(b.column(text)))
-            keep = np.ones(len(at) - 1, bool)
-            for lo, hi in _shards(at, SHARD):
-                array = SuffixArray(words[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                for block in blocks:
-                    _, d = array.matches(block.value)
-                    keep[lo + np.searchsorted(at[lo : hi + 1] - at[lo], d, "right") - 1] = False
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(tidy(run), docs.schema)
+
+    def passed(shared):
+        def run(batches):
+            for b in batches:
+                words, at = ALNUM.hashes(*flat(b.column(text)))
+                keep = np.ones(len(at) - 1, bool)
+                for lo, hi in _shards(at, SHARD):
+                    array = SuffixArray(words[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], int(shared.value.length.max(initial=1)))
+                    for _, d in array.matches(shared.value):
+                        keep[lo + np.searchsorted(at[lo : hi + 1] - at[lo], d, "right") - 1] = False
+                yield b.filter(pa.array(keep))
+
+        return tidy(run)
+
+    for block, last in _blocks(benchmark, item, item_text, window):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(passed(shared), docs.schema)
+        if not last:
+            docs = saved(docs)
+            shared.unpersist()
+    return docs

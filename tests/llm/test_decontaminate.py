@@ -65,3 +65,29 @@ def test_empty_tables(spark, empty):
     df = spark.createDataFrame([(1, "a b c")] if empty == "items" else [], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "a b c")] if empty == "docs" else [], "item_id long, text string")
     assert [r["n_hit"] for r in decontaminate.scan(df, bench).collect()] == ([0] if empty == "items" else [])
+
+
+def test_long_windows_and_short_items(spark, monkeypatch):
+    """Suffixes are ordered as deep as the longest window; occurrences of one-word items are looked at in parts."""
+    monkeypatch.setattr(decontaminate, "LISTED", 7)
+    head = " ".join(f"h{i}" for i in range(16))
+    docs = [(i, f"{head} " + " ".join(f"t{i}x{j}" for j in range(14))) for i in range(40)] + [(99, "the cat the cat " * 30)]
+    items = [(i, t) for i, t in docs[:40]] + [(77, "The"), (78, "CAT the")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = sorted((tuple(r) for r in decontaminate.scan(df, bench, 24, listed=False).collect()), key=str)
+    assert got == sorted(brute(docs, items, 24), key=str)
+    assert {r[0] for r in decontaminate.remove(df, bench, 24).collect()} == set()
+
+
+def test_benchmark_of_many_blocks(spark, monkeypatch):
+    """Blocks take turns, and their findings add up."""
+    rng = random.Random(6)
+    make = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    items = [(i, make(25)) for i in range(60)]
+    docs = [(k, make(20) + " " + items[k][1][:90] + " " + items[59 - k][1] + " " + make(9)) for k in range(12)] + [(50, make(80))]
+    monkeypatch.setattr(decontaminate, "BLOCK", 400)
+    held = []
+    monkeypatch.setattr(decontaminate, "saved", lambda df, real=decontaminate.saved: held.append(1) or real(df))
+    got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(brute(docs, items)) and len(held) > 2
