@@ -2,12 +2,14 @@
 
 Directions of vectors are points of the unit sphere, where cosine >= t means a
 chord of at most sqrt(2 - 2 t).  Equal vectors are one point with a count.
-Points are dealt to blocks around far-apart pivots; in each block nested nets
-with halving radii form a cover tree, kept as each point's ancestors.  Pairs
-of blocks, then pairs of tree nodes, are pruned if their centres are further
-apart than the chord and both covering radii; surviving pairs of points are
-compared by matrix products in single precision, and those near the threshold
-again in double precision.
+Points are dealt to blocks around far-apart pivots, and blocks that are too
+large to blocks around pivots of their own, level by level (what no pivots
+divide, by hash).  In each block nested nets with halving radii, down to where
+no two points share a centre, form a cover tree, kept as each point's
+ancestors.  Pairs of blocks, then pairs of tree nodes, are pruned if their
+centres are further apart than the chord and both covering radii; surviving
+pairs of points are compared by matrix products in single precision, and those
+near the threshold again in double precision.
 
 A block pair gives link counts per point and a spanning forest of its links,
 never the links themselves, so dense groups don't multiply.  The pruning is as
@@ -29,16 +31,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchlake.llm.components import components
-from matchlake.llm.tables import saved
+from matchlake.llm.tables import bounded, saved
 
 LINK = 0.95
-#: Different vectors per block, as long as MOST blocks suffice; rows of the pivots' sample; net radii, halving.
-BLOCK, MOST, SAMPLE, RADII = 4096, 1024, 8192, (0.25, 0.5, 1.0)
+#: Different vectors per block; blocks of the first level; rows of its pivots' sample; pivots of a divided block and rows of their sample.
+BLOCK, MOST, SAMPLE, SPLIT, PART = 4096, 1024, 8192, 16, 256
+#: Net radii, halving; finer ones are not needed for chords of links. The one from which finer ones are tried.
+RADII = (1 / 64, 1 / 32, 1 / 16, 0.125, 0.25, 0.5, 1.0)
+USUAL = 0.25
 _STRIP, _EPS = 512, 1e-4
 
 
@@ -77,12 +82,20 @@ def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree(x: np.ndarray) -> np.ndarray:
-    """Ancestors of each point by level, finest first: (levels, points) indices of points."""
-    out, points, up = [], np.arange(len(x)), np.arange(len(x))
-    for radius in RADII:
-        centres, mine = net(x[points], radius)
-        up = points[centres][mine[np.searchsorted(points, up)]]
-        points = points[centres]
+    """Ancestors of each point by level, finest first: (levels, points) indices of points. Below the first level that groups anything all points are their own."""
+    every, k = np.arange(len(x)), RADII.index(USUAL)
+    finest = net(x, USUAL)
+    while k and len(finest[0]) < len(x):
+        finer = net(x, RADII[k - 1])
+        if len(finer[0]) == len(x):
+            break
+        finest, k = finer, k - 1
+    out, points, up = [], every, every
+    for n, radius in enumerate(RADII):
+        if n >= k:
+            centres, mine = finest if n == k else net(x[points], radius)
+            up = points[centres][mine[np.searchsorted(points, up)]]
+            points = points[centres]
         out.append(up)
     return np.array(out)
 
@@ -169,17 +182,75 @@ def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _pivots(points: DataFrame, dim: int, blocks: int) -> np.ndarray:
-    """Far-apart directions among the SAMPLE points of least hash: centres of blocks."""
-    rows = points.where(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow()
-    x = directions(rows.column("vector"))
+def spread(x: np.ndarray, count: int) -> np.ndarray:
+    """Up to `count` far-apart ones of these directions."""
     chosen, best = [0], x @ x[0]
-    while len(chosen) < min(blocks, len(x)):
+    while len(chosen) < min(count, len(x)) and best.min() < 1 - 1e-12:
         chosen.append(int(best.argmin()))
         best = np.maximum(best, x @ x[chosen[-1]])
     return x[chosen]
 
 
+def _pivots(points: DataFrame, dim: int, blocks: int) -> np.ndarray:
+    """Far-apart directions among the SAMPLE points of least hash: centres of blocks."""
+    rows = points.where(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow()
+    return spread(directions(rows.column("vector")), blocks)
+
+
+def _placed(points: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], by: str) -> DataFrame:
+    """points with `home`, that of the nearest pivot: pivots has the first home and the directions for each value of the column `by`; other values keep their home."""
+    shared = points.sparkSession.sparkContext.broadcast(pivots)
+    kept = [f for f in points.schema.fields if f.name != "home"]
+
+    def place(batches):
+        for b in batches:
+            of = b.column(by).to_numpy()
+            out = b.column("home").to_numpy().copy() if "home" in b.schema.names else np.zeros(len(b), np.int32)
+            for value in np.unique(of).tolist():
+                if value in shared.value:
+                    at = np.flatnonzero(of == value)
+                    begin, those = shared.value[value]
+                    out[at] = begin + (directions(b.column("vector").take(pa.array(at))) @ those.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(out.astype(np.int32))], names=[*(f.name for f in kept), "home"])
+
+    return points.mapInArrow(place, T.StructType([*kept, T.StructField("home", T.IntegerType())]))
+
+
+def _divided(homes: DataFrame, first: int) -> DataFrame:
+    """homes with `block`: homes of over 2 * BLOCK points are divided around pivots of their own until none is left; what pivots don't divide is divided by hash."""
+    homes, given, whole = saved(homes), {}, {}
+    while True:
+        sizes = {r["home"]: r["count"] for r in homes.groupBy("home").count().collect()}
+        for home, (parent, size) in given.items():
+            if sizes.get(home, 0) > 0.8 * size:  # its pivots hardly divide it
+                whole[home] = parent
+        large = [h for h, n in sizes.items() if n > 2 * BLOCK and h not in whole]
+        if not large:
+            break
+        some = homes.where(F.col("home").isin(large)).withColumn("_n", F.row_number().over(Window.partitionBy("home").orderBy(F.xxhash64("node"), "node"))).where(F.col("_n") <= PART)
+
+        def chosen(t: pa.Table) -> pa.Table:
+            x = spread(directions(t.column("vector")), SPLIT)
+            return pa.table({"home": pa.array([t.column("home")[0].as_py()] * len(x), pa.int32()), "pivot": pa.array(x.tolist())})
+
+        found: dict[int, list] = {}
+        for r in some.select("home", "vector").groupBy("home").applyInArrow(chosen, "home int, pivot array<double>").collect():
+            found.setdefault(r["home"], []).append(r["pivot"])
+        pivots, given = {}, {}
+        for home, those in sorted(found.items()):
+            pivots[home] = (first, np.array(those))
+            given |= {first + k: (home, sizes[home]) for k in range(len(those))}
+            first += len(those)
+        homes = saved(_placed(homes, pivots, "home"))
+    begin, total = {}, 0
+    for h, n in sorted(sizes.items()):
+        begin[h] = (total, -(-n // (2 * BLOCK)) if h in whole else 1)
+        total += begin[h][1]
+    spark = homes.sparkSession
+    table = spark.createDataFrame([(h, a, n) for h, (a, n) in begin.items()], "home int, _first int, _parts int")
+    return homes.join(bounded(table), "home").withColumn("block", F.col("_first") + F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).drop("home", "_first", "_parts")
+
+
 def _usable(vector: str):
     v = F.col(vector)
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -200,30 +271,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     if not plans:
         return rows.select(F.col("_key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("component_id"), F.lit(True).alias("kept"))
     kind = points.schema["node"].dataType
-    shared = spark.sparkContext.broadcast(plans)
-
-    def place(batches):
-        for b in batches:
-            dims, out = b.column("dim").to_numpy(), np.zeros(len(b), np.int32)
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                begin, pivots = shared.value[int(dim)]
-                out[at] = begin + (directions(b.column("vector").take(pa.array(at))) @ pivots.T).argmax(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "home"])
-
-    homes = points.mapInArrow(place, T.StructType([*points.schema.fields, T.StructField("home", T.IntegerType())]))
-    full = {r["home"]: -(-r["count"] // (2 * BLOCK)) if first < MOST else 1 for r in homes.groupBy("home").count().collect()}
-    begin = {h: sum(full[g] for g in full if g < h) for h in full}
-    table = F.create_map(*[F.lit(x) for h in full for x in (h, begin[h])])
-    parts = F.create_map(*[F.lit(x) for h in full for x in (h, full[h])])
-    blocks = homes.withColumn("block", (table[F.col("home")] + F.pmod(F.xxhash64("node"), parts[F.col("home")])).cast("int")).drop("home")
+    blocks = _divided(_placed(points, plans, "dim"), first)
     grown = T.StructType([*blocks.schema.fields, T.StructField("up", T.ArrayType(T.IntegerType())), T.StructField("at", T.IntegerType())])
 
     def grow(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("node").to_numpy(zero_copy_only=False), kind="stable")
         t = t.take(pa.array(order))
         up = tree(directions(t.column("vector")))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, up.size + 1, len(RADII)), pa.int32()), pa.array(up.T.ravel().astype(np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, up.size + 1, len(up)), pa.int32()), pa.array(up.T.ravel().astype(np.int32)))
         return t.append_column("up", lists).append_column("at", pa.array(np.arange(len(t)), pa.int32()))
 
     trees = saved(blocks.groupBy("block").applyInArrow(grow, grown))
@@ -236,19 +291,22 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     balls = trees.select("block", "dim", "vector").groupBy("block").applyInArrow(radius, "block int, dim int, centre array<double>, far double").collect()
     chord = math.sqrt(max(0.0, 2 - 2 * link)) + 1e-6
-    meets: dict[int, list[int]] = {r["block"]: [] for r in balls}
-    for dim in sizes:
-        own = sorted([r for r in balls if r["dim"] == dim], key=lambda r: r["block"])
-        c, f = np.array([r["centre"] for r in own]), np.array([r["far"] for r in own])
-        for k, r in enumerate(own):
-            gap = np.sqrt(((c[k:] - c[k]) ** 2).sum(1))
-            for j in np.flatnonzero(gap <= chord + f[k:] + f[k]).tolist():
-                pair = r["block"] * (1 << 20) + own[k + j]["block"]
-                meets[r["block"]].append(pair)
-                if j:
-                    meets[own[k + j]["block"]].append(pair)
-    pairs = spark.createDataFrame([(b, p) for b, ps in meets.items() for p in ps], "block int, pair long")
-    joined = trees.join(F.broadcast(pairs), "block").select("pair", "block", "node", "copies", "vector", "up", "at")
+    shared = spark.sparkContext.broadcast({d: tuple(np.array([r[c] for r in balls if r["dim"] == d]) for c in ("block", "centre", "far")) for d in sizes})
+
+    def near(batches):
+        """Each block's pairs with itself and with the blocks whose balls come within the chord, named by both."""
+        for b in batches:
+            names, pairs = [], []
+            for me, dim, centre, far in zip(*(b.column(c).to_pylist() for c in ("block", "dim", "centre", "far")), strict=True):
+                block, c, f = shared.value[dim]
+                for other in block[np.sqrt(((c - np.array(centre)) ** 2).sum(1)) <= chord + f + far].tolist():
+                    names.append(me)
+                    pairs.append((min(me, other) << 31) + max(me, other))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(pairs, pa.int64())], names=["block", "pair"])
+
+    found = spark.createDataFrame(balls, "block int, dim int, centre array<double>, far double")
+    pairs = saved(found.repartition(spark.sparkContext.defaultParallelism).mapInArrow(near, "block int, pair long"))
+    joined = trees.join(bounded(pairs), "block").select("pair", "block", "node", "copies", "vector", "up", "at")
     out = T.StructType([T.StructField("node", kind), T.StructField("links", T.LongType()), T.StructField("root", kind)])
 
     def meet(t: pa.Table) -> pa.Table:

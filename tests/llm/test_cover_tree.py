@@ -66,3 +66,14 @@ def test_net_and_tree_cover():
         gap = np.sqrt(np.maximum(0, 2 - 2 * x[centres] @ x[centres].T)) + 9 * np.eye(len(centres))
         assert gap.min() >= radius - 1e-9
     assert (up[1] == up[1][up[0]]).all()
+
+
+@pytest.mark.parametrize("spread", [0.0005, 0.3])
+def test_large_blocks_are_divided(spark, monkeypatch, spread):
+    """Blocks around few pivots are divided further, by pivots or, where these don't help, by hash."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 8)
+    monkeypatch.setattr(cover_tree, "MOST", 4)
+    rng = np.random.default_rng(4)
+    data = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(np.concatenate((rng.normal(size=(1, 4)) + rng.normal(size=(150, 4)) * spread, rng.normal(size=(80, 4)))))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert sorted([tuple(r) for r in cover_tree.near_duplicates(df).collect()], key=str) == brute(data)[0]
