@@ -9,11 +9,15 @@ as personalised PageRank (seed + damping * what neighbours pass on, each split
 over its links).  A page without a rule is blocked if its host's distrust
 reaches the threshold and exceeds its trust, else allowed.
 
-A page counts once for each host it links to; links inside a host are no
-endorsement and are left out.  Edges and ranks are aggregated before every
-shuffle and joined by shuffle joins that Spark can split, so a host may hold
-any share of pages or links.  Ranks are written to the shared folder every
-few rounds; the iteration ends when none changes by more than TOLERANCE.
+Links are the href of a elements outside comments, scripts and styles, with
+character references for letters of the address decoded; relative ones
+belong to the host of the page's base element, or of the page itself.  A page
+counts once for each host it links to; links inside a host are no endorsement
+and are left out.  Edges and ranks are aggregated before every shuffle and
+joined by shuffle joins that Spark can split, so a host may hold any share of
+pages or links.  Ranks are written to the shared folder every few rounds; the
+iteration ends when none changes by more than TOLERANCE, and raises an error
+if that takes more than ROUNDS.
 
 Defined cases: null urls and urls without :// have an empty host and path, no
 rule, no links and the verdict allow; null html has no links; repeated rows
@@ -27,9 +31,14 @@ from pyspark.sql import functions as F
 
 from matchlake.llm.tables import bounded, saved
 
-DAMPING, THRESHOLD, TOLERANCE, ROUNDS, STEP = 0.85, 0.5, 1e-4, 60, 4
+DAMPING, THRESHOLD, TOLERANCE, ROUNDS, STEP = 0.85, 0.5, 1e-4, 120, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
+_HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+_BASE = r"""(?i)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+#: Parts of a page whose links are none.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+#: Character references of the characters that part an address: pattern and character.
+_REFERENCES = ((r"(?i)&(?:sol|#0*47|#x0*2f);", "/"), (r"(?i)&(?:colon|#0*58|#x0*3a);", ":"), (r"(?i)&(?:period|#0*46|#x0*2e);", "."), (r"(?i)&(?:quest|#0*63|#x0*3f);", "?"), (r"(?i)&(?:num|#0*35|#x0*23);", "#"), (r"(?i)&(?:amp|#0*38|#x0*26);", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -54,13 +63,29 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _decoded(html: Column) -> Column:
+    out = html
+    for pattern, char in _REFERENCES:
+        out = F.regexp_replace(out, pattern, char)
+    return F.when(F.contains(html, F.lit("&")), out).otherwise(html)
+
+
+def _absolute(link: Column) -> Column:
+    return link.startswith("//") | link.rlike(r"(?i)^[a-z][a-z0-9+.-]*://")
+
+
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst, pages): how many pages of src link to the other host dst."""
     full = lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x)
-    links = F.filter(F.regexp_extract_all(F.col(html), F.lit(_HREF), F.lit(1)), lambda x: x.contains("//"))
-    # most links stay inside their host and name none: they are dropped before anything is exploded
-    outward = pages.where(F.col(html).rlike("""(?i)href\\s*=\\s*["']?\\s*(//|[a-z+.-]+://)"""))
-    each = outward.select(host_of(F.col(url)).alias("src"), F.explode(F.array_distinct(F.transform(links, lambda x: host_of(full(x))))).alias("dst")).where("dst <> '' and src <> '' and dst <> src")
+    # most links stay inside their host and name none: pages without others are dropped before their links are listed
+    seen = pages.select(host_of(F.col(url)).alias("src"), _decoded(F.col(html)).alias("_seen")).where("src <> ''").where(F.col("_seen").rlike("""(?i)href\\s*=\\s*["']?\\s*(//|[a-z][a-z0-9+.-]*://)"""))
+    seen = seen.withColumn("_seen", F.regexp_replace("_seen", _HIDDEN, " "))
+    base = F.regexp_extract("_seen", _BASE, 1)
+    home = F.when(_absolute(base), host_of(full(base))).otherwise(F.col("src"))
+    links = F.regexp_extract_all(F.col("_seen"), F.lit(_HREF), F.lit(1))
+    # an address of another scheme without a host (mailto:) leads nowhere
+    to = F.transform(links, lambda x: F.when(_absolute(x), host_of(full(x))).when(x.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit("")).otherwise(home))
+    each = seen.select("src", F.explode(F.array_distinct(to)).alias("dst")).where("dst <> '' and dst <> src")
     return each.groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 
@@ -85,6 +110,8 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) ->
             rank = new
             if moved is None or moved <= TOLERANCE:
                 break
+        else:
+            raise RuntimeError(f"ranks still change by {moved} after {ROUNDS} rounds")
     else:
         rank = start
     return rank.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0)).alias("distrust"))
