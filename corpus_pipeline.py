@@ -15,14 +15,16 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score, learnt from the labelled documents of this input, is TOXIC or more."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    kept = toxicity.score(docs, model, docs.columns, out="_pipeline_score").where(F.col("_pipeline_score") < TOXIC)
+    name = _free(docs, "score")
+    kept = toxicity.score(docs, model, docs.columns, out=name).where(F.col(name) < TOXIC)
     return kept.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each component of near copies, once, and all without doc_id."""
     firsts = ngram_join.join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").withColumn("_text_key", text_key(F.col("text"))).dropDuplicates(["doc_id", "_text_key"])
+    name = _free(docs, "text_key")
+    kept = docs.join(firsts, "doc_id", "left_semi").withColumn(name, text_key(F.col("text"))).dropDuplicates(["doc_id", name])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -41,6 +43,13 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars follows the text where documents have the column."""
     if "n_chars" not in docs.columns:
