@@ -123,3 +123,70 @@ def named(s: Column) -> Column:
 def normalised(value: Column, allowed: list[str], default: str) -> Column:
     """value if it is allowed, else default (also for null)."""
     return F.when(value.isin(*allowed), value).otherwise(default)
+
+
+# Metres of the court around which play counts, lengthwise and across, for feet and for players' places.
+PLAY_AREA, COURT_RANGE = ((-6.0, 24.0), (0.0, 9.0)), ((-5.0, 23.0), (-1.5, 10.5))
+# Share by which a box is padded, width of an isolation bucket, bucket of a box that is alone.
+PADDING, BUCKET, ALONE = 0.18, 0.25, 99.0
+# m/s above which a speed is no measurement; confidence and overlap of a detected action.
+TOP_SPEED, DETECTED, OVERLAP = 45.0, 0.6, 0.1
+
+
+def in_play_area(x: Column, y: Column, calibrated: Column) -> Column:
+    """A foot point inside the play area; without calibration every point is."""
+    (x1, x2), (y1, y2) = PLAY_AREA
+    return ~F.coalesce(calibrated, F.lit(False)) | F.coalesce(x.between(x1, x2) & y.between(y1, y2), F.lit(False))
+
+
+def in_court_range(x: Column, y: Column) -> Column:
+    """A place inside the court and its surroundings; false for an unknown place."""
+    (x1, x2), (y1, y2) = COURT_RANGE
+    return F.coalesce(x.between(x1, x2) & y.between(y1, y2), F.lit(False))
+
+
+def measured(interpolated: Column, pixel: Column) -> Column:
+    """A point that was seen, not filled in."""
+    return ~F.coalesce(interpolated, F.lit(False)) & pixel.isNotNull()
+
+
+def plausible_speed(speed: Column, most: float = TOP_SPEED) -> Column:
+    """The speed; null above what a ball can have."""
+    return F.when(speed <= most, speed)
+
+
+def sure_action(confidence: Column, overlap: Column) -> Column:
+    """A detected action that is sure enough and meets a player's box."""
+    return F.coalesce((confidence >= DETECTED) & (overlap >= OVERLAP), F.lit(False))
+
+
+def effective_range(start: Column, end: Column, duration: Column) -> tuple[Column, Column]:
+    """Start (else 0) and end (else the duration, else without end)."""
+    return F.coalesce(start, F.lit(0.0)), F.coalesce(end, duration, F.lit(float("inf")))
+
+
+def isolation_bucket(gap: Column) -> Column:
+    """Widths of free room beside a box in steps of BUCKET, halves to even; ALONE without a neighbour."""
+    return F.coalesce(F.bround(gap / BUCKET, 0), F.lit(ALONE))
+
+
+def padded(x1: Column, y1: Column, x2: Column, y2: Column, share: float = PADDING) -> tuple[Column, ...]:
+    """A box with a margin of a share of its size on every side."""
+    w, h = (x2 - x1) * share, (y2 - y1) * share
+    return x1 - w, y1 - h, x2 + w, y2 + h
+
+
+def boxes_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Two boxes share more than an edge."""
+    return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])
+
+
+def side_of(a: Column, b: Column) -> tuple[Column, Column]:
+    """The side with more samples (A if equal) and its share of them; null and 0 without samples."""
+    some = a + b > 0
+    return F.when(some, F.when(a >= b, "A").otherwise("B")), F.when(some, F.greatest(a, b) / (a + b)).otherwise(0.0)
+
+
+def bin_penalty(a: Column, b: Column) -> Column:
+    """What comparing galleries of two shape bins costs."""
+    return 0.2 * F.abs(a - b) / 3

@@ -77,3 +77,18 @@ def over_cap(df: DataFrame, keys: list[str], member: str, start: str, end: str,
     """(keys, member): spans that are beyond the `most` strongest for at least `share` of their own length."""
     life = df.groupBy(*keys, member).agg(F.sum(F.col(end) - F.col(start)).alias("_life"))
     return excess(df, keys, member, start, end, strength, most).join(life, [*keys, member]).where(F.col("excess") >= share * F.col("_life")).select(*keys, member)
+
+
+def dense_rebased(df: DataFrame, keys: list[str], frame: str, fps: float, low: Column, high: Column) -> DataFrame:
+    """Rows whose time frame / fps lies in [low, high], with `time` counted from low and frames renumbered from 0 without gaps."""
+    time = F.col(frame) / fps
+    kept = df.where(time.between(low, high)).withColumn("time", time - low)
+    return kept.withColumn(frame, F.row_number().over(Window.partitionBy(*keys).orderBy(frame)) - 1)
+
+
+def by_position(bounds: DataFrame, items: DataFrame, keys: list[str], order: list[str], start: str, end: str) -> DataFrame:
+    """Items at the positions start to end of their key's order, for each bound; an end beyond the last item is that, a start beyond it has none."""
+    placed = items.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    open_ = bounds.join(counts, keys).where(F.col(start) < F.col("_n")).withColumn("position", F.explode(F.sequence(F.col(start).cast("int"), F.least(F.col(end), F.col("_n") - 1).cast("int"))))
+    return open_.drop("_n").join(placed, [*keys, "position"])

@@ -17,6 +17,15 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_id:
     return left.join(best, [*keys, left_id], "left").withColumns({"near_id": F.col("_best._rid"), "near_distance": F.col("_best._d")}).drop("_best")
 
 
+def any_within(left: DataFrame, right: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    """The left rows for which some right row of their key satisfies `condition`. right: columns of other names."""
+    r = right.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = condition
+    for n, k in enumerate(keys):
+        on = on & (F.col(k) == F.col(f"_k{n}"))
+    return left.join(r, on, "left_semi")
+
+
 def count_within(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, condition: Column, name: str) -> DataFrame:
     """How many right rows of its key satisfy `condition` with each left row (0 without any). right: columns of other names."""
     n = left.join(right, keys).where(condition).groupBy(*keys, left_id).agg(F.count(F.lit(1)).alias(name))
