@@ -36,7 +36,7 @@ def selected(candidates: DataFrame, game: str, frame: str, candidate: str, width
     sure = rows.where(F.col("_first") & (F.col(confidence) >= SELECT))
     m, s = (lambda c: F.avg(c)), (lambda c: F.stddev_pop(c))
     profile = sure.groupBy(game).agg(F.count("*").alias("_n"), m(width).alias("_mw"), s(width).alias("_sw"), m(height).alias("_mh"), s(height).alias("_sh")).where(F.col("_n") >= PROFILE)
-    rows = rows.join(F.broadcast(profile), game, "left")
+    rows = rows.join(profile, game, "left")
     off = lambda v, a, b: outside(F.col(v), F.greatest(F.lit(0.0), F.col(a) - WIDTH * F.col(b)), F.col(a) + WIDTH * F.col(b))
     rows = rows.withColumn("_off", F.when(F.col("_n").isNotNull(), off(width, "_mw", "_sw") + off(height, "_mh", "_sh")).otherwise(0.0))
     best = rows.withColumn("_k", F.row_number().over(w.orderBy(F.round("_off", 9), F.desc(confidence), candidate))).where("_k = 1")
@@ -84,13 +84,46 @@ def pair_cost(gap: Column, metres: Column, zone: Column, appearance: Column, opp
 
     opposite: the lesser of two side confidences where the sides differ, else
     null.  A near continuation in space and time costs next to nothing.
+    Without calibration places say nothing: only look, time and side count.
     """
     penalty = F.when(opposite.isNotNull(), 0.35 * opposite).otherwise(0.0)
+    if not calibrated:
+        seen = F.when((gap <= 1800) & (appearance <= 0.22) & (F.coalesce(opposite, F.lit(0.0)) < 0.7), 0.85 * appearance + 0.15 * F.least(F.lit(1.0), gap / 1800.0) + penalty)
+        return F.when(seen <= 0.45, seen)
     blend = 0.45 * appearance + 0.40 * zone + 0.15 * F.least(F.lit(1.0), gap / 1800.0) + penalty
     cost = F.when(gap > 1800, None).when((gap <= 15) & (metres <= 1.0), 0.05 * metres).when((zone > 0.85) | (appearance > 0.22), None).otherwise(blend)
     return F.when(F.coalesce(opposite, F.lit(0.0)) >= 0.7, None).when(cost <= 0.45, cost)
 
 
+# Weights of look and zone, of look without zones, of differing sides; frames after which places count half.
+LOOK, ZONE, LOOK_ALONE, OPPOSITE, RELAXED = 0.45, 0.40, 0.85, 0.35, 25.0
+
+
+def merge_cost(gap: Column, metres: Column, zone: Column, appearance: Column, moved: Column, side_a: Column, sure_a: Column, side_b: Column, sure_b: Column, most: float = 0.45) -> Column:
+    """The whole cost of merging two clusters; null if they can't be one player or it is above `most`.
+
+    gap: frames between their spans (null: they overlap); metres: the move
+    across the court in it (null: not calibrated); zone and appearance:
+    distances (null: unknown); moved: the move as a share of the diagonal;
+    sides with their confidences.
+    """
+    differ = F.coalesce(side_a != side_b, F.lit(False))
+    penalty = F.when(differ, OPPOSITE * F.least(sure_a, sure_b)).otherwise(0.0)
+    spatial = F.least(F.lit(1.0), moved / (1.0 + gap / RELAXED))
+    blend = F.when(zone.isNull(), LOOK_ALONE * appearance + (1 - LOOK_ALONE) * spatial).otherwise(LOOK * appearance + ZONE * zone + (1 - LOOK - ZONE) * spatial) + penalty
+    seen = F.when(~F.coalesce(zone > 0.85, F.lit(False)) & (appearance <= 0.22) & (blend <= most), blend)
+    cost = F.when((gap <= 15) & (metres <= 1.0), 0.05 * metres).otherwise(seen)
+    return F.when((gap <= 1800) & ~(differ & (sure_a >= 0.7) & (sure_b >= 0.7)), cost)
+
+
+def reselected(raw: DataFrame, roi: DataFrame, game: str, frame: str, candidate: str, width: str, height: str, confidence: str, x: str, y: str, least: float) -> DataFrame:
+    """selected() over raw candidates under another region of interest (game, x1, y1, x2, y2) and least diagonal; games without a region keep all."""
+    rows = raw.join(roi, game, "left")
+    inside = F.col("x1").isNull() | (F.col(x).between(F.col("x1"), F.col("x2")) & F.col(y).between(F.col("y1"), F.col("y2")))
+    kept = rows.where(inside & (F.sqrt(F.col(width) * F.col(width) + F.col(height) * F.col(height)) >= least))
+    return selected(kept.select(*raw.columns), game, frame, candidate, width, height, confidence)
+
+
 def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, keys: list[str], member: str, start: str, end: str, zone: str, side: str, vector: str, shape: str, zone_most: float = 0.95, confident: float = 0.7, most: float = 0.34) -> DataFrame:
     """(keys, a, b, distance): pairs of members that may be one player, of which no time, place, side or look speaks against.
 
