@@ -73,7 +73,7 @@ def rallies_overridden(given: DataFrame, games: DataFrame, game: str = "game", s
     start, with frames and durations computed anew.
     """
     w = Window.partitionBy(game).orderBy("start_time_s", "end_time_s")
-    rows = given.join(F.broadcast(games), game).withColumns({"rally_index": F.row_number().over(w) - 1, "_before": F.max("end_time_s").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = given.join(games, game).withColumns({"rally_index": F.row_number().over(w) - 1, "_before": F.max("end_time_s").over(w.rowsBetween(Window.unboundedPreceding, -1))})
     fault = F.when(F.col("end_time_s") <= F.col("start_time_s"), "ends before it begins").when(F.col("start_time_s") < 0, "begins before the game").when(F.col("end_time_s") > F.col("duration_s") + slack, "ends after the game").when(F.col("start_time_s") < F.col("_before"), "overlaps the one before")
     rows = rows.withColumn("fault", fault)
     faults = rows.where("fault is not null").select(game, "start_time_s", "fault")

@@ -7,59 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: Stage, parameter, kind, default, least, most.
-_TABLE = """
-player_tracking APPEARANCE_WEIGHT float 0.45 0 1
-player_tracking APPEARANCE_WEIGHT_WITHOUT_ZONES float 0.85 0 1
-player_tracking ZONE_WEIGHT float 0.40 0 1
-player_tracking CANDIDATE_MAX_APPEARANCE_DISTANCE float 0.34 0 1
-player_tracking APPEARANCE_MAX_DISTANCE float 0.22 0 1
-player_tracking SIDE_MISMATCH_PENALTY float 0.35 0 1
-player_tracking SIDE_MIN_CONFIDENCE float 0.7 0 1
-player_tracking MERGE_MAX_COST float 0.45 0 2
-player_tracking MAX_PLAYERS_PER_SIDE int 6 4 8
-player_tracking MIN_TRACKLET_FRAMES int 2 1 30
-player_tracking MIN_IN_PLAY_FRACTION float 0.5 0 1
-ball_detection COLLECTION_CONF_THRESHOLD float 0.05 0 1
-ball_detection MIN_SELECT_CONFIDENCE float 0.60 0 1
-ball_detection MIN_BALL_DIAGONAL_PX float 6 1 30
-ball_detection MAX_PLAUSIBLE_REPORTED_SPEED_MS float 45 10 80
-ball_detection MIN_FLIGHT_SEGMENT_FRAMES int 8 2 30
-ball_detection MAX_INTERPOLATE_GAP_FRAMES int 20 1 60
-game_status MAX_GAP_SECONDS_WITHIN_RALLY float 1.0 0.2 5
-game_status MIN_RALLY_DURATION_SECONDS float 1.5 0.2 5
-game_status SMOOTHING_WINDOW_CHUNKS int 5 1 15
-action_detection HIT_ANGLE_THRESHOLD_DEG float 40 10 80
-action_detection HIT_SPEED_RATIO_THRESHOLD float 1.6 1 3
-action_detection MIN_HIT_SEPARATION_SECONDS float 0.3 0.05 1
-action_detection MAX_PLAYER_ATTRIBUTION_DISTANCE_M float 2.5 0.5 6
-action_detection NET_PROXIMITY_M float 2.5 0.5 6
-action_detection FAST_INCOMING_SPEED_MS float 8 2 20
-action_detection ACTION_DETECTOR_CONFIDENCE_THRESHOLD float 0.6 0 1
-consolidating SERVE_WEIGHTS.speed float 0.35 0 1
-consolidating SERVE_WEIGHTS.placement float 0.40 0 1
-consolidating SERVE_WEIGHTS.trajectory_height float 0.25 0 1
-consolidating RECEIVE_WEIGHTS.placement float 0.35 0 1
-consolidating RECEIVE_WEIGHTS.reaction float 0.30 0 1
-consolidating RECEIVE_WEIGHTS.handling_speed float 0.35 0 1
-consolidating SET_WEIGHTS.placement float 0.40 0 1
-consolidating SET_WEIGHTS.height float 0.25 0 1
-consolidating SET_WEIGHTS.time_given float 0.35 0 1
-consolidating SPIKE_WEIGHTS.positioning float 0.25 0 1
-consolidating SPIKE_WEIGHTS.speed float 0.30 0 1
-consolidating SPIKE_WEIGHTS.placement float 0.25 0 1
-consolidating SPIKE_WEIGHTS.blockers float 0.20 0 1
-consolidating BLOCK_WEIGHTS.positioning float 0.35 0 1
-consolidating BLOCK_WEIGHTS.reach float 0.35 0 1
-consolidating BLOCK_WEIGHTS.timing float 0.30 0 1
-rendering TRAIL_LENGTH int 15 1 60
-rendering BALL_MARKER_RADIUS int 6 2 20
-rendering ACTION_DISPLAY_SECONDS float 1.5 0.2 5
-transcoding CRF int 23 15 35
-"""
-#: The choices of transcoding's PRESET, whose default is veryfast.
-_PRESETS = ("ultrafast", "superfast", "veryfast", "faster", "fast", "medium", "slow", "slower", "veryslow")
-
 
 class ParamError(ValueError):
     """A stage, parameter or value that does not exist or is out of range."""
@@ -85,18 +32,72 @@ class Param:
         return int(value) if self.kind == "int" else float(value)
 
 
-def _registry() -> dict[str, dict[str, Param]]:
-    found: dict[str, dict[str, Param]] = {}
-    for line in _TABLE.split("\n"):
-        if line:
-            stage, name, kind, default, least, most = line.split()
-            found.setdefault(stage, {})[name] = Param(kind, (int if kind == "int" else float)(default), float(least), float(most))
-    found["transcoding"]["PRESET"] = Param("enum", "veryfast", options=_PRESETS)
-    found["dashboard"] = {}
-    return found
-
-
-REGISTRY = _registry()
+# The parameters of each stage, with their kinds, defaults and ranges.
+REGISTRY: dict[str, dict[str, Param]] = {
+    "player_tracking": {
+        "APPEARANCE_WEIGHT": Param("float", 0.45, 0, 1),
+        "APPEARANCE_WEIGHT_WITHOUT_ZONES": Param("float", 0.85, 0, 1),
+        "ZONE_WEIGHT": Param("float", 0.4, 0, 1),
+        "CANDIDATE_MAX_APPEARANCE_DISTANCE": Param("float", 0.34, 0, 1),
+        "APPEARANCE_MAX_DISTANCE": Param("float", 0.22, 0, 1),
+        "SIDE_MISMATCH_PENALTY": Param("float", 0.35, 0, 1),
+        "SIDE_MIN_CONFIDENCE": Param("float", 0.7, 0, 1),
+        "MERGE_MAX_COST": Param("float", 0.45, 0, 2),
+        "MAX_PLAYERS_PER_SIDE": Param("int", 6, 4, 8),
+        "MIN_TRACKLET_FRAMES": Param("int", 2, 1, 30),
+        "MIN_IN_PLAY_FRACTION": Param("float", 0.5, 0, 1),
+    },
+    "ball_detection": {
+        "COLLECTION_CONF_THRESHOLD": Param("float", 0.05, 0, 1),
+        "MIN_SELECT_CONFIDENCE": Param("float", 0.6, 0, 1),
+        "MIN_BALL_DIAGONAL_PX": Param("float", 6.0, 1, 30),
+        "MAX_PLAUSIBLE_REPORTED_SPEED_MS": Param("float", 45.0, 10, 80),
+        "MIN_FLIGHT_SEGMENT_FRAMES": Param("int", 8, 2, 30),
+        "MAX_INTERPOLATE_GAP_FRAMES": Param("int", 20, 1, 60),
+    },
+    "game_status": {
+        "MAX_GAP_SECONDS_WITHIN_RALLY": Param("float", 1.0, 0.2, 5),
+        "MIN_RALLY_DURATION_SECONDS": Param("float", 1.5, 0.2, 5),
+        "SMOOTHING_WINDOW_CHUNKS": Param("int", 5, 1, 15),
+    },
+    "action_detection": {
+        "HIT_ANGLE_THRESHOLD_DEG": Param("float", 40.0, 10, 80),
+        "HIT_SPEED_RATIO_THRESHOLD": Param("float", 1.6, 1, 3),
+        "MIN_HIT_SEPARATION_SECONDS": Param("float", 0.3, 0.05, 1),
+        "MAX_PLAYER_ATTRIBUTION_DISTANCE_M": Param("float", 2.5, 0.5, 6),
+        "NET_PROXIMITY_M": Param("float", 2.5, 0.5, 6),
+        "FAST_INCOMING_SPEED_MS": Param("float", 8.0, 2, 20),
+        "ACTION_DETECTOR_CONFIDENCE_THRESHOLD": Param("float", 0.6, 0, 1),
+    },
+    "consolidating": {
+        "SERVE_WEIGHTS.speed": Param("float", 0.35, 0, 1),
+        "SERVE_WEIGHTS.placement": Param("float", 0.4, 0, 1),
+        "SERVE_WEIGHTS.trajectory_height": Param("float", 0.25, 0, 1),
+        "RECEIVE_WEIGHTS.placement": Param("float", 0.35, 0, 1),
+        "RECEIVE_WEIGHTS.reaction": Param("float", 0.3, 0, 1),
+        "RECEIVE_WEIGHTS.handling_speed": Param("float", 0.35, 0, 1),
+        "SET_WEIGHTS.placement": Param("float", 0.4, 0, 1),
+        "SET_WEIGHTS.height": Param("float", 0.25, 0, 1),
+        "SET_WEIGHTS.time_given": Param("float", 0.35, 0, 1),
+        "SPIKE_WEIGHTS.positioning": Param("float", 0.25, 0, 1),
+        "SPIKE_WEIGHTS.speed": Param("float", 0.3, 0, 1),
+        "SPIKE_WEIGHTS.placement": Param("float", 0.25, 0, 1),
+        "SPIKE_WEIGHTS.blockers": Param("float", 0.2, 0, 1),
+        "BLOCK_WEIGHTS.positioning": Param("float", 0.35, 0, 1),
+        "BLOCK_WEIGHTS.reach": Param("float", 0.35, 0, 1),
+        "BLOCK_WEIGHTS.timing": Param("float", 0.3, 0, 1),
+    },
+    "rendering": {
+        "TRAIL_LENGTH": Param("int", 15, 1, 60),
+        "BALL_MARKER_RADIUS": Param("int", 6, 2, 20),
+        "ACTION_DISPLAY_SECONDS": Param("float", 1.5, 0.2, 5),
+    },
+    "transcoding": {
+        "CRF": Param("int", 23, 15, 35),
+        "PRESET": Param("enum", "veryfast", options=("ultrafast", "superfast", "veryfast", "faster", "fast", "medium", "slow", "slower", "veryslow")),
+    },
+    "dashboard": {},
+}
 
 
 def validated(values: dict[str, dict]) -> dict[str, dict]:

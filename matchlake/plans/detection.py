@@ -136,7 +136,7 @@ def trimmed_touches(spark: SparkSession, d: str) -> DataFrame:
     """Touches without a day of warm-up and one of cool-down, counted from the warm-up's end and numbered anew."""
     t = touches(spark, d)
     w = t.groupBy("game").agg((F.min("frame") + 86_400).alias("lo"), (F.max("frame") - 86_400).alias("hi"))
-    rows = t.join(F.broadcast(w), "game").where(F.col("frame").between(F.col("lo"), F.col("hi")))
+    rows = t.join(w, "game").where(F.col("frame").between(F.col("lo"), F.col("hi")))
     return rows.select("game", "touch_id", (F.col("frame") - F.col("lo")).alias("frame"), (F.row_number().over(Window.partitionBy("game").orderBy("frame", "touch_id")) - 1).cast("long").alias("position"))
 
 
@@ -145,7 +145,7 @@ def trimmed_rallies(spark: SparkSession, d: str) -> DataFrame:
     """Only rallies wholly inside the trimmed range."""
     r = _won(spark, d)
     w = r.groupBy("game").agg((F.min("start") + 86_400).alias("lo"), (F.max("end") - 86_400).alias("hi"))
-    out = intervals.rebased(r.join(F.broadcast(w), "game"), "start", "end", F.col("lo"), F.col("hi"))
+    out = intervals.rebased(r.join(w, "game"), "start", "end", F.col("lo"), F.col("hi"))
     return out.select("game", F.col("rally").cast("long").alias("rally"), "start", "end")
 
 
@@ -155,7 +155,7 @@ def player_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Hits, games, wins and losses of each player over all games."""
     s = touches(spark, d).groupBy("game", "player").agg(F.count("*").alias("hits"), F.when(F.avg("x") < 9.0, "A").otherwise("B").alias("side"))
     m = _won(spark, d).groupBy("game").agg(stats.winner(F.count_if(F.col("winner") == "A"), F.count_if(F.col("winner") == "B"), "A", "B").alias("w"))
-    return s.join(F.broadcast(m), "game").groupBy("player").agg(F.sum("hits").alias("hits"), F.count("*").alias("games"), F.count_if(F.col("w") == F.col("side")).alias("wins"), F.count_if(F.col("w") != F.col("side")).alias("losses"))
+    return s.join(m, "game").groupBy("player").agg(F.sum("hits").alias("hits"), F.count("*").alias("games"), F.count_if(F.col("w") == F.col("side")).alias("wins"), F.count_if(F.col("w") != F.col("side")).alias("losses"))
 
 
 @query(f"""WITH {SCORED}, g AS (SELECT game, player, round(avg(score), 9) AS a, count(score) AS n FROM scored GROUP BY ALL HAVING count(score) > 0) SELECT game, player, round(a, 6) AS average FROM (SELECT *, row_number() OVER (PARTITION BY game ORDER BY a DESC, player) AS k FROM g) WHERE k = 1""")

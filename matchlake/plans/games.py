@@ -36,7 +36,7 @@ def region_of_interest(spark: SparkSession, d: str) -> DataFrame:
     m = 0.08 * 20
     roi = t.where("action_type = 'serve'").groupBy("game").agg((F.min("x") - m).alias("x1"), (F.max("x") + m).alias("x2"), (F.max("y") + m).alias("y2"))
     inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(0, F.col("y2")) & (scalars.box_diagonal(F.lit(0.0), F.lit(0.0), F.col("speed"), F.col("y")) >= 1)
-    return t.join(F.broadcast(roi), "game").where(inside).groupBy("game").agg(F.count("*").alias("n"))
+    return t.join(roi, "game").where(inside).groupBy("game").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {RALLIES} SELECT t.game, t.touch_id, r.rally, a.touch_id AS last_spike FROM (SELECT * FROM touches WHERE action_type = 'dig') t LEFT JOIN (SELECT * FROM rallies WHERE n >= 2) r ON t.game = r.game AND t.rally = r.rally

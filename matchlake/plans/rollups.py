@@ -132,7 +132,7 @@ def gallery_match(spark: SparkSession, d: str) -> DataFrame:
     """Query vectors (every 50th) against the whole gallery of even ids, with a margin to the second name."""
     e = table(spark, d, "embeddings").withColumn("all", F.lit(0))
     gallery = e.where("vec_id % 2 = 0").select("all", F.col("label").alias("name"), "embedding")
-    out = vectors.gallery_match(e.where("vec_id % 50 = 1").select("all", "vec_id", "embedding"), gallery, "vec_id", "embedding", "name", ["all"], 0.8, 0.02)
+    out = vectors.gallery_match(e.where("vec_id % 50 = 1").select("all", "vec_id", "embedding"), gallery, "vec_id", "embedding", "name", ["all"], 0.8, 0.02, parts=64)
     return out.select("vec_id", "name", F.round("distance", 5).alias("distance"))
 
 
@@ -151,7 +151,7 @@ def gallery_match_all(spark: SparkSession, d: str) -> DataFrame:
     """All query vectors (odd ids) against the whole gallery of even ids, with a margin to the second name."""
     e = table(spark, d, "embeddings").withColumn("all", F.lit(0))
     gallery = e.where("vec_id % 2 = 0").select("all", F.col("label").alias("name"), "embedding")
-    out = vectors.gallery_match(e.where("vec_id % 2 = 1").select("all", "vec_id", "embedding"), gallery, "vec_id", "embedding", "name", ["all"], 0.8, 0.02)
+    out = vectors.gallery_match(e.where("vec_id % 2 = 1").select("all", "vec_id", "embedding"), gallery, "vec_id", "embedding", "name", ["all"], 0.8, 0.02, parts=64)
     return out.select("vec_id", "name", F.round("distance", 5).alias("distance"))
 
 

@@ -168,8 +168,8 @@ def ground_truth(rows: DataFrame, frames: int, width: str = "width", height: str
 
 
 def write_log(df: DataFrame, path: str) -> None:
-    """The log as JSON, in place of what was there, by job."""
-    df.write.mode("overwrite").partitionBy("job_id").json(path)
+    """The log as JSON by job, in place of what its jobs had; logs of other jobs stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").json(path)
 
 
 def signature(df: DataFrame):
@@ -184,6 +184,46 @@ def stale(now: DataFrame, built: DataFrame) -> DataFrame:
     return now.join(b, "job_id", "full_outer").where("not (signature <=> _old)").select("job_id")
 
 
+def refresh(now: DataFrame, view: str, signatures: str, build) -> DataFrame:
+    """The view (Parquet by job_id) after the jobs whose signature changed were built anew and those that are gone removed.
+
+    now: signature() of the logs.  build: (DataFrame of job_id, signature) -> the view's
+    rows of these jobs.  signatures: where those of the last build are kept;
+    both are made at the first call.  Only changed jobs are computed and
+    written; signatures are written last, so that a failed build is repeated.
+    """
+    spark = now.sparkSession
+    try:
+        built = spark.read.schema("job_id string, signature long").parquet(signatures)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        built = spark.createDataFrame([], "job_id string, signature long")
+    fresh = now.join(stale(now, built), "job_id", "left_semi")
+    if fresh.limit(1).count():
+        build(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(view)
+    now.select("job_id", "signature").write.mode("overwrite").parquet(signatures)
+    rows = spark.read.option("partitionInferSchema", "false").parquet(view)
+    return rows.withColumn("job_id", F.col("job_id").cast("string")).join(now.select("job_id"), "job_id", "left_semi")
+
+
+def heights(spark: SparkSession, glob: str) -> DataFrame:
+    """(job_id, frame_idx, height_m) of the ball's log where its height is known."""
+    return document(spark, glob, schemas.BALL).where("height_m is not null").select("job_id", "frame_idx", "height_m")
+
+
+def write_galleries(df: DataFrame, path: str, track: str = "track", vector: str = "vector", least: int = 2) -> None:
+    """Vectors by job as Parquet, in place of what its jobs had; tracks of fewer than `least` vectors are left out."""
+    usable = df.where(F.col(vector).isNotNull()).groupBy("job_id", track).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    kept = df.join(usable.select("job_id", track), ["job_id", track], "left_semi")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+
+
+def galleries(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors that write_galleries wrote, job_id as text."""
+    return spark.read.option("partitionInferSchema", "false").parquet(path).withColumn("job_id", F.col("job_id").cast("string"))
+
+
 def resumed(specs: DataFrame, reports: DataFrame, key: str) -> DataFrame:
     """The specs that have no report yet."""
     return specs.join(reports.select(key).distinct(), key, "left_anti")

@@ -86,3 +86,34 @@ def test_streams_equal_batches(spark, tmp_path):
 
     want = ordered.running_differential(w, ["game"], ["n"], F.col("winner") == "A", F.col("winner") == "B").select("game", "n", "momentum")
     assert sorted(tuple(r) for r in spark.table("momentum_seen").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_logs_of_other_jobs_stay(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "job_id string, x long")
+    logs.write_log(rows(("a", 1), ("b", 2)), f"{tmp_path}/log")
+    logs.write_log(rows(("b", 3)), f"{tmp_path}/log")
+    assert sorted((r["job_id"], r["x"]) for r in spark.read.json(f"{tmp_path}/log").collect()) == [("a", 1), ("b", 3)]
+
+
+def test_refresh_builds_what_changed(spark, tmp_path):
+    asked = []
+
+    def build(jobs):
+        asked.append(sorted(r[0] for r in jobs.select("job_id").collect()))
+        return jobs.select("job_id", (F.col("signature") * 10).alias("v"))
+
+    now = lambda *r: spark.createDataFrame(list(r), "job_id string, signature long")
+    run = lambda *r: sorted((x["job_id"], x["v"]) for x in logs.refresh(now(*r), f"{tmp_path}/view", f"{tmp_path}/built", build).collect())
+    assert run(("1", 5), ("b", 6)) == [("1", 50), ("b", 60)]
+    assert run(("1", 5), ("b", 7), ("c", 8)) == [("1", 50), ("b", 70), ("c", 80)]
+    assert run(("1", 5), ("c", 8)) == [("1", 50), ("c", 80)]
+    assert run(("1", 5), ("c", 8)) == [("1", 50), ("c", 80)]
+    assert asked == [["1", "b"], ["b", "c"]]
+
+
+def test_heights_and_galleries(spark, tmp_path):
+    put(tmp_path, "a/ball.json", [{"frame_idx": 1, "height_m": 2.5}, {"frame_idx": 2}, {"frame_idx": 3, "height_m": None}])
+    assert [tuple(r) for r in logs.heights(spark, f"{tmp_path}/*/ball.json").collect()] == [("a", 1, 2.5)]
+    df = spark.createDataFrame([("7", 1, [1.0, 2.0]), ("7", 1, [3.0, 4.0]), ("7", 2, [1.0, 1.0]), ("7", 3, [1.0, 1.0]), ("7", 3, None)], "job_id string, track long, vector array<float>")
+    logs.write_galleries(df, f"{tmp_path}/g")
+    assert sorted((r["job_id"], r["track"], r["vector"]) for r in logs.galleries(spark, f"{tmp_path}/g").collect()) == [("7", 1, [1.0, 2.0]), ("7", 1, [3.0, 4.0])]
