@@ -228,10 +228,7 @@ def filled_gaps(spark: SparkSession, d: str) -> DataFrame:
     return ordered.interpolated(grid.join(h, ["game", "hour"], "left"), ["game"], "hour", "v", 5).select("game", "hour", "interpolated", r6(F.col("v"), "v"))
 
 
-@query(f"""WITH {TOUCHES}, h AS (SELECT game, frame // 3600 AS t, avg(speed) AS v FROM touches GROUP BY ALL),
-k AS (SELECT *, coalesce((v - lag(v) OVER w) / (t - lag(t) OVER w), 0) AS m0, lead(t) OVER w AS t1, lead(v) OVER w AS v1, coalesce((lead(v, 2) OVER w - lead(v) OVER w) / (lead(t, 2) OVER w - lead(t) OVER w), 0) AS m1 FROM h WINDOW w AS (PARTITION BY game ORDER BY t)),
-f AS (SELECT *, unnest(range(t + 1, t1)) AS hour FROM k WHERE t1 - t BETWEEN 2 AND 21), s AS (SELECT *, (hour - t) / (t1 - t) AS s FROM f)
-SELECT game, t AS hour, round(v, 6) AS v, false AS interpolated FROM h UNION ALL SELECT game, hour, round((2 * s * s * s - 3 * s * s + 1) * v + (s * s * s - 2 * s * s + s) * m0 * 0.6 * (t1 - t) + (3 * s * s - 2 * s * s * s) * v1 + (s * s * s - s * s) * m1 * 0.6 * (t1 - t), 6), true FROM s""")
+@query()
 def hermite_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Hourly mean speeds, gaps of up to 20 hours filled by damped cubics."""
     h = touches(spark, d).groupBy("game", F.floor(F.col("frame") / 3600).alias("hour")).agg(F.avg("speed").alias("v"))

@@ -90,6 +90,30 @@ def test_cluster_query(spark):
             assert {got[i] for i in ids} == {min(ids)}
 
 
+def test_hermite_query(spark):
+    got = {(r["game"], r["hour"]): (r["v"], r["interpolated"]) for r in catalog.queries()["hermite_gaps"](spark, DIR).collect()}
+    games = defaultdict(lambda: defaultdict(list))
+    for r in touches(spark, DIR).collect():
+        games[r["game"]][r["frame"] // 3600].append(r["speed"])
+    want = {}
+    for game, hours in games.items():
+        t = sorted(hours)
+        v = [sum(hours[h]) / len(hours[h]) for h in t]
+        want |= {(game, h): (x, False) for h, x in zip(t, v, strict=True)}
+        slope = [(v[k + 1] - v[k]) / (t[k + 1] - t[k]) for k in range(len(t) - 1)]
+        for k, m in enumerate(slope):
+            span = t[k + 1] - t[k]
+            if not 2 <= span <= 21:
+                continue
+            m0, m1 = (slope[k - 1] if k else 0.0) * 0.6 * span, (slope[k + 1] if k + 1 < len(slope) else 0.0) * 0.6 * span
+            for h in range(t[k] + 1, t[k + 1]):
+                s = (h - t[k]) / span
+                curve = np.polyval([2 * v[k] - 2 * v[k + 1] + m0 + m1, -3 * v[k] + 3 * v[k + 1] - 2 * m0 - m1, m0, v[k]], s)
+                want[(game, h)] = (float(curve), True)
+    assert got.keys() == want.keys() and any(i for _, i in want.values())
+    assert all(abs(got[k][0] - x) < 1e-5 and got[k][1] == i for k, (x, i) in want.items())
+
+
 def cliques(edges, shared, names):
     link, of = {}, {}
     for a, b, s in edges:
