@@ -95,3 +95,15 @@ def test_hinge_fit_separates():
     y = np.array([1.0 if w[f].sum() > 0 else -1.0 for f, _ in xs])
     fitted, bias = quality.descend(xs, y, cost=50.0, epochs=400)
     assert np.mean([np.sign(fitted[f] @ v + bias) == k for (f, v), k in zip(xs, y, strict=True)]) > 0.97
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    from matchlake.llm import queries
+
+    docs = [(i, f"word{i % 7} plain text {'idiot scum' if i % 3 == 0 else 'nice day'}") for i in range(60)] + [(None, "plain text idiot"), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (queries.op4_toxicity, queries.op9_quality):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == 62 and all(r["held_out"] is False for r in rows if r["doc_id"] is None)
+        assert all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in rows) and 0 < sum(r["held_out"] for r in rows) < 60
