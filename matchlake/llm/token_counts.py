@@ -14,11 +14,12 @@ emitted tokens, so a count is the sum along the path.  Transitions are
 compiled when they are first met, and kept.
 
 *Chunks.*  Many pre-tokens advance in lockstep.  A long pre-token is cut into
-chunks that run in parallel from assumed entry states; a scan then compares
-each chunk's exit with the entry assumed after it, and chunks whose entry was
-wrong run again, until all agree.  A border resets the state, so that the
-state map of a chunk with a border is constant behind it, and the counts of a
-text's chunks simply add up.
+chunks, and each chunk gets a state map: entry state to exit state and count,
+over the states that can be met at its front.  These are the root and, until
+nothing new appears, the exits of the map of the chunk before it; all new
+entries of a round run in parallel.  The maps are then composed by doubling: after k rounds a map spans 2^k chunks, and the map of a whole
+pre-token, applied to the root, gives its count.  A border resets the state,
+so that the counts of a text's pre-tokens simply add up.
 
 Texts: null and empty texts have 0 tokens; a text of any length is read whole;
 repeated rows count alike.  A special token's string inside a text is one
@@ -40,8 +41,8 @@ from matchlake.llm.kernels import _PLACE, _STEP, flat, held, mix, stream, tidy
 
 LETTER, NUMBER, REST, BLANK, WHITE = range(5)
 _BYTE = stream(256, 7)
-#: Bytes of text per pass; chunk length of long pre-tokens; distinct pre-tokens remembered.
-PIECE, CHUNK, MEMO = 1 << 20, 256, 1 << 20
+#: Bytes of text per pass; chunk length of long pre-tokens; distinct pre-tokens and states remembered.
+PIECE, CHUNK, MEMO, STATES = 1 << 20, 256, 1 << 20, 1 << 19
 _U = np.uint64
 
 
@@ -89,11 +90,14 @@ class Transducer:
         self.codec = Codec(ranks, r"")
         self.ranks = ranks
         self.open = {b[:k] for b in ranks for k in range(1, len(b) + 1)}  # prefixes of tokens
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the compiled states and transitions."""
         root = (b"", (-1,), (0,))
         self.ids, self.states = {root: 0}, [root]
-        self.keys = np.zeros(0, np.int64)  # state * 256 + byte, sorted
-        self.to = np.zeros(0, np.int64)
-        self.delta = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.old = self.new = (none, none, none)  # transitions: state * 256 + byte (sorted), next state, change of the count
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
         """The next state and the change of the count."""
@@ -121,19 +125,19 @@ class Transducer:
         return to, count
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and changes of the count; transitions not met before are compiled."""
         key = state * 256 + byte
-        at = np.searchsorted(self.keys, key)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == key[known]
-        if not known.all():
-            new = np.unique(key[~known])
-            made = np.array([self.compile(int(k) >> 8, int(k) & 255) for k in new], np.int64)
-            where = np.searchsorted(self.keys, new)
-            self.keys = np.insert(self.keys, where, new)
-            self.to = np.insert(self.to, where, made[:, 0])
-            self.delta = np.insert(self.delta, where, made[:, 1])
-            at = np.searchsorted(self.keys, key)
-        return self.to[at], self.delta[at]
+        to, delta = np.empty_like(key), np.empty_like(key)
+        left = _looked_up(self.old, key, np.arange(len(key)), to, delta)
+        left = _looked_up(self.new, key, left, to, delta)
+        if len(left):
+            keys = np.unique(key[left])
+            made = np.array([self.compile(int(k) >> 8, int(k) & 255) for k in keys], np.int64)
+            self.new = _merged(self.new, (keys, made[:, 0], made[:, 1]))
+            _looked_up(self.new, key, left, to, delta)
+            if 8 * len(self.new[0]) > len(self.old[0]):  # large tables are seldom copied
+                self.old, self.new = _merged(self.old, self.new), tuple(x[:0] for x in self.new)
+        return to, delta
 
     def run(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exit states and count changes of many byte ranges that advance in lockstep."""
@@ -150,23 +154,73 @@ class Transducer:
 
     def counts(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Token counts of byte ranges, each one pre-token."""
-        if len(self.states) > 4 * MEMO:
-            self.__init__(self.ranks)
-        parts = np.maximum(1, -(-size // CHUNK))
-        owner = np.repeat(np.arange(len(start)), parts)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        at = start[owner] + number * CHUNK
-        length = np.minimum(CHUNK, size[owner] - number * CHUNK)
-        entry = np.zeros(len(owner), np.int64)
-        todo = np.arange(len(owner))
-        leave, total = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        if len(self.states) > STATES:
+            self.forget()
+        out = np.zeros(len(start), np.int64)
+        long = size > CHUNK
+        out[~long] = self.run(data, start[~long], size[~long], np.zeros((~long).sum(), np.int64))[1]
+        if long.any():
+            out[long] = self.composed(data, start[long], size[long])
+        return out
+
+    def maps(self, data: np.ndarray, at: np.ndarray, length: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """State maps of chunks: (chunk << 32 | entry state, sorted; exit state; count).
+
+        last: marks chunks that end a pre-token. A chunk's map holds the root and the exits of the map
+        of the chunk before it. Chunks of equal bytes run only once from a state.
+        """
+        rows = data[np.minimum(at[:, None] + np.arange(CHUNK), len(data) - 1)]
+        rows[np.arange(CHUNK) >= length[:, None]] = 0
+        rows = np.column_stack((rows, (length - 1).astype(np.uint8)))
+        _, one, shape = np.unique(rows.view(f"V{CHUNK + 1}").ravel(), return_index=True, return_inverse=True)
+        todo = np.arange(len(at)) << 32
+        nodes, ran = todo[:0], (todo[:0], todo[:0], todo[:0])
         while len(todo):
-            leave[todo], total[todo] = self.run(data, at[todo], length[todo], entry[todo])
-            right = np.append(0, leave[:-1])
-            right[number == 0] = 0
-            todo = np.flatnonzero(right != entry)
-            entry = right
-        return np.add.reduceat(total, np.cumsum(parts) - parts) if len(parts) else total
+            wanted = shape[todo >> 32] << 32 | todo & 0xFFFFFFFF
+            new = np.setdiff1d(wanted, ran[0])
+            ran = _merged(ran, (new, *self.run(data, at[one][new >> 32], length[one][new >> 32], new & 0xFFFFFFFF)))
+            nodes = np.insert(nodes, np.searchsorted(nodes, todo), todo)
+            on = ~last[todo >> 32]
+            leave = ran[1][np.searchsorted(ran[0], wanted[on])]
+            todo = np.setdiff1d(((todo[on] >> 32) + 1) << 32 | leave, nodes)
+        which = np.searchsorted(ran[0], shape[nodes >> 32] << 32 | nodes & 0xFFFFFFFF)
+        return nodes, ran[1][which], ran[2][which]
+
+    def composed(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Token counts of long pre-tokens, by the composed state maps of their chunks."""
+        parts = -(-size // CHUNK)
+        head = np.cumsum(parts) - parts
+        owner = np.repeat(np.arange(len(start)), parts)
+        number = np.arange(len(owner)) - head[owner]
+        last = number == parts[owner] - 1
+        key, leave, total = self.maps(data, start[owner] + number * CHUNK, np.minimum(CHUNK, size[owner] - number * CHUNK), last)
+        end = len(key)
+        go = np.flatnonzero(~last[key >> 32])
+        to = np.full(end + 1, end)
+        to[go] = np.searchsorted(key, ((key[go] >> 32) + 1) << 32 | leave[go])
+        total = np.append(total, 0)
+        for _ in range(int(parts.max() - 1).bit_length()):  # each map followed by the map it leads to
+            total = total + total[to]
+            to = to[to]
+        return total[np.searchsorted(key, head << 32)]
+
+
+def _looked_up(table, key: np.ndarray, rows: np.ndarray, to: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """Fills to and delta for the rows whose key the table holds; the other rows."""
+    keys = table[0]
+    if not len(keys) or not len(rows):
+        return rows
+    k = key[rows]
+    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    has = keys[at] == k
+    to[rows[has]], delta[rows[has]] = table[1][at[has]], table[2][at[has]]
+    return rows[~has]
+
+
+def _merged(one, two):
+    """Two tables with sorted keys as one."""
+    at = np.searchsorted(one[0], two[0])
+    return tuple(np.insert(x, at, y) for x, y in zip(one, two, strict=True))
 
 
 class Counter:

@@ -64,5 +64,28 @@ def test_counts_equal_the_library(spark, texts, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(df, JSON).collect()}
     assert got == {i: (len((t or "").encode()), n) for i, (t, n) in enumerate(zip(texts, want, strict=True))}
-    monkeypatch.setattr(token_counts, "CHUNK", 7)  # chunks whose entry states are guessed wrong run again
+    monkeypatch.setattr(token_counts, "CHUNK", 7)  # most pre-tokens have several chunks
     assert token_counts.Counter(JSON).texts(*flat(pa.array(texts, pa.string()))).tolist() == want
+
+
+def test_chunk_maps_compose(monkeypatch):
+    rng = random.Random(8)
+    long = ["".join(rng.choice(letters) for _ in range(n)) for n in (17, 300, 2000) for letters in ("ab", "a", "etaoinshr", "é中x")]
+    long += ["ab" * 900, "abc" * 500 + "q", "!" * 1500, "the" * 400, " " * 900 + "end"]
+    want = [len(e.ids) for e in Tokenizer.from_file(JSON).encode_batch(long, add_special_tokens=False)]
+    flat_texts = flat(pa.array([t for t in long for _ in range(2)], pa.string()))  # every row twice
+    for chunk in (5, 32, 256):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        c = token_counts.Counter(JSON)
+        assert c.texts(*flat_texts).tolist() == [n for n in want for _ in range(2)]
+    monkeypatch.setattr(token_counts, "STATES", 10)  # tables dropped before each pass
+    assert c.texts(*flat_texts).tolist() == [n for n in want for _ in range(2)]
+
+
+def test_equal_chunks_share_a_map():
+    t = token_counts.Counter(JSON).transducer
+    data = np.frombuffer(b"a" * 256 * 100, np.uint8)
+    at, none = np.arange(100) * 256, np.zeros(1, np.int64)
+    key, leave, _ = t.maps(data, at, np.full(100, 256), at == at[-1])
+    assert len(np.unique(key & 0xFFFFFFFF)) < 20 and set(leave) <= set(key & 0xFFFFFFFF)
+    assert t.composed(data, none, none + len(data)).tolist() == t.run(data, none, none + len(data), none)[1].tolist()
