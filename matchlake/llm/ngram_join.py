@@ -45,6 +45,7 @@ FREQUENT = 1 << 19  # at most so many shingles are held as frequent: 8 MB
 GROUP, HELD = 1 << 19, 1 << 21  # words per pass; shingles that a task counts together
 SMALL, LEAF, BLOCK = 8, 64, 2048  # documents of a region, and of a cell, whose pairs are all looked at; documents per block
 PIVOTS, STARS, FIRST = 8, 3, 3  # cells per level; documents that others are first linked to; pairs tried first
+SPLIT = 512  # pairs that share one copy of a document's set
 _SEED = stream(1, 9)
 _U = np.uint64
 
@@ -262,16 +263,32 @@ def _candidates(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(tidy_group(meet), "region long, a long, b long, place long")
 
 
+def paired(pairs: DataFrame, points: DataFrame, *names: str) -> DataFrame:
+    """Pairs (a, b) of signatures with columns of both points, as name_a and name_b.
+
+    A point of more than SPLIT pairs has as many copies as it needs, and its pairs are dealt to them.
+    """
+    count = pairs.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").count().where(F.col("count") > SPLIT)
+    heavy = bounded(saved(count.select("sig", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts"))))
+    copies = points.select("sig", *names).join(heavy, "sig", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+
+    def beside(rows, own, other):
+        rows = rows.join(heavy.withColumnRenamed("sig", own), own, "left")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        return rows.join(copies.select(F.col("sig").alias(own), "part", *(F.col(x).alias(f"{x}_{own}") for x in names)), [own, "part"]).drop("part")
+
+    return beside(beside(pairs, "a", "b"), "b", "a")
+
+
 def _bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches don't exclude a link."""
-    side = lambda x: points.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
 
     def run(batches):
         for b in batches:
-            c = [b.column(x).to_pylist() for x in ("s_a", "n_a", "s_b", "n_b")]
+            c = [b.column(x).to_pylist() for x in ("sketch_a", "n_a", "sketch_b", "n_b")]
             yield b.filter(pa.array([may_link(*x) for x in zip(*c, strict=True)], pa.bool_())).select(["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "n_a", "s_b", "n_b").mapInArrow(tidy(run), "a long, b long")
+    return paired(pairs, points, "n", "sketch").mapInArrow(tidy(run), "a long, b long")
 
 
 def _cells(x: np.ndarray, reach: int, members: np.ndarray, small: int, depth: int = 0):
@@ -383,8 +400,7 @@ def verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, key: str, tex
                 keep.append(100 * both >= NEED * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    side = lambda x: sets.select(F.col("sig").alias(x), F.col("items").alias(f"items_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(tidy(run), "a long, b long")
+    return paired(pairs, sets, "items").mapInArrow(tidy(run), "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,7 +411,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     points = saved(rows.where("n > 0").groupBy("sig").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"))
     met = saved(_candidates(docs.where(F.col(key).isNotNull()), text, 2 * partitions(spark)))
     large = met.where("region is not null").groupBy("region", "a").agg(F.min("place").alias("place"))
-    tested = saved(_bounded_pairs(met.where("region is null").select("a", "b").distinct(), points))
+    tested = saved(_bounded_pairs(saved(met.where("region is null").select("a", "b").distinct()), points))
     links = saved(verified(tested, docs, points, key, text))
     if large.limit(1).count():
         for first in (True, False):

@@ -56,7 +56,7 @@ def corpus(seed, near=40):
 
 @pytest.mark.parametrize(("small", "block", "group", "near"), [(64, 2048, 1 << 20, 40), (3, 2048, 300, 40), (2, 8, 100, 60), (2, 5, 1 << 20, 100)])
 def test_equals_brute_force(spark, monkeypatch, small, block, group, near):
-    for name, value in (("SMALL", small), ("LEAF", small), ("BLOCK", block), ("GROUP", group), ("PIVOTS", 2 if small < 64 else 8), ("FIRST", 1)):
+    for name, value in (("SMALL", small), ("LEAF", small), ("BLOCK", block), ("GROUP", group), ("SPLIT", 3 if small < 64 else 512), ("PIVOTS", 2 if small < 64 else 8), ("FIRST", 1)):
         monkeypatch.setattr(ngram_join, name, value)
     docs = corpus(small * 7 + block, near)
     df = spark.createDataFrame([(a, b, 0.5) for a, b in docs], "doc_id long, text string, n double").repartition(3)
