@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, cover_tree, decontaminate, html_wrapper, ngram_join, quality, substring_dedup, token_counts, toxicity, url_filter
+from matchlake.llm import bpe, cover_tree, decontaminate, html_wrapper, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity, url_filter
 from matchlake.llm.sql import SQL
 
 
@@ -83,8 +83,13 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of all sources takes."""
+    return mixing.amounts(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op6_html_wrapper, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree)}
+    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op6_html_wrapper, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree, op11_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,36 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+
+def _mixing(rounds: int = 24, block: int = 65536, most: int = 3, seed: int = 1) -> str:
+    """Words by source, targets by sharing the excess again and again, blocks by a fixed hash, and the last block of each source cut at its target."""
+    steps = ["l0 AS (SELECT CAST(sum(source_size) AS BIGINT) AS total, CAST(sum(weight) AS BIGINT) AS shares FROM s)"]
+    for k in range(rounds):
+        above = f"{most} * source_size < CAST(total AS DOUBLE) * weight / CAST(shares AS DOUBLE)"
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT (SELECT CAST(sum(source_size) AS BIGINT) FROM s) - CAST(sum(CASE WHEN {above} THEN {most} * source_size ELSE 0 END) AS BIGINT) AS total, CAST(sum(CASE WHEN {above} THEN 0 ELSE weight END) AS BIGINT) AS shares FROM s, l{k})")
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_SPACED})) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS place FROM documents),
+s AS MATERIALIZED (SELECT source, source_size, [5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+{", ".join(steps)},
+g AS (SELECT source, source_size, least(CAST({most} * source_size AS DOUBLE), CAST(total AS DOUBLE) * weight / CAST(shares AS DOUBLE)) AS target FROM s, l{rounds}),
+p AS MATERIALIZED (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes, CAST(ceil(source_size / {block}.0::DOUBLE) AS BIGINT) AS blocks FROM g),
+e AS MATERIALIZED (SELECT d.*, p.* EXCLUDE (source), target - passes * CAST(source_size AS DOUBLE) AS rest, CAST(floor(place * blocks) AS BIGINT) AS block FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+b AS (SELECT source, block, any_value(rest) AS rest, sum(size) AS words, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e WHERE size > 0 GROUP BY source, block),
+c AS (SELECT source, block AS cut, rest - before AS room FROM b WHERE before < rest AND rest <= before + words),
+i AS (SELECT e.source, place, any_value(room) AS room, sum(size) AS words FROM e JOIN c ON e.source IS NOT DISTINCT FROM c.source AND block = cut WHERE size > 0 GROUP BY e.source, place),
+f AS MATERIALIZED (SELECT *, upto <= room AS fits FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM i)),
+r AS (SELECT source, any_value(room) - coalesce(max(upto) FILTER (fits), 0) AS free, CAST([] AS DOUBLE[]) AS extra FROM f GROUP BY source UNION ALL
+SELECT source, free - x.words, list_append(extra, -x.other) FROM (SELECT r.source, free, extra, max({{'words': words, 'other': -place}}) AS x FROM r JOIN f ON r.source IS NOT DISTINCT FROM f.source WHERE NOT fits AND words <= free AND NOT list_contains(extra, place) GROUP BY r.source, free, extra)),
+z AS (SELECT source, arg_min(free, len(extra) * -1) AS free, arg_min(extra, len(extra) * -1) AS extra FROM r GROUP BY source),
+y AS (SELECT z.source, min({{'words': words, 'place': place}}).place AS one FROM z JOIN f ON z.source IS NOT DISTINCT FROM f.source WHERE NOT fits AND NOT list_contains(extra, place) AND words < 2 * free GROUP BY z.source),
+k AS (SELECT f.source, max(place) FILTER (fits) AS until, list_append(any_value(extra), any_value(one)) AS extra FROM f JOIN z ON z.source IS NOT DISTINCT FROM f.source LEFT JOIN y ON y.source IS NOT DISTINCT FROM f.source GROUP BY f.source)
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN coalesce(block < cut OR (block = cut AND (coalesce(place <= until, false) OR coalesce(list_contains(extra, place), false))), false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM e LEFT JOIN c ON e.source IS NOT DISTINCT FROM c.source LEFT JOIN k ON e.source IS NOT DISTINCT FROM k.source"""
+
+
 SQL = {
+    "op11_mixing": _mixing(),
     "op2_ngram_jaccard": f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents),
 g AS (SELECT DISTINCT rid, doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT rid, doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),

@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlake.operators.tables import fresh_path, remove, saved, shared_dir  # noqa: F401
+
 #: Rows of a side that may be broadcast after they were counted.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of this process if Spark runs inside it (tests), else an error."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if sc.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="matchlake-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matchlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
