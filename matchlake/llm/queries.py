@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, cover_tree, decontaminate, html_wrapper, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity, url_filter
+from matchlake.llm import bpe, cover_tree, decontaminate, html_wrapper, mixing, ngram_join, periodic_runs, quality, substring_dedup, token_counts, toxicity, url_filter
 from matchlake.llm.sql import SQL
 
 
@@ -88,8 +88,24 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(_read(spark, sf_dir, "documents"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in which the texts whose checksum h of doc_id ends in 0 repeat a stretch of words from a word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    some = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    some = some.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.transform(F.sequence("a", F.col("n") - 1), lambda i: F.element_at("words", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int")))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return some.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, a tenth of which are made periodic first."""
+    return periodic_runs.digests(_made_periodic(_read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op6_html_wrapper, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree, op11_mixing)}
+    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op6_html_wrapper, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree, op11_mixing, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
