@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, cover_tree, decontaminate, html_wrapper, mixing, ngram_join, periodic_runs, quality, substring_dedup, token_counts, toxicity, url_filter
+from matchlake.llm import bpe, centroids, cover_tree, decontaminate, html_wrapper, mixing, ngram_join, periodic_runs, quality, substring_dedup, token_counts, toxicity, url_filter
 from matchlake.llm.sql import SQL
 
 
@@ -104,8 +104,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(_made_periodic(_read(spark, sf_dir, "documents")))
 
 
+def op13_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters all vectors around 40 centroids."""
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op6_html_wrapper, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree, op11_mixing, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_link_graph, op2_ngram_jaccard, op3_decontamination, op4_toxicity, op5_byte_bpe, op6_html_wrapper, op7_token_counts, op8_substring_dedup, op9_quality, op10_cover_tree, op11_mixing, op12_periodic_runs, op13_hamerly)}
 
 
 def oracle_sql() -> dict[str, str]:

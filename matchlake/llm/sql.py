@@ -34,7 +34,23 @@ SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN coales
 FROM e LEFT JOIN c ON e.source IS NOT DISTINCT FROM c.source LEFT JOIN k ON e.source IS NOT DISTINCT FROM k.source"""
 
 
+def _centroids(rounds: int = 5, n: int = 40) -> str:
+    """Every round written out: distances to all centroids, the nearest, floors of exact means."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT rid, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT rid, x, c.k, list_sum(list_transform(list_zip(x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{k} c) GROUP BY rid, x)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT k, list(m ORDER BY j) AS c FROM (SELECT k, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (SELECT k, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM (SELECT k, x, unnest(range(1, 65)) AS j FROM a{k}) GROUP BY k, j)) GROUP BY k),
+c{k + 1} AS MATERIALIZED (SELECT c{k}.k, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (k))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS k, x AS c FROM v ORDER BY sha256('2:' || vec_id) NULLS LAST, x LIMIT {n}),
+{", ".join(steps)}
+SELECT vec_id, CAST(k AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k) JOIN v USING (rid)"""
+
+
 SQL = {
+    "op13_hamerly": _centroids(),
     "op11_mixing": _mixing(),
     "op2_ngram_jaccard": f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents),
