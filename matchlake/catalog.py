@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.plans import detection, flights, games, reviews, rollups, scoring, tracking
+from matchlake.plans import detection, flights, games, identities, reviews, rollups, scoring, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-MODULES = (tracking, scoring, rollups, detection, games, reviews, flights)
+MODULES = (tracking, scoring, rollups, detection, games, reviews, flights, identities)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

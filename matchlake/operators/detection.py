@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlake.operators.vectors import gallery_distance
 
-from matchlake.functions.scalars import angle, distance, noisy_or, outside
+from matchlake.functions.scalars import angle, distance, iou, noisy_or, outside
 
 # Confidence a selected ball needs, boxes that a size profile needs, its width in deviations.
 SELECT, PROFILE, WIDTH = 0.60, 30, 1.5
@@ -70,13 +70,51 @@ def action_class(since_start: Column, serve_window: float, x: Column, turn: Colu
     )
 
 
-def bridged(spans: DataFrame, pairs: DataFrame, keys: list[str], member: str, start: str, end: str) -> DataFrame:
-    """(keys, a, b, gap): the least gap between spans of two members; pairs with overlapping spans are dropped."""
+def bridged(spans: DataFrame, pairs: DataFrame, keys: list[str], member: str, start: str, end: str, twice: DataFrame | None = None) -> DataFrame:
+    """(keys, a, b, gap): the least gap between spans of two members; pairs with overlapping spans are dropped.
+
+    twice: (keys, a, b) of pairs that are one body seen twice where they overlap, see seen_twice; their gap is 0.
+    """
     a = spans.select(*keys, F.col(member).alias("a"), F.col(start).alias("_s1"), F.col(end).alias("_e1"))
     b = spans.select(*keys, F.col(member).alias("b"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
     gap = F.greatest(F.col("_s1") - F.col("_e2"), F.col("_s2") - F.col("_e1"))
     out = pairs.join(a, [*keys, "a"]).join(b, [*keys, "b"]).groupBy(*keys, "a", "b").agg(F.min(gap).alias("gap"))
-    return out.where("gap > 0")
+    if twice is None:
+        return out.where("gap > 0")
+    ordered = twice.select(*keys, F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), F.lit(True).alias("_twice")).distinct()
+    out = out.withColumns({"_a": F.least("a", "b"), "_b": F.greatest("a", "b")}).join(ordered, [*keys, "_a", "_b"], "left")
+    return out.where("gap > 0 or _twice").select(*keys, "a", "b", F.greatest("gap", F.lit(0)).alias("gap"))
+
+
+# Frames, share of the shorter track and mean overlap up to which two boxes of a frame are one body.
+TWICE_FRAMES, TWICE_SHARE, TWICE_IOU = 30, 0.02, 0.40
+
+
+def seen_twice(boxes: DataFrame, keys: list[str], member: str, frame: str, corners: tuple[str, str, str, str], cell: float, frames: int = TWICE_FRAMES, share: float = TWICE_SHARE, least: float = TWICE_IOU) -> DataFrame:
+    """(keys, a, b, shared, overlap): members that a detector boxed twice, by the frames that both are in.
+
+    These are few, in number and as a share of the shorter track's frames, and
+    their boxes overlap by `least` on average.  Boxes (one per member and frame)
+    meet only in the cells of a grid that both touch, `cell` wide and high, so
+    boxes far from each other in a frame are never compared; frames are only
+    counted for pairs whose boxes overlap somewhere.
+    """
+    n = [F.col(c).cast("double") for c in corners]
+    rows = boxes.select(*keys, F.col(member).alias("_m"), F.col(frame).alias("_f"), *[c.alias(f"_{k}") for k, c in enumerate(n)])
+    across = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+    cells = rows.withColumn("_cx", across("_0", "_2")).withColumn("_cy", across("_1", "_3"))
+    other = cells.select(*keys, "_f", "_cx", "_cy", F.col("_m").alias("b"), *[F.col(f"_{k}").alias(f"_o{k}") for k in range(4)])
+    met = cells.withColumnRenamed("_m", "a").join(other, [*keys, "_f", "_cx", "_cy"]).where("a < b")
+    first = (F.col("_cx") == F.floor(F.greatest("_0", "_o0") / cell)) & (F.col("_cy") == F.floor(F.greatest("_1", "_o1") / cell))
+    both = iou(tuple(F.col(f"_{k}") for k in range(4)), tuple(F.col(f"_o{k}") for k in range(4)))
+    sums = met.where(first).groupBy(*keys, "a", "b").agg(F.sum(both).alias("_sum")).where("_sum > 0")
+    times = rows.groupBy(*keys, "_m").agg(F.count("*").alias("_n"))
+    of = lambda to, n: times.select(*keys, F.col("_m").alias(to), F.col("_n").alias(n))
+    at = rows.select(*keys, "_m", "_f")
+    shared = sums.select(*keys, "a", "b").join(at.withColumnRenamed("_m", "a"), [*keys, "a"]).join(at.withColumnRenamed("_m", "b"), [*keys, "b", "_f"]).groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
+    out = sums.join(shared, [*keys, "a", "b"]).join(of("a", "_na"), [*keys, "a"]).join(of("b", "_nb"), [*keys, "b"])
+    few = (F.col("shared") <= frames) & (F.col("shared") <= share * F.least("_na", "_nb"))
+    return out.where(few & (F.col("_sum") / F.col("shared") >= least)).select(*keys, "a", "b", "shared", (F.col("_sum") / F.col("shared")).alias("overlap"))
 
 
 def pair_cost(gap: Column, metres: Column, zone: Column, appearance: Column, opposite: Column, calibrated: bool = True) -> Column:
@@ -124,10 +162,10 @@ def reselected(raw: DataFrame, roi: DataFrame, game: str, frame: str, candidate:
     return selected(kept.select(*raw.columns), game, frame, candidate, width, height, confidence)
 
 
-def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, keys: list[str], member: str, start: str, end: str, zone: str, side: str, vector: str, shape: str, zone_most: float = 0.95, confident: float = 0.7, most: float = 0.34) -> DataFrame:
+def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, keys: list[str], member: str, start: str, end: str, zone: str, side: str, vector: str, shape: str, zone_most: float = 0.95, confident: float = 0.7, most: float = 0.34, twice: DataFrame | None = None) -> DataFrame:
     """(keys, a, b, distance): pairs of members that may be one player, of which no time, place, side or look speaks against.
 
-    Their spans don't overlap, their zones (shares of the rows of places) differ
+    Their spans don't overlap (but for the pairs in twice, see bridged), their zones (shares of the rows of places) differ
     by at most zone_most, they are not on different sides with both at least
     `confident`, and the mean distance of their galleries is at most `most`.
     Unknown zones and sides speak against nothing; without vectors there is no match.
@@ -140,7 +178,7 @@ def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, k
     known = known.withColumns({"_side": F.when(F.col("_A") + F.col("_B") > 0, F.when(F.col("_A") >= F.col("_B"), "A").otherwise("B")), "_sure": F.expr("try_divide(greatest(_A, _B), _A + _B)")})
     of = lambda m: known.select(*keys, F.col(member).alias(m), *[F.col(c).alias(c + m) for c in ("_zones", "_total", "_side", "_sure")])
     pairs = ids.withColumnRenamed(member, "a").join(ids.withColumnRenamed(member, "b"), keys).where("a < b")
-    pairs = bridged(spans, pairs, keys, member, start, end).join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"])
+    pairs = bridged(spans, pairs, keys, member, start, end, twice).join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"])
     shared = F.aggregate(F.map_entries("_zonesa"), F.lit(0.0), lambda s, z: s + F.least(z["value"] / F.col("_totala"), F.coalesce(F.element_at("_zonesb", z["key"]), F.lit(0)) / F.col("_totalb")))
     near = F.coalesce(1 - shared <= zone_most, F.lit(True))
     opposite = F.coalesce((F.col("_sidea") != F.col("_sideb")) & (F.col("_surea") >= confident) & (F.col("_sureb") >= confident), F.lit(False))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def containing(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: int, pick: str | None = None) -> DataFrame:
@@ -39,14 +43,74 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, st
     return pairs.where((F.col("overlap") > 0) & (F.col("_b") == F.floor(first / bucket))).drop("_b")
 
 
-def excess(df: DataFrame, keys: list[str], member: str, start: str, end: str, strength: str, most: int) -> DataFrame:
-    """(keys, member, excess): how long each half-open span is among the weakest beyond `most` active at once."""
-    points = df.select(*keys, F.col(start).alias("_t")).union(df.select(*keys, F.col(end).alias("_t"))).distinct()
-    atoms = points.withColumn("_u", F.lead("_t").over(Window.partitionBy(*keys).orderBy("_t"))).where("_u is not null")
-    active = atoms.join(df, keys).where((F.col(start) <= F.col("_t")) & (F.col(end) >= F.col("_u")))
-    w = Window.partitionBy(*keys, "_t")
-    ranked = active.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(strength, member)))
-    return ranked.where(F.col("_r") <= F.col("_n") - most).groupBy(*keys, member).agg(F.sum(F.col("_u") - F.col("_t")).alias("excess"))
+def excess(df: DataFrame, keys: list[str], member: str, start: str, end: str, strength: str, most: int, slice_: int = 1 << 20, first: str | None = None) -> DataFrame:
+    """(keys, member, excess): how long the half-open spans of each member are among the weakest beyond `most` active at once.
+
+    Of equal strengths the smaller member is the weaker one; a member counts
+    once, however many of its spans hold.  first: a column for the time at which
+    a member is first beyond.  Spans are cut at multiples of slice_, and a
+    sweep goes over the sorted begins and ends of each slice, with the `most`
+    strongest apart from the rest: a logarithmic step for each, and in memory
+    only what is active, so a long game is many tasks' work.  Empty spans and
+    those with a null bound don't count.
+    """
+    item = [F.col(strength).alias("_s"), F.col(member).alias("_m")]
+    cut = F.explode(F.sequence(F.floor(F.col(start) / slice_), F.ceil(F.col(end) / slice_) - 1))
+    rows = df.where(F.col(end) > F.col(start)).select(*keys, *item, F.col(start).alias("_a"), F.col(end).alias("_e"), cut.alias("_cut"))
+    ends = F.array(F.struct(F.greatest("_a", F.col("_cut") * slice_).alias("t"), F.lit(1).alias("d")), F.struct(F.least("_e", (F.col("_cut") + 1) * slice_).alias("t"), F.lit(0).alias("d")))
+    events = rows.select(*keys, "_cut", "_s", "_m", F.explode(ends).alias("_x")).select(*keys, "_cut", F.col("_x.t").alias("_t"), F.col("_x.d").alias("_d"), "_s", "_m")
+    events = events.repartition(*keys, "_cut").sortWithinPartitions(*keys, "_cut", "_t", "_d", "_s", "_m")
+    kinds = events.schema
+    out = StructType([*(kinds[k] for k in keys), StructField(member, kinds["_m"].dataType), StructField("excess", kinds["_t"].dataType), StructField("_since", kinds["_t"].dataType)])
+
+    def sweep(batches):
+        key, state = None, None
+        for b in batches:
+            names, made = [b.column(n).to_pylist() for n in (*keys, "_cut")], []
+            for *at, t, d, s, m in zip(*names, *(b.column(n).to_pylist() for n in ("_t", "_d", "_s", "_m")), strict=True):
+                if at != key or state is None:
+                    key, state = at, Presence(most)
+                made += [(*key[:-1], who, t - since, since) for who, since in state.step(t, d == 1, (s, m)) if t > since]
+            columns = list(zip(*made, strict=True)) or [()] * len(out)
+            arrow = [*(b.schema.field(k).type for k in keys), b.schema.field("_m").type, *[b.schema.field("_t").type] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, arrow, strict=True)], names=out.names)
+
+    found = events.mapInArrow(sweep, out).groupBy(*keys, member)
+    return found.agg(F.sum("excess").alias("excess"), *([F.min("_since").alias(first)] if first else []))
+
+
+class Presence:
+    """Who is active, the `most` strongest apart from the others."""
+
+    def __init__(self, most: int):
+        self.most, self.spans, self.since = most, {}, {}
+        self.top, self.rest = [], []
+
+    def step(self, t, begins: bool, item: tuple) -> list[tuple]:
+        """Takes a begin or an end at t; (member, since) of all that stop being beyond the strongest."""
+        held = self.spans.get(item, 0)
+        self.spans[item] = held + (1 if begins else -1)
+        if not self.spans[item]:
+            del self.spans[item]
+        if held > 1 or held and begins:
+            return []
+        if begins:
+            insort(self.top, item)
+            if len(self.top) > self.most:
+                low = self.top.pop(0)
+                insort(self.rest, low)
+                self.since[low] = t
+            return []
+        k = bisect_left(self.top, item)
+        if k == len(self.top) or self.top[k] != item:
+            self.rest.pop(bisect_left(self.rest, item))
+            return [(item[1], self.since.pop(item))]
+        self.top.pop(k)
+        if not self.rest:
+            return []
+        high = self.rest.pop()
+        self.top.insert(0, high)
+        return [(high[1], self.since.pop(high))]
 
 
 def banded_pairs(df: DataFrame, keys: list[str], member: str, start: str, end: str, gap: int) -> DataFrame:

@@ -6,8 +6,10 @@ key's own rows, and only `fold`-based ones hold a key's rows at once.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def over(keys: list[str], order: list) -> Window:
@@ -46,19 +48,41 @@ def separated(df: DataFrame, keys: list[str], time: str, strength: str, gap: flo
     """Greedy de-duplication: (keys, time, strength) of the kept rows.
 
     A row further than `gap` from the last kept one is kept; a nearer one takes
-    its place if it is stronger.  The fold holds one key's (time, strength)
-    pairs; keys are games, so groups stay small.
+    its place if it is stronger (null is 0).  Rows without a time are left out.
+    Where two neighbours are further apart than `gap`, what follows doesn't
+    depend on what was before: a key is cut there into islands, which are dealt
+    out and folded in order, holding the last kept row only.
     """
-    item = F.struct(F.col(time).cast("double").alias("t"), F.col(strength).cast("double").alias("s"))
-    empty = F.array().cast("array<struct<t:double,s:double>>")
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        stronger = F.coalesce(x["s"], F.lit(0.0)) > F.coalesce(last["s"], F.lit(0.0))
-        return F.when((F.size(kept) == 0) | (x["t"] - F.when(F.size(kept) > 0, last["t"]) > gap), F.concat(kept, F.array(x))).when(stronger, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(kept)
-
-    folded = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows")).withColumn("_kept", F.aggregate("_rows", empty, step))
-    return folded.select(*keys, F.explode("_kept").alias("_k")).select(*keys, F.col("_k.t").alias(time), F.col("_k.s").alias(strength))
+    w = Window.partitionBy(*keys).orderBy("_t", "_s")
+    rows = df.select(*keys, F.col(time).cast("double").alias("_t"), F.col(strength).cast("double").alias("_s")).where("_t is not null")
+    new = F.coalesce(F.col("_t") - F.lag("_t").over(w) > gap, F.lit(True)).cast("int")
+    rows = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    names = [*keys, "_island"]
+    rows = rows.repartition(*names).sortWithinPartitions(*names, F.col("_t"), F.col("_s").asc_nulls_first())
+    out = T.StructType([*(rows.schema[k] for k in keys), T.StructField(time, T.DoubleType()), T.StructField(strength, T.DoubleType())])
+
+    def fold(batches):
+        key, last = None, None
+        for b in batches:
+            made = []
+            for *at, t, s in zip(*(b.column(n).to_pylist() for n in (*names, "_t", "_s")), strict=True):
+                if last is None or at != key or t - last[0] > gap:
+                    if last is not None:
+                        made.append((*key[:-1], *last))
+                    key, last = at, (t, s)
+                elif (s or 0.0) > (last[1] or 0.0):
+                    last = (t, s)
+            kinds = [*(b.schema.field(k).type for k in keys), pa.float64(), pa.float64()]
+            yield _batch(made, kinds, out)
+        if last is not None:
+            yield _batch([(*key[:-1], *last)], kinds, out)
+
+    return rows.mapInArrow(fold, out)
+
+
+def _batch(rows: list[tuple], kinds: list, schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
 
 
 def dense_cells(df: DataFrame, keys: list[str], time: str, count: int = 10, span: int = 15) -> DataFrame:
