@@ -124,12 +124,17 @@ def banded_pairs(df: DataFrame, keys: list[str], member: str, start: str, end: s
     return a.join(b, [*keys, "_k"]).where(later & (F.col("_bs") <= F.col("_ae") + gap)).select(*keys, "a", "b")
 
 
-def inside_any(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: int) -> DataFrame:
-    """The points that some range of their key holds."""
+def inside_any(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: int, all_without: bool = False) -> DataFrame:
+    """The points that some range of their key holds; with all_without also all points of keys that have no range."""
     r = ranges.select(*keys, start, end).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
     p = points.withColumn("_b", F.floor(F.col(at) / bucket))
-    on = [p[k].eqNullSafe(r[k]) for k in keys] + [p["_b"] == r["_b"], p[at].between(r[start], r[end])]
-    return p.join(r, on, "left_semi").drop("_b")
+    same = lambda p, r: [p[k].eqNullSafe(r[k]) for k in keys]
+    on = [*same(p, r), p["_b"] == r["_b"], p[at].between(r[start], r[end])]
+    held = p.join(r, on, "left_semi").drop("_b")
+    if not all_without:
+        return held
+    some = ranges.select(*keys).distinct()
+    return held.unionByName(points.join(some, same(points, some), "left_anti"))
 
 
 def rebased(df: DataFrame, start: str, end: str, low: Column, high: Column) -> DataFrame:

@@ -38,13 +38,40 @@ def shared_frames(rows: DataFrame, keys: list[str], member: str, frame: str) ->
     return a.join(b, [*keys, "_f"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def name_conflicts(rows: DataFrame, names: DataFrame, ignored: DataFrame, keys: list[str], member: str, frame: str, name: str = "name") -> DataFrame:
-    """(keys, a, b, name, shared): members of one name (regardless of case) that are in frames together, without ignored ones."""
-    n = names.select(*keys, F.col(member), scalars.named(F.col(name)).alias("_name")).where(F.col("_name").isNotNull())
-    n = n.join(ignored.select(*keys, member).distinct(), [*keys, member], "left_anti")
-    named = rows.select(*keys, member, frame).join(n, [*keys, member]).withColumn("_low", F.lower("_name"))
-    both = shared_frames(named, [*keys, "_low"], member, frame)
-    return both.join(n.select(*keys, F.col(member).alias("a"), F.col("_name").alias(name)), [*keys, "a"]).select(*keys, "a", "b", name, "shared")
+def name_conflicts(rows: DataFrame, names: DataFrame, ignored: DataFrame, keys: list[str], member: str, frame: str, name: str = "name", time: str | None = None) -> DataFrame:
+    """(keys, a, b, name, shared, first_frame): members of one trimmed name that are in frames together, without ignored ones.
+
+    Names that differ in case are different names.  time: a column of rows; then
+    also first_time, that of the first shared frame, to one place.
+    """
+    n = names.select(*keys, F.col(member).alias("_m"), scalars.named(F.col(name)).alias("_name")).where(F.col("_name").isNotNull())
+    n = n.join(ignored.select(*keys, F.col(member).alias("_m")).distinct(), [*keys, "_m"], "left_anti")
+    at = F.min(time if time else F.lit(None).cast("double")).alias("_t")
+    named = rows.groupBy(*keys, F.col(member).alias("_m"), F.col(frame).alias("_f")).agg(at).join(n, [*keys, "_m"])
+    a, b = named.withColumnRenamed("_m", "a"), named.drop("_t").withColumnRenamed("_m", "b")
+    both = a.join(b, [*keys, "_name", "_f"]).where("a < b").groupBy(*keys, "a", "b", F.col("_name").alias(name))
+    first = [F.round(F.min_by("_t", "_f").cast("double"), 1).alias("first_time")] if time else []
+    return both.agg(F.count(F.lit(1)).alias("shared"), F.min("_f").alias("first_frame"), *first)
+
+
+def names_checked(rows: DataFrame, names: DataFrame, changes: DataFrame, ignored: DataFrame, keys: list[str], member: str, frame: str, name: str = "name", time: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(after, refused): names (keys, member, name) with changes laid over them, save for keys where a change would give one name to two members seen at once.
+
+    Only names that a changed member would bear are looked at, and only
+    conflicts that such a member is in count: what was wrong before is no
+    reason to refuse.  refused has these conflicts as name_conflicts gives
+    them; of their keys no change is taken.  Members of a key are changed once.
+    """
+    base, new = names.select(*keys, member, name), changes.select(*keys, member, name)
+    merged = base.join(new, [*keys, member], "left_anti").unionByName(new)
+    touched = new.select(*keys, member).distinct()
+    borne = new.select(*keys, scalars.named(F.col(name)).alias("_borne")).where("_borne is not null").distinct()
+    asked = merged.withColumn("_borne", scalars.named(F.col(name))).join(borne, [*keys, "_borne"], "left_semi").drop("_borne")
+    found = name_conflicts(rows, asked, ignored, keys, member, frame, name, time)
+    either = [touched.select(*keys, F.col(member).alias(side), F.lit(True).alias(f"_{side}")) for side in "ab"]
+    refused = found.join(either[0], [*keys, "a"], "left").join(either[1], [*keys, "b"], "left").where("_a or _b").select(*found.columns)
+    taken = new.join(refused.select(*keys).distinct(), keys, "left_anti")
+    return base.join(taken, [*keys, member], "left_anti").unionByName(taken), refused
 
 
 def isolation(boxes: DataFrame, keys: list[str], box: str, x1: str, x2: str) -> DataFrame:
@@ -58,9 +85,9 @@ def isolation(boxes: DataFrame, keys: list[str], box: str, x1: str, x2: str) ->
 
 
 def conflicts(boxes: DataFrame, keys: list[str], box: str, corners: tuple[str, str, str, str]) -> DataFrame:
-    """The boxes whose padded box meets another padded box of their frame."""
+    """The boxes whose padded box meets another box of their frame as it is; so one of two may be in conflict and the other not."""
     o = boxes.select(*keys, F.col(box).alias("_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(corners)])
-    meet = scalars.boxes_meet(scalars.padded(*[F.col(c) for c in corners]), scalars.padded(*[F.col(f"_{k}") for k in range(4)]))
+    meet = scalars.boxes_meet(scalars.padded(*[F.col(c) for c in corners]), tuple(F.col(f"_{k}") for k in range(4)))
     hit = boxes.join(o, keys).where((F.col("_id") != F.col(box)) & meet).select(*keys, box).distinct()
     return boxes.join(hit, [*keys, box], "left_semi")
 
@@ -91,3 +118,15 @@ def merged_gallery(vectors: DataFrame, clusters: DataFrame, keys: list[str], mem
 def summed_histograms(rows: DataFrame, clusters: DataFrame, keys: list[str], member: str, cell: str, count: str) -> DataFrame:
     """(keys, cluster, cell, count): the histograms of a cluster's members added."""
     return rows.join(clusters, [*keys, member]).groupBy(*keys, "cluster", cell).agg(F.sum(count).alias(count))
+
+
+def review_list(groups: DataFrame, names: DataFrame, game: str) -> DataFrame:
+    """(game, group, members, confidence, suggested_name, place): groups (game, node, group, confidence) from the largest and surest on.
+
+    The suggested name is that of the smallest member that has one; names: (game, node, name).
+    """
+    known = names.select(game, "node", scalars.named(F.col("name")).alias("_name")).where(F.col("_name").isNotNull()).groupBy(game, "node").agg(F.min("_name").alias("_name"))
+    rows = groups.join(known, [game, "node"], "left")
+    whole = rows.groupBy(game, "group").agg(F.sort_array(F.collect_list("node")).alias("members"), F.max("confidence").alias("confidence"), F.min_by("_name", F.when(F.col("_name").isNotNull(), F.col("node"))).alias("suggested_name"))
+    w = Window.partitionBy(game).orderBy(F.desc(F.size("members")), F.desc("confidence"), "group")
+    return whole.withColumn("place", F.row_number().over(w).cast("long"))

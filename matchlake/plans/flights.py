@@ -180,12 +180,23 @@ def quality_resummarized(spark: SparkSession, d: str) -> DataFrame:
     return stats.summary(t.withColumn("score", quality.reweighted(t, weights)), ["game"], "score").withColumn("average", F.round("average", 6))
 
 
-@query()
-def review_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Players who touch the ball in the same rallies, as groups that share no hour and no two names."""
-    t = touches(spark, d).where("rally < 400").withColumns({"hour": F.floor(F.col("frame") / 1800), "node": F.col("player") * 100 + F.col("rally") % 7})
+def _review(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = touches(spark, d).withColumns({"hour": F.floor(F.col("frame") / 1800), "node": F.col("player") * 100 + F.col("rally") % 7})
     once = t.select("game", "rally", "node", "hour").distinct()
     a, b = once.select("game", "rally", F.col("node").alias("a")).distinct(), once.select("game", "rally", F.col("node").alias("b")).distinct()
     edges = a.join(b, ["game", "rally"]).where("a < b").groupBy("game", "a", "b").agg((F.count("*") / 50).alias("s"))
     names = once.select("game", "node", F.when(F.col("node") % 3 == 0, "ann").when(F.col("node") % 3 == 1, "bo").alias("name")).distinct()
-    return graph.clique_groups(edges, "game", "a", "b", "s", shared=members.shared_frames(once, ["game"], "node", "hour").where("shared > 1"), names=names)
+    return graph.clique_groups(edges, "game", "a", "b", "s", shared=members.shared_frames(once, ["game"], "node", "hour").where("shared > 1"), names=names), names
+
+
+@query()
+def review_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Players who touch the ball in the same rallies, as groups that share no hour and no two names."""
+    return _review(spark, d)[0]
+
+
+@query()
+def review_list(spark: SparkSession, d: str) -> DataFrame:
+    """These groups with their members and a suggested name, the largest and surest of a game first."""
+    groups, names = _review(spark, d)
+    return members.review_list(groups, names, "game")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import scalars
-from matchlake.operators import asof, detection, intervals, members, ordered, spatial, stats, upserts
+from matchlake.operators import asof, detection, intervals, members, ordered, ranks, spatial, stats, upserts
 from matchlake.plans.bindings import RALLIES, TOUCHES, rallies, table, touches
 from matchlake.plans.tracking import _COUNTS, _WON, _won
 
@@ -77,11 +77,16 @@ def set_gates(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("game", "set_index").agg(F.count_if(none).alias("uncertain"), F.bool_and(none).alias("unread"), (F.count_if(none) == 0).alias("confirmable"))
 
 
+def _placed(df: DataFrame, *order, name: str = "place") -> DataFrame:
+    """df with places from 1 in the order of the whole table."""
+    return ranks.ranked(df, *order, name=name).withColumn(name, F.col(name) + 1)
+
+
 @query("""SELECT n_nationkey AS profile, row_number() OVER (ORDER BY n_nationkey <> 6, lower(n_name), n_nationkey) AS place FROM nation""")
 def profiles_sorted(spark: SparkSession, d: str) -> DataFrame:
     """The default profile first, then by name."""
-    w = Window.orderBy(F.col("n_nationkey") != 6, F.lower("n_name"), "n_nationkey")
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("profile"), F.row_number().over(w).cast("long").alias("place"))
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("profile"), F.lower("n_name").alias("low"))
+    return _placed(rows, F.col("profile") != 6, "low", "profile").drop("low")
 
 
 @query("""WITH t AS (SELECT n_nationkey AS team, n_name AS name, count(c_custkey) AS size FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
@@ -90,8 +95,8 @@ def teams_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Teams by name and by roster size."""
     size = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("team")).agg(F.count("*").alias("n"))
     t = table(spark, d, "nation").select(F.col("n_nationkey").alias("team"), F.col("n_name").alias("name")).join(size, "team", "left").withColumn("size", F.coalesce("n", F.lit(0)).cast("long"))
-    place = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("long")
-    return t.select("team", "size", place("name", "team").alias("by_name"), place(F.desc("size"), "name", "team").alias("by_size"))
+    by_name = _placed(t.select("team", "name", "size"), "name", "team", name="by_name")
+    return _placed(by_name, F.desc("size"), "name", "team", name="by_size").select("team", "size", "by_name", "by_size")
 
 
 @query("""WITH g AS (SELECT o_custkey AS player, o_orderkey AS game, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders) SELECT player, game, day, row_number() OVER (PARTITION BY player ORDER BY coalesce(day, '') DESC, game) AS place FROM g""")
@@ -122,7 +127,7 @@ def roster_sorts(spark: SparkSession, d: str) -> DataFrame:
 def model_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Models by score; those without one count as -1."""
     m = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("model")).agg(F.avg(F.when((F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 20 < 15), F.col("l_discount"))).alias("s"))
-    return m.select("model", r6(F.col("s"), "score"), F.row_number().over(Window.orderBy(F.desc(F.coalesce(F.round("s", 9), F.lit(-1.0))), "model")).cast("long").alias("place"))
+    return _placed(m, F.desc(F.coalesce(F.round("s", 9), F.lit(-1.0))), "model").select("model", r6(F.col("s"), "score"), "place")
 
 
 @query("""SELECT l_suppkey % 20 AS clip, l_orderkey AS frame, l_linenumber AS line, abs(l_quantity - 25) AS error FROM lineitem QUALIFY row_number() OVER (PARTITION BY clip ORDER BY error DESC, frame, line, l_partkey) <= 15""")
@@ -148,14 +153,46 @@ def shared_frames(spark: SparkSession, d: str) -> DataFrame:
     return members.shared_frames(touches(spark, d).withColumn("hour", F.floor(F.col("frame") / 3600)), ["game"], "player", "hour")
 
 
-@query(f"""WITH {TOUCHES}, f AS (SELECT DISTINCT game, player, frame // 3600 AS hour, CASE WHEN player % 2 = 0 THEN 'Kim' ELSE 'kim ' END AS name FROM touches WHERE player % 5 < 3 AND player % 7 <> 3)
-SELECT a.game, a.player AS a, b.player AS b, trim(a.name) AS name, count(*) AS shared FROM f a JOIN f b ON a.game = b.game AND a.hour = b.hour AND a.player < b.player GROUP BY ALL""")
+_HOURS = "f AS (SELECT DISTINCT game, player, frame // 3600 AS hour FROM touches)"
+_KIMS = "CASE player % 4 WHEN 0 THEN 'Kim' WHEN 1 THEN ' Kim ' WHEN 2 THEN 'kim' ELSE 'kim ' END"
+
+
+def _kims():
+    return F.when(F.col("player") % 4 == 0, "Kim").when(F.col("player") % 4 == 1, " Kim ").when(F.col("player") % 4 == 2, "kim").otherwise("kim ")
+
+
+@query(f"""WITH {TOUCHES}, {_HOURS}, n AS (SELECT *, trim({_KIMS}) AS name FROM f WHERE player % 7 <> 3)
+SELECT a.game, a.player AS a, b.player AS b, a.name, count(*) AS shared, min(a.hour) AS first_frame, round(min(a.hour) / 8.0, 1) AS first_time FROM n a JOIN n b ON a.game = b.game AND a.hour = b.hour AND a.name = b.name AND a.player < b.player GROUP BY ALL""")
 def name_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Players of one name who touched the ball in the same hour; ignored ones don't count."""
+    t = touches(spark, d).withColumn("hour", F.floor(F.col("frame") / 3600)).withColumn("time", F.col("hour") / 8.0)
+    ids = t.select("game", "player").distinct()
+    return members.name_conflicts(t, ids.withColumn("name", _kims()), ids.where("player % 7 = 3"), ["game"], "player", "hour", time="time")
+
+
+_GUARD = f"""{TOUCHES}, {_HOURS}, ids AS (SELECT DISTINCT game, player FROM touches), base AS (SELECT game, player, {_KIMS} AS name FROM ids WHERE player % 3 = 0), ch AS (SELECT game, player, CASE WHEN player % 2 = 0 THEN 'kim' ELSE 'p' || CAST(player AS VARCHAR) END AS name FROM ids WHERE player % 5 = 1 OR player % 11 = 0),
+merged AS (SELECT * FROM base ANTI JOIN ch USING (game, player) UNION ALL SELECT * FROM ch), n AS (SELECT game, player, trim(name) AS name FROM merged WHERE player % 7 <> 3),
+bad AS (SELECT x.game, x.player AS a, y.player AS b, x.name, count(*) AS shared, min(x.hour) AS first_frame FROM (SELECT * FROM f JOIN n USING (game, player)) x JOIN (SELECT * FROM f JOIN n USING (game, player)) y ON x.game = y.game AND x.hour = y.hour AND x.name = y.name AND x.player < y.player GROUP BY ALL),
+refused AS (SELECT * FROM bad WHERE EXISTS (SELECT 1 FROM ch WHERE ch.game = bad.game AND ch.player IN (bad.a, bad.b)))"""
+
+
+def _guarded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = touches(spark, d).withColumn("hour", F.floor(F.col("frame") / 3600))
     ids = t.select("game", "player").distinct()
-    names = ids.where("player % 5 < 3").withColumn("name", F.when(F.col("player") % 2 == 0, "Kim").otherwise("kim "))
-    return members.name_conflicts(t, names, ids.where("player % 7 = 3"), ["game"], "player", "hour")
+    changes = ids.where("player % 5 = 1 or player % 11 = 0").withColumn("name", F.when(F.col("player") % 2 == 0, "kim").otherwise(F.concat(F.lit("p"), F.col("player").cast("string"))))
+    return members.names_checked(t, ids.where("player % 3 = 0").withColumn("name", _kims()), changes, ids.where("player % 7 = 3"), ["game"], "player", "hour")
+
+
+@query(f"WITH {_GUARD} SELECT * FROM refused")
+def refused_names(spark: SparkSession, d: str) -> DataFrame:
+    """Namings that would give one name to two players seen in the same hour."""
+    return _guarded(spark, d)[1]
+
+
+@query(f"WITH {_GUARD}, k AS (SELECT * FROM ch WHERE game NOT IN (SELECT game FROM refused)) SELECT * FROM base ANTI JOIN k USING (game, player) UNION ALL SELECT * FROM k")
+def names_after_check(spark: SparkSession, d: str) -> DataFrame:
+    """Names after the changes of the games in which none was refused."""
+    return _guarded(spark, d)[0]
 
 
 _BOX = "box AS (SELECT l_orderkey AS game, l_partkey AS id, l_suppkey AS player, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 1 + l_tax * 100 AS x2, l_discount * 100 + 5 AS y2 FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey) = 1)"
@@ -179,7 +216,7 @@ def isolation_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_BOX}, p AS (SELECT game, id, x1 - 0.18 * (x2 - x1) AS x1, y1 - 0.18 * (y2 - y1) AS y1, x2 + 0.18 * (x2 - x1) AS x2, y2 + 0.18 * (y2 - y1) AS y2 FROM box)
-SELECT game, id FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE a.game = b.game AND a.id <> b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)""")
+SELECT game, id FROM p a WHERE EXISTS (SELECT 1 FROM box b WHERE a.game = b.game AND a.id <> b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)""")
 def padded_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Boxes that come too close to another one."""
     return members.conflicts(_boxes(spark, d), ["game"], "id", ("x1", "y1", "x2", "y2")).select("game", "id")
@@ -324,6 +361,13 @@ def touches_in_windows(spark: SparkSession, d: str) -> DataFrame:
     return intervals.inside_any(touches(spark, d).select("game", "touch_id", "frame"), w, ["game"], "frame", "start", "end", 21_600).select("game", "touch_id")
 
 
+@query(f"""WITH {RALLIES}, w AS (SELECT * FROM rallies WHERE n >= 12) SELECT t.game, t.touch_id FROM touches t WHERE t.game NOT IN (SELECT game FROM w) OR EXISTS (SELECT 1 FROM w r WHERE r.game = t.game AND t.frame BETWEEN r.start - 600 AND r."end" + 600)""")
+def touches_in_windows_if_any(spark: SparkSession, d: str) -> DataFrame:
+    """Touches inside any window around a rally of twelve touches or more; games without one keep all."""
+    w = rallies(spark, d).where("n >= 12").select("game", (F.col("start") - 600).alias("start"), (F.col("end") + 600).alias("end"))
+    return intervals.inside_any(touches(spark, d).select("game", "touch_id", "frame"), w, ["game"], "frame", "start", "end", 21_600, all_without=True).select("game", "touch_id")
+
+
 @query(f"""WITH {TOUCHES}, p AS (SELECT game, player, frame, avg(x) AS x FROM touches GROUP BY ALL), q AS (SELECT game, player, frame + 3600 AS moment FROM p), b AS (SELECT q.*, p.frame AS f0, p.x AS x0 FROM q ASOF LEFT JOIN p ON q.game = p.game AND q.player = p.player AND q.moment >= p.frame),
 a AS (SELECT b.*, p.frame AS f1, p.x AS x1 FROM b ASOF LEFT JOIN p ON b.game = p.game AND b.player = p.player AND b.moment <= p.frame) SELECT game, player, moment, round(CASE WHEN f1 - moment <= 172800 THEN x0 + (x1 - x0) * CASE WHEN f1 > f0 THEN greatest(0.0, least(1.0, (moment - f0) / (f1 - f0))) ELSE 0 END ELSE x0 END, 6) AS x FROM a""")
 def interpolated_positions(spark: SparkSession, d: str) -> DataFrame:

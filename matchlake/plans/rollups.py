@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import scalars
-from matchlake.operators import graph, ordered, stats, upserts, vectors
+from matchlake.operators import graph, ordered, ranks, stats, upserts, vectors
 from matchlake.plans.bindings import TOUCHES, seconds, table, touches
 
 QUERIES: dict = {}
@@ -103,7 +103,7 @@ def roster_union(spark: SparkSession, d: str) -> DataFrame:
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     """Names by the number in them, then those without."""
     n = table(spark, d, "documents").select("source").distinct().withColumn("k", F.expr("try_cast(regexp_extract(source, '\\\\d+', 0) as int)"))
-    return n.select("source", F.row_number().over(Window.orderBy(F.col("k").isNull(), "k", "source")).cast("long").alias("place"))
+    return ranks.ranked(n, F.col("k").isNull(), "k", "source").select("source", (F.col("place") + 1).alias("place"))
 
 
 @query("""WITH base AS (SELECT c_custkey AS id, c_mktsegment AS name FROM customer), ch AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE 'renamed' END AS name FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 50 = 0)

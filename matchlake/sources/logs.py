@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.sources import schemas
+from matchlake.sources import movies, schemas, versions
 
 
 def _job():
@@ -122,42 +122,10 @@ def paired(images: DataFrame, labels: DataFrame) -> DataFrame:
     return images.join(labels.select("stem", F.col("path").alias("label_path")), "stem")
 
 
-def _creation(content: bytes) -> int | None:
-    """Seconds since 1904 of an MP4's movie header; None if it has none or 0."""
-
-    def child(lo: int, hi: int, name: bytes):
-        while lo + 8 <= hi:
-            size, kind, head = int.from_bytes(content[lo : lo + 4], "big"), content[lo + 4 : lo + 8], 8
-            if size == 1:
-                size, head = int.from_bytes(content[lo + 8 : lo + 16], "big"), 16
-            if size == 0:
-                size = hi - lo
-            if size < head:
-                return None
-            if kind == name:
-                return lo + head, min(hi, lo + size)
-            lo += size
-        return None
-
-    moov = child(0, len(content), b"moov")
-    header = child(*moov, b"mvhd") if moov else None
-    if not header or header[1] - header[0] < 12:
-        return None
-    wide = content[header[0]] == 1
-    at = header[0] + 4
-    return int.from_bytes(content[at : at + (8 if wide else 4)], "big") or None
-
-
 def video_dates(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, created) of MP4 files; created is null without a date."""
-
-    def run(batches):
-        for b in batches:
-            b["seconds"] = [_creation(bytes(c)) for c in b["content"]]
-            yield b[["path", "seconds"]].astype({"seconds": "Int64"})
-
-    rows = spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "path string, seconds long")
-    return rows.select("path", F.expr("timestamp_ntz'1904-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, seconds)").alias("created"))
+    """(path, created) of MP4 and MOV files of any size, by their headers only; created is null without a date."""
+    movies.register(spark)
+    return spark.read.format("movie_headers").load(glob).select("path", "created")
 
 
 def ground_truth(rows: DataFrame, frames: int, width: str = "width", height: str = "height") -> DataFrame:
@@ -185,26 +153,22 @@ def stale(now: DataFrame, built: DataFrame) -> DataFrame:
 
 
 def refresh(now: DataFrame, view: str, signatures: str, build) -> DataFrame:
-    """The view (Parquet by job_id) after the jobs whose signature changed were built anew and those that are gone removed.
+    """The view after the jobs whose signature changed were built anew and those that are gone removed.
 
     now: signature() of the logs.  build: (DataFrame of job_id, signature) -> the view's
-    rows of these jobs.  signatures: where those of the last build are kept;
-    both are made at the first call.  Only changed jobs are computed and
-    written; signatures are written last, so that a failed build is repeated.
+    rows of these jobs, with a job_id.  view and signatures: folders of the versions of rows and of their manifests,
+    made at the first call (see `versions`).  Only changed jobs are computed and
+    written; a job that now has no rows is empty; a build that fails leaves the view as it
+    was and is repeated at the next call.
     """
     spark = now.sparkSession
-    try:
-        built = spark.read.schema("job_id string, signature long").parquet(signatures)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        built = spark.createDataFrame([], "job_id string, signature long")
-    fresh = now.join(stale(now, built), "job_id", "left_semi")
-    if fresh.limit(1).count():
-        build(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(view)
-    now.select("job_id", "signature").write.mode("overwrite").parquet(signatures)
-    rows = spark.read.option("partitionInferSchema", "false").parquet(view)
-    return rows.withColumn("job_id", F.col("job_id").cast("string")).join(now.select("job_id"), "job_id", "left_semi")
+    built = versions.manifest(spark, signatures).select("job_id", "signature")
+    changed = stale(now, built)
+    fresh = now.join(changed, "job_id", "left_semi")
+    if changed.limit(1).count():
+        versions.publish(build(fresh) if fresh.limit(1).count() else None, fresh, view, signatures, now)
+    rows = versions.current(spark, view, signatures)
+    return rows if rows is not None else build(fresh).limit(0)
 
 
 def heights(spark: SparkSession, glob: str) -> DataFrame:
@@ -213,15 +177,19 @@ def heights(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def write_galleries(df: DataFrame, path: str, track: str = "track", vector: str = "vector", least: int = 2) -> None:
-    """Vectors by job as Parquet, in place of what its jobs had; tracks of fewer than `least` vectors are left out."""
+    """Vectors by job, in place of all that its jobs had; tracks of fewer than `least` vectors are left out, jobs without others are then empty."""
     usable = df.where(F.col(vector).isNotNull()).groupBy("job_id", track).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     kept = df.join(usable.select("job_id", track), ["job_id", track], "left_semi")
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+    jobs = df.select("job_id", F.lit(None).cast("long").alias("signature")).distinct()
+    versions.publish(kept, jobs, f"{path}/rows", f"{path}/manifests")
 
 
 def galleries(spark: SparkSession, path: str) -> DataFrame:
     """The vectors that write_galleries wrote, job_id as text."""
-    return spark.read.option("partitionInferSchema", "false").parquet(path).withColumn("job_id", F.col("job_id").cast("string"))
+    rows = versions.current(spark, f"{path}/rows", f"{path}/manifests")
+    if rows is None:
+        raise ValueError(f"no galleries were written to {path}")
+    return rows
 
 
 def resumed(specs: DataFrame, reports: DataFrame, key: str) -> DataFrame:

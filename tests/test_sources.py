@@ -117,3 +117,63 @@ def test_heights_and_galleries(spark, tmp_path):
     df = spark.createDataFrame([("7", 1, [1.0, 2.0]), ("7", 1, [3.0, 4.0]), ("7", 2, [1.0, 1.0]), ("7", 3, [1.0, 1.0]), ("7", 3, None)], "job_id string, track long, vector array<float>")
     logs.write_galleries(df, f"{tmp_path}/g")
     assert sorted((r["job_id"], r["track"], r["vector"]) for r in logs.galleries(spark, f"{tmp_path}/g").collect()) == [("7", 1, [1.0, 2.0]), ("7", 1, [3.0, 4.0])]
+
+
+def test_emptied_jobs_leave_views_and_galleries(spark, tmp_path):
+    now = lambda *r: spark.createDataFrame(list(r), "job_id string, signature long")
+    rows = {1: [("a", 1), ("a", 2)], 2: [], 3: [("b", 7)]}
+
+    def build(jobs):
+        made = [r for x in jobs.collect() for r in rows[x["signature"]]]
+        return spark.createDataFrame(made, "job_id string, v long")
+
+    run = lambda *r: sorted(tuple(x) for x in logs.refresh(now(*r), f"{tmp_path}/view", f"{tmp_path}/built", build).collect())
+    assert run() == []
+    assert run(("a", 1)) == [("a", 1), ("a", 2)]
+    assert run(("a", 2), ("b", 3)) == [("b", 7)]
+    assert run(("b", 3)) == [("b", 7)]
+    assert run() == []
+    gallery = lambda *r: spark.createDataFrame(list(r), "job_id string, track long, vector array<float>")
+    logs.write_galleries(gallery(("a", 1, [1.0]), ("a", 1, [2.0]), ("b", 5, [1.0]), ("b", 5, [3.0])), f"{tmp_path}/g")
+    logs.write_galleries(gallery(("a", 1, [1.0])), f"{tmp_path}/g")
+    assert sorted((r["job_id"], r["vector"]) for r in logs.galleries(spark, f"{tmp_path}/g").collect()) == [("b", [1.0]), ("b", [3.0])]
+
+
+def test_a_failed_build_changes_nothing(spark, tmp_path):
+    from matchlake.sources import versions
+
+    rows = lambda *r: spark.createDataFrame(list(r), "job_id string, v long")
+    jobs = lambda *r: spark.createDataFrame(list(r), "job_id string, signature long")
+    at = (f"{tmp_path}/rows", f"{tmp_path}/manifests")
+    versions.publish(rows(("a", 1), ("b", 2)), jobs(("a", 1), ("b", 1)), *at)
+    rows(("a", 9)).write.parquet(f"{at[0]}/version=2")  # a build that ended before its manifest
+    (tmp_path / "manifests" / "2").mkdir()  # or within it
+    read = lambda: sorted(tuple(r) for r in versions.current(spark, *at).select("job_id", "v").collect())
+    assert read() == [("a", 1), ("b", 2)]
+    versions.publish(rows(("a", 3)), jobs(("a", 2), ("c", 1)), *at)
+    assert read() == [("a", 3), ("b", 2)]
+    versions.clear(spark, *at)
+    assert read() == [("a", 3), ("b", 2)] and sorted(p.name for p in (tmp_path / "rows").iterdir()) == ["version=1", "version=3"]
+    assert {(r["job_id"], r["version"]) for r in versions.manifest(spark, at[1]).collect()} == {("a", 3), ("b", 1), ("c", None)}
+
+
+def test_dates_of_huge_movies(spark, tmp_path):
+    """A file of over 3 GB, its movie header behind the pictures, is read in some hundred bytes."""
+    box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
+    from matchlake.sources import movies
+
+    size = 3 << 30
+    with (tmp_path / "long.mp4").open("wb") as f:
+        f.write(box(b"ftyp", b"isom") + (1).to_bytes(4, "big") + b"mdat" + (size).to_bytes(8, "big"))
+        f.seek(12 + size)
+        f.write(box(b"moov", box(b"udta", b"\0" * 64) + box(b"mvhd", b"\1\0\0\0" + (2 * 86_400).to_bytes(8, "big") + b"\0" * 12)))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "cut.mov").write_bytes(box(b"moov", b"")[:6])
+    (tmp_path / "zero.mp4").write_bytes(box(b"moov", box(b"mvhd", b"\0" * 24)))
+    movies.register(spark)
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], str(r["created"]), r["bytes_read"]) for r in spark.read.format("movie_headers").load(f"{tmp_path}/*.mp4").collect()}
+    assert got.keys() == {"long.mp4", "zero.mp4"} and got["zero.mp4"][1] == "None"
+    assert got["long.mp4"][0] > size and got["long.mp4"][1] == "1904-01-03 00:00:00" and got["long.mp4"][2] < 1000
+    assert [str(r["created"]) for r in logs.video_dates(spark, f"{tmp_path}/*/*.mov").collect()] == ["None"]
+    assert logs.video_dates(spark, str(tmp_path)).count() == 3
+    assert logs.video_dates(spark, f"file://{tmp_path}/none/*.mp4").count() == 0
