@@ -31,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,38 +115,53 @@ def levels(x: np.ndarray, up: np.ndarray) -> list[tuple[np.ndarray, np.ndarray,
     return found[::-1]
 
 
-def traverse(x: np.ndarray, a: np.ndarray, b: np.ndarray, up: np.ndarray, weight: np.ndarray, link: float):
+def _open_pairs(y: np.ndarray, a: np.ndarray, b: np.ndarray, la: list, lb: list, chord: float, told: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(open, ma, mb): which pairs of the finest nodes can hold a link, and the node of each point.
+
+    From the coarsest level down, only children of pairs that are still open are looked at.
+    """
+    open_, ma, mb = np.ones((1, 1), bool), np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    depth = min(len(la), len(lb))
+    for (ca, ra, na), (cb, rb, nb) in zip(la[len(la) - depth :], lb[len(lb) - depth :], strict=True):
+        up_a, up_b = ma[ca], mb[cb]
+        near = np.zeros((len(ca), len(cb)), bool)
+        for node in np.unique(up_a).tolist():
+            rows, cols = np.flatnonzero(up_a == node), np.flatnonzero(open_[node][up_b])
+            if len(cols):
+                s = y[a[ca[rows]]] @ y[b[cb[cols]]].T
+                near[np.ix_(rows, cols)] = np.sqrt(np.maximum(0, 2 - 2 * s)) <= chord + ra[rows, None] + rb[None, cols] + 2e-3
+                if told is not None:
+                    told[0] += s.size
+        open_, ma, mb = near, na, nb
+    return open_, ma, mb
+
+
+def traverse(x: np.ndarray, a: np.ndarray, b: np.ndarray, up: np.ndarray, weight: np.ndarray, link: float, told: list[int] | None = None):
     """Link counts of all points and local component labels, over pairs of a point of a and one of b.
 
     a, b: indices of points, equal or disjoint.  up: ancestors as indices of points.
+    Points of a are taken node by node, with the points of those nodes of b that
+    are open for it; where most pairs are open, in strips of several nodes.
+    told: a list whose first number grows by the products computed.
     """
     chord = math.sqrt(max(0.0, 2 - 2 * link))
     y = x.astype(np.float32)
-    la, lb = levels(x[a], np.searchsorted(a, up[:, a])), levels(x[b], np.searchsorted(b, up[:, b]))
-    open_, pa_, pb_ = None, None, None
-    depth = min(len(la), len(lb))
-    for (ca, ra, ma), (cb, rb, mb) in zip(la[len(la) - depth :], lb[len(lb) - depth :], strict=True):
-        s = y[a[ca]] @ y[b[cb]].T
-        near = np.sqrt(np.maximum(0, 2 - 2 * s)) <= chord + ra[:, None] + rb[None, :] + 2e-3
-        if open_ is not None:
-            near &= open_[pa_[ca]][:, pb_[cb]]
-        open_, pa_, pb_ = near, ma, mb
+    open_, ma, mb = _open_pairs(y, a, b, levels(x[a], np.searchsorted(a, up[:, a])), levels(x[b], np.searchsorted(b, up[:, b])), chord, told)
     count, label = np.zeros(len(x), np.int64), np.arange(len(x))
     same = len(a) == len(b) and (a == b).all()
-    for lo in range(0, len(a), _STRIP):
-        rows = a[lo : lo + _STRIP]
-        cols, allowed = b, None
-        if open_ is not None:
-            allowed = open_[pa_[lo : lo + _STRIP]][:, pb_]
-            some = allowed.any(0)
-            cols, allowed = b[some], allowed[:, some]
-        if not len(cols):
+    order = np.argsort(ma, kind="stable")
+    dense = open_.mean() > 0.5
+    cuts = np.arange(0, len(a), _STRIP) if dense else np.flatnonzero(np.diff(ma[order], prepend=-1))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)], strict=True):
+        at = order[lo:hi]
+        some = np.flatnonzero(open_[ma[at[0]]][mb]) if not dense else np.arange(len(b))
+        if not len(some):
             continue
+        rows, cols = a[at], b[some]
         s = y[rows] @ y[cols].T
-        hit = s >= link - _EPS
-        if allowed is not None:
-            hit &= allowed
-        i, j = np.nonzero(hit)
+        if told is not None:
+            told[0] += s.size
+        i, j = np.nonzero(s >= link - _EPS)
         close = s[i, j] < link + _EPS
         if close.any():
             exact = (x[rows[i[close]]] * x[cols[j[close]]]).sum(1)
@@ -289,9 +305,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         far = float(np.sqrt(((x - centre) ** 2).sum(1).max())) + 1e-9
         return pa.table({"block": t.column("block").slice(0, 1), "dim": t.column("dim").slice(0, 1), "centre": pa.array([centre.tolist()]), "far": [far]})
 
-    balls = trees.select("block", "dim", "vector").groupBy("block").applyInArrow(radius, "block int, dim int, centre array<double>, far double").collect()
+    found = saved(trees.select("block", "dim", "vector").groupBy("block").applyInArrow(radius, "block int, dim int, centre array<double>, far double"))
+    balls = found.toArrow()
     chord = math.sqrt(max(0.0, 2 - 2 * link)) + 1e-6
-    shared = spark.sparkContext.broadcast({d: tuple(np.array([r[c] for r in balls if r["dim"] == d]) for c in ("block", "centre", "far")) for d in sizes})
+    of = {d: balls.filter(pc.equal(balls.column("dim"), d)) for d in sizes}
+    shared = spark.sparkContext.broadcast({d: (t.column("block").to_numpy(), t.column("centre").combine_chunks().flatten().to_numpy().reshape(len(t), -1), t.column("far").to_numpy()) for d, t in of.items()})
 
     def near(batches):
         """Each block's pairs with itself and with the blocks whose balls come within the chord, named by both."""
@@ -304,7 +322,6 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                     pairs.append((min(me, other) << 31) + max(me, other))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(pairs, pa.int64())], names=["block", "pair"])
 
-    found = spark.createDataFrame(balls, "block int, dim int, centre array<double>, far double")
     pairs = saved(found.repartition(spark.sparkContext.defaultParallelism).mapInArrow(near, "block int, pair long"))
     joined = trees.join(bounded(pairs), "block").select("pair", "block", "node", "copies", "vector", "up", "at")
     out = T.StructType([T.StructField("node", kind), T.StructField("links", T.LongType()), T.StructField("root", kind)])

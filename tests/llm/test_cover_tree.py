@@ -77,3 +77,33 @@ def test_large_blocks_are_divided(spark, monkeypatch, spread):
     data = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(np.concatenate((rng.normal(size=(1, 4)) + rng.normal(size=(150, 4)) * spread, rng.normal(size=(80, 4)))))]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     assert sorted([tuple(r) for r in cover_tree.near_duplicates(df).collect()], key=str) == brute(data)[0]
+
+
+def test_bounds_spare_products():
+    """Of 200 tight clusters little more is multiplied than pairs of near nodes; evenly spread points cost one matrix."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(200, 64))
+    x = np.repeat(base, 15, axis=0) + rng.normal(size=(3000, 64)) * 0.05
+    x = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    every, told = np.arange(len(x)), [0]
+    count, _ = cover_tree.traverse(x, every, every, cover_tree.tree(x), np.ones(len(x), int), 0.95, told)
+    s = x @ x.T
+    want = (s >= 0.95).sum(1) - 1
+    assert (count == want).all() and want.sum() > 20_000
+    assert told[0] < 0.03 * len(x) ** 2
+    z = rng.normal(size=(900, 64))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    told = [0]
+    cover_tree.traverse(z, every[:900], every[:900], cover_tree.tree(z), np.ones(900, int), 0.95, told)
+    assert told[0] <= 1.5 * 900**2
+
+
+def test_lengths_do_not_matter(spark, monkeypatch):
+    """v and 2 v in blocks that are divided, and an empty first block pair."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 6)
+    rng = np.random.default_rng(2)
+    rows = [v.tolist() for v in rng.normal(size=(40, 3))]
+    rows += [[2 * c for c in v] for v in rows] + [rows[0]] * 9
+    data = list(enumerate(rows))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert sorted([tuple(r) for r in cover_tree.near_duplicates(df).collect()], key=str) == brute(data)[0]
