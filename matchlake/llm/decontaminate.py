@@ -10,6 +10,7 @@ where they are read.  The benchmark goes to the tasks in blocks of about BLOCK
 words, one at a time: a larger benchmark costs a pass over the documents for
 each block, with the findings so far written to the shared folder between two
 passes, and neither the driver nor a worker holds more than one block.
+Windows that items share are searched once, but for the listed matches.
 Occurrences are looked at LISTED at a time, so that short items that occur all
 over a shard take no more memory than others.
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.llm.kernels import ALNUM, flat, tidy
+from matchlake.llm.kernels import ALNUM, flat, mix, tidy
 from matchlake.llm.tables import saved
 
 WINDOW, SHARD, BLOCK, LISTED = 10, 1 << 19, 4 << 20, 1 << 19
@@ -60,6 +61,48 @@ class Items:
         self.end = at[1:][self.item]
 
 
+    def distinct(self) -> Windows:
+        """The windows without repetitions."""
+        return Windows(self)
+
+
+class Windows:
+    """Each different window once, as a test suffix of its own, with the list of the items that have it.
+
+    Lists that are alike are one, so a passage that many items share is searched
+    and marked once, and its items are named once for each document.
+    """
+
+    def __init__(self, items: Items):
+        self.ids, self.words = items.ids, items.words
+        n, reach = len(items.start), int(items.length.max(initial=0))
+        gram = items.length.astype(np.uint64)
+        for j in range(reach):
+            longer = items.length > j
+            gram[longer] = mix(gram[longer] * _U(0x9E3779B97F4A7C15) + items.words[items.start[longer] + j])
+        _, first, of = np.unique(gram, return_index=True, return_inverse=True)
+        rep = first[of]
+        same = items.length == items.length[rep]
+        for j in range(reach):
+            longer = same & (items.length > j)
+            same[longer] = items.words[items.start[longer] + j] == items.words[items.start[rep[longer]] + j]
+        odd = np.flatnonzero(~same)  # different windows with one hash: each by itself
+        of[odd] = len(first) + np.arange(len(odd))
+        self.start, self.length = items.start[np.append(first, odd)], items.length[np.append(first, odd)]
+        pairs = np.unique(of * max(1, len(items.ids)) + items.item) if n else np.zeros(0, np.int64)
+        window, item = pairs // max(1, len(items.ids)), pairs % max(1, len(items.ids))
+        cut = np.searchsorted(window, np.arange(len(self.start) + 1))
+        known: dict[bytes, int] = {}
+        self.lists: list[list[str]] = []
+        self.list = np.zeros(len(self.start), np.int64)
+        for k, (a, b) in enumerate(pairwise(cut.tolist())):
+            at = item[a:b].tobytes()
+            if at not in known:
+                known[at] = len(self.lists)
+                self.lists.append([items.ids[i] for i in item[a:b].tolist() if items.ids[i] is not None])
+            self.list[k] = known[at]
+
+
 class SuffixArray:
     """Word suffixes of a shard, sorted by their first `depth` word codes."""
 
@@ -83,7 +126,7 @@ class SuffixArray:
             if new.all():
                 break
 
-    def bound(self, items: Items, upper: bool) -> np.ndarray:
+    def bound(self, items: Items | Windows, upper: bool) -> np.ndarray:
         """Where each suffix's window begins (or ends) among the sorted suffixes."""
         low = np.zeros(len(items.start), np.int64)
         high = np.full(len(items.start), len(self.order), np.int64)
@@ -104,7 +147,7 @@ class SuffixArray:
             high = np.where(open_ & ~right, mid, high)
         return low
 
-    def matches(self, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def matches(self, items: Items | Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of (test suffix, shard position) whose windows are the same words of one document, about LISTED at a time."""
         if not len(items.start) or not len(self.order):
             return
@@ -175,8 +218,22 @@ _MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("
 _ARROW = pa.struct([("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64()), ("n_words", pa.int64())])
 
 
-def _judged(words: np.ndarray, at: np.ndarray, items: Items, listed: bool):
-    """Of a shard's documents: which words are hit, the items found, and the matches if `listed`."""
+def _covered(words: np.ndarray, at: np.ndarray, windows: Windows):
+    """Of a shard's documents: which words are hit, and the items found."""
+    cover = np.zeros(len(words) + 1, np.int64)
+    found: list[set] = [set() for _ in range(len(at) - 1)]
+    array = SuffixArray(words, at, int(windows.length.max(initial=1)))
+    for window, d in array.matches(windows):
+        np.add.at(cover, d, 1)
+        np.add.at(cover, d + windows.length[window], -1)
+        pair = np.unique((np.searchsorted(at, d, "right") - 1) * len(windows.lists) + windows.list[window])
+        for k, i in zip((pair // len(windows.lists)).tolist(), (pair % len(windows.lists)).tolist(), strict=True):
+            found[k].update(windows.lists[i])
+    return np.cumsum(cover[:-1]) > 0, found, [[] for _ in found]
+
+
+def _judged(words: np.ndarray, at: np.ndarray, items: Items):
+    """As _covered, with the matches of each item, which are as many as items have the passage."""
     cover = np.zeros(len(words) + 1, np.int64)
     found: list[set] = [set() for _ in range(len(at) - 1)]
     spans: list[list] = [[] for _ in range(len(at) - 1)]
@@ -189,11 +246,10 @@ def _judged(words: np.ndarray, at: np.ndarray, items: Items, listed: bool):
         for k, i in zip((pair // len(items.ids)).tolist(), (pair % len(items.ids)).tolist(), strict=True):
             if items.ids[i] is not None:
                 found[k].add(items.ids[i])
-        if listed:
-            head = array.heads(items, suffix, d)
-            s, p, doc = suffix[head], d[head], doc[head]
-            for i, a, k, x, n in zip(items.item[s].tolist(), items.place[s].tolist(), doc.tolist(), (p - at[doc]).tolist(), array.longest(items, s, p).tolist(), strict=True):
-                spans[k].append({"item_id": items.ids[i], "item_at": a, "doc_at": x, "n_words": n})
+        head = array.heads(items, suffix, d)
+        s, p, doc = suffix[head], d[head], doc[head]
+        for i, a, k, x, n in zip(items.item[s].tolist(), items.place[s].tolist(), doc.tolist(), (p - at[doc]).tolist(), array.longest(items, s, p).tolist(), strict=True):
+            spans[k].append({"item_id": items.ids[i], "item_at": a, "doc_at": x, "n_words": n})
     return np.cumsum(cover[:-1]) > 0, found, spans
 
 
@@ -214,7 +270,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
                 words, at = ALNUM.hashes(*flat(b.column("_text")))
                 hits, ids, spans = [], [], []
                 for lo, hi in _shards(at, SHARD):
-                    h, i, s = _judged(words[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shared.value, listed)
+                    h, i, s = (_judged if listed else _covered)(words[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shared.value)
                     hits.append(h)
                     ids += i
                     spans += s
@@ -238,7 +294,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
 
     first = True
     for block, last in _blocks(benchmark, item, item_text, window):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(block if listed else block.distinct())
         rows = rows.mapInArrow(passed(shared, first, last), out if last else state)
         if not last:
             rows = saved(rows)
@@ -264,7 +320,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: st
         return tidy(run)
 
     for block, last in _blocks(benchmark, item, item_text, window):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(block.distinct())
         docs = docs.mapInArrow(passed(shared), docs.schema)
         if not last:
             docs = saved(docs)

@@ -46,6 +46,8 @@ def test_scan_equals_brute_force(spark, monkeypatch):
     got = decontaminate.scan(df, bench).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], str(r[3]))
     assert sorted([tuple(r)[:4] for r in got], key=key) == sorted(brute(docs, items), key=key)
+    unlisted = decontaminate.scan(df, bench, listed=False)
+    assert "matches" not in unlisted.columns and sorted([tuple(r) for r in unlisted.collect()], key=key) == sorted(brute(docs, items), key=key)
     for r in got:
         for m in r["matches"]:
             assert m["doc_at"] + m["n_words"] <= r["n_words"]
@@ -91,3 +93,19 @@ def test_benchmark_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "saved", lambda df, real=decontaminate.saved: held.append(1) or real(df))
     got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(brute(docs, items)) and len(held) > 2
+
+
+def test_equal_items_are_searched_once():
+    """A thousand equal items give the pairs of one, and two items in part alike those of their different windows."""
+    rng = random.Random(2)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    text = f"a b {passage} c {passage} d"
+    words_, at = decontaminate.ALNUM.hashes(*decontaminate.flat(decontaminate.pa.array([text] * 3)))
+    array = decontaminate.SuffixArray(words_, at)
+    pairs = lambda texts: sum(len(d) for _, d in array.matches(decontaminate.Items([str(k) for k in range(len(texts))], texts, 10).distinct()))
+    assert pairs([passage]) == pairs([passage] * 1000) == 3 * 2 * 31
+    assert pairs([passage, passage + " other words"]) == 3 * 2 * 31
+    windows = decontaminate.Items(["x", "y", None], [passage, passage, passage], 10).distinct()
+    assert windows.lists == [["x", "y"]]
+    hit, found, _ = decontaminate._covered(words_, at, windows)
+    assert hit.sum() == 3 * 80 and found == [{"x", "y"}] * 3
