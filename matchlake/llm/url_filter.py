@@ -39,6 +39,8 @@ _BASE = r"""(?i)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
 _HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
 #: Character references of the characters that part an address: pattern and character.
 _REFERENCES = ((r"(?i)&(?:sol|#0*47|#x0*2f);", "/"), (r"(?i)&(?:colon|#0*58|#x0*3a);", ":"), (r"(?i)&(?:period|#0*46|#x0*2e);", "."), (r"(?i)&(?:quest|#0*63|#x0*3f);", "?"), (r"(?i)&(?:num|#0*35|#x0*23);", "#"), (r"(?i)&(?:amp|#0*38|#x0*26);", "&"))
+#: An absolute address, or one that may be absolute once decoded: only pages that have one are decoded.
+_MAYBE = r"""(?i)href\s*=\s*["']?\s*(?://|[a-z][a-z0-9+.-]*://|[a-z0-9+./:-]*&(?:sol|colon|period|#))"""
 
 
 def host_of(url: Column) -> Column:
@@ -78,7 +80,8 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """(src, dst, pages): how many pages of src link to the other host dst."""
     full = lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x)
     # most links stay inside their host and name none: pages without others are dropped before their links are listed
-    seen = pages.select(host_of(F.col(url)).alias("src"), _decoded(F.col(html)).alias("_seen")).where("src <> ''").where(F.col("_seen").rlike("""(?i)href\\s*=\\s*["']?\\s*(//|[a-z][a-z0-9+.-]*://)"""))
+    some = pages.where(F.col(html).rlike(_MAYBE))
+    seen = some.select(host_of(F.col(url)).alias("src"), _decoded(F.col(html)).alias("_seen")).where("src <> ''").where(F.col("_seen").rlike("""(?i)href\\s*=\\s*["']?\\s*(//|[a-z][a-z0-9+.-]*://)"""))
     seen = seen.withColumn("_seen", F.regexp_replace("_seen", _HIDDEN, " "))
     base = F.regexp_extract("_seen", _BASE, 1)
     home = F.when(_absolute(base), host_of(full(base))).otherwise(F.col("src"))
