@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables that the step at hand has written, where a step is one of `settled`.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a folder of this process if Spark runs inside it (tests), else an error."""
@@ -32,9 +37,29 @@ def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: its lineage ends there."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession)
     df.write.parquet(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s result, saved; the tables that were saved on the way are then removed.
+
+    Nothing else may read them later: make must not hand on a DataFrame but its result.
+    """
+    outer, token = _WRITTEN.get(), _WRITTEN.set([])
+    try:
+        done = saved(make())
+        *before, last = _WRITTEN.get()
+    finally:
+        _WRITTEN.reset(token)
+    for path in before:
+        remove(spark, path)
+    if outer is not None:
+        outer.append(last)
+    return done
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder that no later step reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

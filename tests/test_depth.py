@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchlake.operators import detection, ordered, ranks, vectors
+from matchlake.operators import detection, ordered, ranks, tables, vectors
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -102,3 +102,25 @@ def test_seen_twice_equals_the_loop(spark):
     pairs = spark.createDataFrame([(1, 5, 0), (1, 0, 1)], "game int, a int, b int")
     twice = spark.createDataFrame([(1, 0, 5)], "game int, a int, b int")
     assert [tuple(r) for r in detection.bridged(spans, pairs, ["game"], "m", "s", "e", twice).collect()] == [(1, 5, 0, 0)]
+
+
+def test_settled_removes_what_was_saved_on_the_way(spark):
+    paths = []
+
+    def saved(df):
+        out = tables.saved(df)
+        paths.append(out.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:"))
+        return out
+
+    def inner():
+        return saved(spark.range(3)).selectExpr("id + 1 as id")
+
+    def outer():
+        return saved(tables.settled(spark, inner)).where("id > 1")
+
+    got = tables.settled(spark, outer)
+    assert sorted(r["id"] for r in got.collect()) == [2, 3]
+    from pathlib import Path
+
+    assert len(paths) == 2 and not any(Path(p.replace("//", "/")).exists() for p in paths)
+    assert tables.saved(spark.range(2)).count() == 2
