@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import bpe, decontaminate, ngram_join, substring_dedup, toxicity
-from matchlake.llm.tables import saved, text_key
+from matchlake.llm.tables import text_key
+from matchlake.operators.tables import settled
 
 TOXIC = 0.5
 
@@ -21,11 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each component of near copies, once, and all without doc_id."""
+    """Keeps the document of the smallest doc_id of each component of near copies, once; of those without doc_id one of each text, and all without words."""
     firsts = ngram_join.join(docs).where("component_id = doc_id").select("doc_id").distinct()
     name = _free(docs, "text_key")
     kept = docs.join(firsts, "doc_id", "left_semi").withColumn(name, text_key(F.col("text"))).dropDuplicates(["doc_id", name])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    nameless = docs.where("doc_id is null").withColumn(name, F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), text_key(F.col("text"))))
+    texts = nameless.where(F.col(name).isNotNull()).dropDuplicates([name]).unionByName(nameless.where(F.col(name).isNull()))
+    return kept.select(*docs.columns).unionByName(texts.select(*docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +73,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's result is written to the shared folder."""
+    """All stages over the documents of sf_dir; each stage's result is written to the shared folder, and what the stage wrote on the way is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
