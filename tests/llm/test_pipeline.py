@@ -29,3 +29,14 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(passage not in got[400 + k]["text"] and got[400 + k]["n_chars"] == len(got[400 + k]["text"]) for k in range(3))
     assert got[600]["text"] is None and got[600]["token_ids"] == [] and 601 in got
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_no_documents_and_no_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, ddl in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    rows = [(None, t, "en", "s", 1) for t in ("same words here", "same words here", "other words", None, None, " ", "")]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    assert sorted(str(r["text"]) for r in kept) == sorted(["same words here", "other words", "None", "None", " ", ""])
