@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import scalars
-from matchlake.operators import contacts, detection, graph, members, quality, spatial, stats
+from matchlake.operators import contacts, detection, graph, members, profiles, quality, spatial, stats
 from matchlake.params import Params
 from matchlake.plans.bindings import TOUCHES, table, touches
 from matchlake.plans.detection import _CAND, _cand
@@ -165,6 +165,41 @@ def profile_rollup(spark: SparkSession, d: str) -> DataFrame:
     return out.join(rate, "name", "left").select("name", "hits", "spikes", "rallies", "ending_touches", "games", "wins", "losses", "listed", "spike_rate")
 
 
+_PAGE = f"""{SCORED}, won AS (SELECT game, rally, coalesce(lead(start_side) OVER (PARTITION BY game ORDER BY rally), CASE end_side WHEN 'A' THEN 'B' ELSE 'A' END) AS winner FROM (SELECT game, rally, CASE WHEN arg_min(x, (frame, touch_id)) < 9.0 THEN 'A' ELSE 'B' END AS start_side, CASE WHEN arg_max(x, (frame, touch_id)) < 9.0 THEN 'A' ELSE 'B' END AS end_side FROM touches GROUP BY game, rally)),
+named AS (SELECT *, 'p' || CAST(player % 6 AS VARCHAR) AS name FROM touches WHERE player % 11 <> 0), ends AS (SELECT *, CASE WHEN frame = max(frame) OVER (PARTITION BY game, rally) THEN 1 ELSE 0 END AS is_end FROM touches),
+s AS (SELECT game, player, 'p' || CAST(player % 6 AS VARCHAR) AS name, count(*) AS hits, count(DISTINCT rally) AS rallies, sum(is_end) AS ends, count(*) FILTER (action_type = 'spike') AS spikes, CASE WHEN game % 5 <> 0 THEN strftime(to_timestamp(min(frame)), '%Y-%m-%d') ELSE '' END AS day FROM ends WHERE player % 11 <> 0 GROUP BY game, player),
+m AS (SELECT game, count(*) FILTER (winner = 'A') AS a, count(*) FILTER (winner = 'B') AS b FROM won GROUP BY game), r AS (SELECT game, CASE WHEN a > b THEN 'T' || (game % 3) WHEN b > a THEN 'T' || ((game + 1) % 3) END AS won, CASE WHEN a > b THEN 'T' || ((game + 1) % 3) WHEN b > a THEN 'T' || (game % 3) END AS lost FROM m),
+g AS (SELECT s.*, CASE WHEN team = won THEN 'win' WHEN team = lost THEN 'loss' ELSE '' END AS result, coalesce(team, '') AS tname FROM (SELECT *, CASE WHEN player % 6 % 3 IN (game % 3, (game + 1) % 3) THEN 'T' || (player % 6 % 3) END AS team FROM s) s JOIN r USING (game)),
+rad AS (SELECT name, string_agg(action_type || ' ' || wins || '/' || total, ',' ORDER BY action_type) AS radar FROM (SELECT name, action_type, count(*) AS total, sum(CASE WHEN winner = CASE WHEN x < 9.0 THEN 'A' ELSE 'B' END THEN 1 ELSE 0 END) AS wins FROM named JOIN won USING (game, rally) GROUP BY ALL) GROUP BY name),
+q AS (SELECT name, string_agg(action_type || ' ' || scored || '/' || n, ',' ORDER BY action_type) AS quality, round(sum(average), 4) AS averages FROM (SELECT 'p' || CAST(player % 6 AS VARCHAR) AS name, action_type, count(*) AS n, count(score) AS scored, avg(score) AS average FROM scored WHERE player % 11 <> 0 GROUP BY ALL) GROUP BY name)"""
+
+
+@query(f"""WITH {_PAGE} SELECT g.name, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(spikes) AS BIGINT) AS spikes, CAST(sum(g.rallies) AS BIGINT) AS rallies, CAST(sum(ends) AS BIGINT) AS ending_touches, count(*) FILTER (result = 'win') AS wins, count(*) FILTER (result = 'loss') AS losses, CAST(arg_min(player, (game, player)) FILTER (player % 4 = 1) AS VARCHAR) AS thumbnail,
+string_agg(day || ' ' || game || ' ' || player || ' ' || tname || ' ' || result, ',' ORDER BY day DESC, game, player) AS games, any_value(radar) AS radar, any_value(quality) AS quality, any_value(averages) AS averages FROM g LEFT JOIN rad USING (name) LEFT JOIN q USING (name) GROUP BY g.name""")
+def profile_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Whole profiles by name: results by the name's team, radar, quality and thumbnail in the row."""
+    t = touches(spark, d)
+    name = F.when(F.col("player") % 11 != 0, F.concat(F.lit(" p"), (F.col("player") % 6).cast("string")))
+    day = t.groupBy("game", "player").agg(F.date_format(F.timestamp_seconds(F.min("frame")), "yyyy-MM-dd").alias("day"))
+    records = stats.consolidated(t).join(day, ["game", "player"]).withColumns({"name": name, "day": F.when(F.col("game") % 5 != 0, F.col("day"))})
+    won = _won(spark, d).select("game", "rally", "winner")
+    team = lambda k: F.concat(F.lit("T"), ((F.col("game") + k) % 3).cast("string"))
+    a, b = F.count_if(F.col("winner") == "A"), F.count_if(F.col("winner") == "B")
+    ends = won.groupBy("game").agg(stats.winner(a, b, "A", "B").alias("w")).select("game", F.when(F.col("w") == "A", team(0)).when(F.col("w") == "B", team(1)).alias("won"), F.when(F.col("w") == "A", team(1)).when(F.col("w") == "B", team(0)).alias("lost"))
+    games = t.select("game").distinct()
+    slots = games.select("game", F.lit(0).alias("slot"), team(0).alias("team")).unionByName(games.select("game", F.lit(1).alias("slot"), team(1).alias("team"))).withColumn("team_name", F.col("team"))
+    rosters = spark.range(6).select(F.concat(F.lit("T"), (F.col("id") % 3).cast("string")).alias("team"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"))
+    thumbs = records.select("game", "player", F.when(F.col("player") % 4 == 1, F.col("player").cast("string")).alias("thumbnail"))
+    known = t.withColumn("name", F.trim(name)).where("name is not null")
+    rate = known.join(won, ["game", "rally"]).groupBy("name", "action_type").agg(F.count("*").alias("total"), F.count_if(F.col("winner") == F.when(F.col("x") < 9.0, "A").otherwise("B")).alias("wins"))
+    scored = stats.summary(quality.scored(wide(spark, d)).withColumn("name", F.trim(name)).where("name is not null"), ["name", "action_type"], "score")
+    p = profiles.profiles(records, slots, rosters, ends, thumbs, rate, scored)
+    line = F.array_join(F.transform("games", lambda g: F.concat_ws(" ", g["day"], g["game"].cast("string"), g["player"].cast("string"), F.coalesce(g["team"], F.lit("")), F.coalesce(g["result"], F.lit("")))), ",")
+    short = lambda c, x, y: F.array_join(F.transform(c, lambda r: F.concat(r["action_type"], F.lit(" "), r[x].cast("string"), F.lit("/"), r[y].cast("string"))), ",")
+    total = F.aggregate(F.filter("quality", lambda r: r["average"].isNotNull()), F.lit(0.0), lambda s, r: s + r["average"])
+    return p.select("name", F.col("total_hits").alias("hits"), F.col("n_spike").alias("spikes"), "rallies", "ending_touches", "wins", "losses", "thumbnail", line.alias("games"), short("radar", "wins", "total").alias("radar"), short("quality", "scored", "n").alias("quality"), F.round(total, 4).alias("averages"))
+
+
 @query(f"""WITH {SCORED} SELECT 'p' || CAST(player % 6 AS VARCHAR) AS name, action_type, count(*) AS n, count(score) AS scored, round(avg(score), 6) AS average FROM scored WHERE player % 11 <> 0 GROUP BY ALL""")
 def profile_quality(spark: SparkSession, d: str) -> DataFrame:
     """Quality of each name by category over all games."""
