@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from matchlake.operators.vectors import gallery_distance
 
 from matchlake.functions.scalars import angle, distance, iou, noisy_or, outside
+from matchlake.params import Params
 
-# Confidence a selected ball needs, boxes that a size profile needs, its width in deviations.
-SELECT, PROFILE, WIDTH = 0.60, 30, 1.5
-# Degrees and speed ratio of a hit, degrees of a block, speed of a fast ball.
-TURN, RATIO, BLOCK_TURN, FAST, NEAR_NET, NET = 40.0, 1.6, 120.0, 8.0, 2.5, 9.0
+# Boxes that a size profile needs, its width in deviations; degrees of a block, place of the net.
+PROFILE, WIDTH, BLOCK_TURN, NET = 30, 1.5, 120.0, 9.0
 
 
 def agreed(candidates: DataFrame, keys: list[str], candidate: str, model: str, x: str, y: str, confidence: str, radius: float) -> DataFrame:
@@ -24,26 +23,27 @@ def agreed(candidates: DataFrame, keys: list[str], candidate: str, model: str, x
     return out.withColumn("combined", F.coalesce(noisy_or(F.col(confidence), F.col("_best")), F.col(confidence))).drop("_best")
 
 
-def selected(candidates: DataFrame, game: str, frame: str, candidate: str, width: str, height: str, confidence: str) -> DataFrame:
+def selected(candidates: DataFrame, game: str, frame: str, candidate: str, width: str, height: str, confidence: str, params: Params | None = None) -> DataFrame:
     """One candidate per frame in two passes: (game, frame, candidate), null where none is sure enough.
 
     First the surest of each frame; if a game has PROFILE of these, their sizes
     give plausible ranges, and then the candidate nearest to these is taken (of
     equals the surer, then the smaller id).
     """
+    sure_at = (params or Params()).get("ball_detection", "MIN_SELECT_CONFIDENCE")
     w = Window.partitionBy(game, frame)
     rows = candidates.withColumn("_first", F.row_number().over(w.orderBy(F.desc(confidence), candidate)) == 1)
-    sure = rows.where(F.col("_first") & (F.col(confidence) >= SELECT))
+    sure = rows.where(F.col("_first") & (F.col(confidence) >= sure_at))
     m, s = (lambda c: F.avg(c)), (lambda c: F.stddev_pop(c))
     profile = sure.groupBy(game).agg(F.count("*").alias("_n"), m(width).alias("_mw"), s(width).alias("_sw"), m(height).alias("_mh"), s(height).alias("_sh")).where(F.col("_n") >= PROFILE)
     rows = rows.join(profile, game, "left")
     off = lambda v, a, b: outside(F.col(v), F.greatest(F.lit(0.0), F.col(a) - WIDTH * F.col(b)), F.col(a) + WIDTH * F.col(b))
     rows = rows.withColumn("_off", F.when(F.col("_n").isNotNull(), off(width, "_mw", "_sw") + off(height, "_mh", "_sh")).otherwise(0.0))
     best = rows.withColumn("_k", F.row_number().over(w.orderBy(F.round("_off", 9), F.desc(confidence), candidate))).where("_k = 1")
-    return best.select(game, frame, F.when(F.col(confidence) >= SELECT, F.col(candidate)).alias(candidate))
+    return best.select(game, frame, F.when(F.col(confidence) >= sure_at, F.col(candidate)).alias(candidate))
 
 
-def hits(points: DataFrame, keys: list[str], time: str, x: str, y: str, low: int = 5, high: int = 15) -> DataFrame:
+def hits(points: DataFrame, keys: list[str], time: str, x: str, y: str, low: int = 5, high: int = 15, params: Params | None = None) -> DataFrame:
     """Points where the path turns or speeds up: (keys, time, turn, speed_in, speed_out), by neighbours low to high frames away."""
     w = Window.partitionBy(*keys).orderBy(time)
     pick = F.struct(time, x, y)
@@ -54,17 +54,19 @@ def hits(points: DataFrame, keys: list[str], time: str, x: str, y: str, low: int
     s_out = F.sqrt(vx * vx + vy * vy) / (F.col(f"_a.{time}") - F.col(time))
     rows = rows.select(*keys, time, angle(ux, uy, vx, vy).alias("turn"), s_in.alias("speed_in"), s_out.alias("speed_out"))
     ratio = F.when(F.col("speed_in") <= 1e-6, float("inf")).otherwise(F.greatest("speed_in", "speed_out") / F.when(F.col("speed_in") > 1e-6, F.col("speed_in")))
-    return rows.where((F.col("turn") >= TURN) | (ratio >= RATIO))
+    p = params or Params()
+    return rows.where((F.col("turn") >= p.get("action_detection", "HIT_ANGLE_THRESHOLD_DEG")) | (ratio >= p.get("action_detection", "HIT_SPEED_RATIO_THRESHOLD")))
 
 
-def action_class(since_start: Column, serve_window: float, x: Column, turn: Column, speed_in: Column, speed_out: Column, previous_out: Column) -> Column:
+def action_class(since_start: Column, serve_window: float, x: Column, turn: Column, speed_in: Column, speed_out: Column, previous_out: Column, params: Params | None = None) -> Column:
     """The first rule that holds: serve, block, spike, dig, set, else hit."""
-    near = F.coalesce(F.abs(x - NET) <= NEAR_NET, F.lit(False))
+    p = params or Params()
+    near = F.coalesce(F.abs(x - NET) <= p.get("action_detection", "NET_PROXIMITY_M"), F.lit(False))
     return (
         F.when(since_start <= serve_window, "serve")
         .when(near & (turn >= BLOCK_TURN), "block")
         .when(near & (speed_out > speed_in), "spike")
-        .when((previous_out >= FAST) & (speed_out < previous_out), "dig")
+        .when((previous_out >= p.get("action_detection", "FAST_INCOMING_SPEED_MS")) & (speed_out < previous_out), "dig")
         .when(speed_out < speed_in, "set")
         .otherwise("hit")
     )
@@ -133,11 +135,11 @@ def pair_cost(gap: Column, metres: Column, zone: Column, appearance: Column, opp
     return F.when(F.coalesce(opposite, F.lit(0.0)) >= 0.7, None).when(cost <= 0.45, cost)
 
 
-# Weights of look and zone, of look without zones, of differing sides; frames after which places count half.
-LOOK, ZONE, LOOK_ALONE, OPPOSITE, RELAXED = 0.45, 0.40, 0.85, 0.35, 25.0
+# Fixed value: frames after which places count half.
+RELAXED = 25.0
 
 
-def merge_cost(gap: Column, metres: Column, zone: Column, appearance: Column, moved: Column, side_a: Column, sure_a: Column, side_b: Column, sure_b: Column, most: float = 0.45) -> Column:
+def merge_cost(gap: Column, metres: Column, zone: Column, appearance: Column, moved: Column, side_a: Column, sure_a: Column, side_b: Column, sure_b: Column, most: float | None = None, params: Params | None = None) -> Column:
     """The whole cost of merging two clusters; null if they can't be one player or it is above `most`.
 
     gap: frames between their spans (null: they overlap); metres: the move
@@ -145,13 +147,16 @@ def merge_cost(gap: Column, metres: Column, zone: Column, appearance: Column, mo
     distances (null: unknown); moved: the move as a share of the diagonal;
     sides with their confidences.
     """
+    p = params or Params()
+    by_look, by_zone, look_alone, opposite, near_look, sure, bar = (p.get("player_tracking", n) for n in ("APPEARANCE_WEIGHT", "ZONE_WEIGHT", "APPEARANCE_WEIGHT_WITHOUT_ZONES", "SIDE_MISMATCH_PENALTY", "APPEARANCE_MAX_DISTANCE", "SIDE_MIN_CONFIDENCE", "MERGE_MAX_COST"))
+    most = bar if most is None else most
     differ = F.coalesce(side_a != side_b, F.lit(False))
-    penalty = F.when(differ, OPPOSITE * F.least(sure_a, sure_b)).otherwise(0.0)
+    penalty = F.when(differ, opposite * F.least(sure_a, sure_b)).otherwise(0.0)
     spatial = F.least(F.lit(1.0), moved / (1.0 + gap / RELAXED))
-    blend = F.when(zone.isNull(), LOOK_ALONE * appearance + (1 - LOOK_ALONE) * spatial).otherwise(LOOK * appearance + ZONE * zone + (1 - LOOK - ZONE) * spatial) + penalty
-    seen = F.when(~F.coalesce(zone > 0.85, F.lit(False)) & (appearance <= 0.22) & (blend <= most), blend)
+    blend = F.when(zone.isNull(), look_alone * appearance + (1 - look_alone) * spatial).otherwise(by_look * appearance + by_zone * zone + (1 - by_look - by_zone) * spatial) + penalty
+    seen = F.when(~F.coalesce(zone > 0.85, F.lit(False)) & (appearance <= near_look) & (blend <= most), blend)
     cost = F.when((gap <= 15) & (metres <= 1.0), 0.05 * metres).otherwise(seen)
-    return F.when((gap <= 1800) & ~(differ & (sure_a >= 0.7) & (sure_b >= 0.7)), cost)
+    return F.when((gap <= 1800) & ~(differ & (sure_a >= sure) & (sure_b >= sure)), cost)
 
 
 def reselected(raw: DataFrame, roi: DataFrame, game: str, frame: str, candidate: str, width: str, height: str, confidence: str, x: str, y: str, least: float) -> DataFrame:
@@ -162,7 +167,7 @@ def reselected(raw: DataFrame, roi: DataFrame, game: str, frame: str, candidate:
     return selected(kept.select(*raw.columns), game, frame, candidate, width, height, confidence)
 
 
-def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, keys: list[str], member: str, start: str, end: str, zone: str, side: str, vector: str, shape: str, zone_most: float = 0.95, confident: float = 0.7, most: float = 0.34, twice: DataFrame | None = None) -> DataFrame:
+def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, keys: list[str], member: str, start: str, end: str, zone: str, side: str, vector: str, shape: str, zone_most: float = 0.95, confident: float | None = None, most: float | None = None, twice: DataFrame | None = None, params: Params | None = None) -> DataFrame:
     """(keys, a, b, distance): pairs of members that may be one player, of which no time, place, side or look speaks against.
 
     Their spans don't overlap (but for the pairs in twice, see bridged), their zones (shares of the rows of places) differ
@@ -170,6 +175,9 @@ def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, k
     `confident`, and the mean distance of their galleries is at most `most`.
     Unknown zones and sides speak against nothing; without vectors there is no match.
     """
+    p = params or Params()
+    confident = p.get("player_tracking", "SIDE_MIN_CONFIDENCE") if confident is None else confident
+    most = p.get("player_tracking", "CANDIDATE_MAX_APPEARANCE_DISTANCE") if most is None else most
     ids = spans.select(*keys, member).distinct()
     each = places.where(F.col(zone).isNotNull()).groupBy(*keys, member, zone).agg(F.count("*").alias("_n"))
     zones = each.groupBy(*keys, member).agg(F.map_from_entries(F.collect_list(F.struct(zone, "_n"))).alias("_zones"), F.sum("_n").alias("_total"))

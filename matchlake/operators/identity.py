@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,38 @@ from matchlake.functions import scalars
 from matchlake.operators import intervals
 from matchlake.operators.components import components
 from matchlake.operators.tables import saved
+from matchlake.params import Params
 
-# Frames of the shortest tracklet, share in play, frames between parts of one player.
-FRAMES, IN_PLAY, GAP = 2, 0.5, 1800
-# Most distant looks and zones, highest cost of a merge and of a relaxed one.
-LOOK_MOST, ZONE_MOST, COST, RELAXED_COST = 0.22, 0.85, 0.45, 0.65
+# Frames between parts of one player, most distant zones, cost of a relaxed merge.
+GAP, ZONE_MOST, RELAXED_COST = 1800, 0.85, 0.65
 # Frames and metres in which nobody else can step in, and what a whole metre costs.
 SOON, METRE, METRE_COST = 15, 1.0, 0.05
 # Frames, share and mean overlap of two boxes that are one body seen twice.
 TWICE_FRAMES, TWICE_SHARE, TWICE_IOU = 30, 0.02, 0.40
-# Weights of look and zone, of look without zones, penalty of differing sides, frames after which a move counts half.
-LOOK, ZONE, LOOK_ALONE, OPPOSITE, RELAX, SURE = 0.45, 0.40, 0.85, 0.35, 25.0, 0.7
-# Vectors of a shape that a cluster keeps, cost of one shape step, players of a side, share of a life beyond them.
-GALLERY, SHAPE_STEP, SIDE_PLAYERS, EXCESS = 10, 0.2 / 3, 6, 0.25
+# Frames after which a move counts half, vectors of a shape that a cluster keeps, cost of one shape step, share of a life beyond a side's players.
+RELAX, GALLERY, SHAPE_STEP, EXCESS = 25.0, 10, 0.2 / 3, 0.25
+
+
+class Rules(NamedTuple):
+    """The parameters of the stage player_tracking that decide on identities."""
+
+    look: float
+    look_alone: float
+    zone: float
+    look_most: float
+    opposite: float
+    sure: float
+    cost: float
+    players: int
+    frames: int
+    in_play: float
+
+    @classmethod
+    def of(cls, params: Params | None = None) -> Rules:
+        names = ("APPEARANCE_WEIGHT", "APPEARANCE_WEIGHT_WITHOUT_ZONES", "ZONE_WEIGHT", "APPEARANCE_MAX_DISTANCE", "SIDE_MISMATCH_PENALTY", "SIDE_MIN_CONFIDENCE", "MERGE_MAX_COST", "MAX_PLAYERS_PER_SIDE", "MIN_TRACKLET_FRAMES", "MIN_IN_PLAY_FRACTION")
+        return cls(*((params or Params()).get("player_tracking", n) for n in names))
+
+
 #: Frames of a slice in which presence is counted at once.
 SLICE = 1 << 16
 
@@ -141,11 +161,11 @@ def zone_distance(a: Cluster, b: Cluster) -> float | None:
     return 1.0 - float(np.minimum(a.zones / p, b.zones / q).sum()) if p and q else None
 
 
-def cost(a: Cluster, b: Cluster, diagonal: float, most: float = COST) -> float | None:
+def cost(a: Cluster, b: Cluster, diagonal: float, rules: Rules, most: float) -> float | None:
     """What taking two clusters for one player costs; None if they can't be or it is above `most`."""
     (side_a, sure_a), (side_b, sure_b) = a.side(), b.side()
     differ = side_a and side_b and side_a != side_b
-    if differ and min(sure_a, sure_b) >= SURE:
+    if differ and min(sure_a, sure_b) >= rules.sure:
         return None
     near = bridge(a, b)
     if near is None or near[0] > GAP:
@@ -159,16 +179,16 @@ def cost(a: Cluster, b: Cluster, diagonal: float, most: float = COST) -> float |
     if zone is not None and zone > ZONE_MOST:
         return None
     look = look_distance(a, b)
-    if look is None or look > LOOK_MOST:
+    if look is None or look > rules.look_most:
         return None
     centre = [((p[0] + p[2]) / 2, (p[1] + p[3]) / 2) for p in (box_a, box_b)]
     spatial = min(1.0, float(np.hypot(centre[0][0] - centre[1][0], centre[0][1] - centre[1][1])) / diagonal / (1.0 + gap / RELAX))
-    whole = LOOK_ALONE * look + (1 - LOOK_ALONE) * spatial if zone is None else LOOK * look + ZONE * zone + max(0.0, 1 - LOOK - ZONE) * spatial
-    whole += OPPOSITE * min(sure_a, sure_b) if differ else 0.0
+    whole = rules.look_alone * look + (1 - rules.look_alone) * spatial if zone is None else rules.look * look + rules.zone * zone + max(0.0, 1 - rules.look - rules.zone) * spatial
+    whole += rules.opposite * min(sure_a, sure_b) if differ else 0.0
     return whole if whole <= most else None
 
 
-def contracted(clusters: list[Cluster], linked: dict, diagonal: float) -> tuple[list[Cluster], list[tuple]]:
+def contracted(clusters: list[Cluster], linked: dict, diagonal: float, rules: Rules) -> tuple[list[Cluster], list[tuple]]:
     """The clusters after all merges, always the cheapest pair first (of equals the smaller pair), and the merges (into, merged, cost).
 
     linked: for each cluster's name the names that it may ever share a cluster with directly.
@@ -181,7 +201,7 @@ def contracted(clusters: list[Cluster], linked: dict, diagonal: float) -> tuple[
 
     def weigh(a, b) -> None:
         a, b = min(a, b), max(a, b)
-        c = cost(alive[a], alive[b], diagonal)
+        c = cost(alive[a], alive[b], diagonal, rules, rules.cost)
         if c is not None:
             heapq.heappush(heap, (c, a, b, age[a], age[b]))
 
@@ -206,14 +226,14 @@ def contracted(clusters: list[Cluster], linked: dict, diagonal: float) -> tuple[
     return [alive[n] for n in sorted(alive)], log
 
 
-def capped(clusters: list[Cluster], extra: list, diagonal: float) -> dict:
+def capped(clusters: list[Cluster], extra: list, diagonal: float, rules: Rules) -> dict:
     """The clusters beyond a side's players, `extra` in turn, merged into the cheapest of the others under the relaxed bar: {name: into}."""
     primary, moved = [c for c in clusters if c.name not in set(extra)], {}
     named = {c.name: c for c in clusters}
     for n in extra:
         best = None
         for p in primary:
-            c = cost(p, named[n], diagonal, RELAXED_COST)
+            c = cost(p, named[n], diagonal, rules, RELAXED_COST)
             if c is not None and c < (best[0] if best else RELAXED_COST):
                 best = (c, p)
         if best:
@@ -222,7 +242,7 @@ def capped(clusters: list[Cluster], extra: list, diagonal: float) -> dict:
     return moved
 
 
-def tracks_of(boxes: DataFrame, vectors: DataFrame, game: str, track: str, frame: str) -> DataFrame:
+def tracks_of(boxes: DataFrame, vectors: DataFrame, game: str, track: str, frame: str, rules: Rules) -> DataFrame:
     """One row per tracklet that is long enough and enough in play: (game, track, seen, looks, start, end, placed).
 
     boxes: (game, track, frame, x1, y1, x2, y2, u, v), u and v the foot point on
@@ -235,7 +255,7 @@ def tracks_of(boxes: DataFrame, vectors: DataFrame, game: str, track: str, frame
     box = F.array(*[F.col(c).cast("double") for c in CORNERS])
     seen = F.sort_array(F.collect_list(F.struct(F.col(frame).alias("f"), box.alias("b"), court.alias("c"), zone.cast("int").alias("z"))))
     rows = boxes.groupBy(game, track).agg(seen.alias("seen"), F.avg(F.when(inside, 1.0).otherwise(0.0)).alias("_in"), F.min(frame).alias("start"), F.max(frame).alias("end"), F.count("u").alias("placed"))
-    rows = rows.where((F.size("seen") >= FRAMES) & (F.col("_in") >= IN_PLAY)).drop("_in")
+    rows = rows.where((F.size("seen") >= rules.frames) & (F.col("_in") >= rules.in_play)).drop("_in")
     look = F.struct(F.col("shape").cast("int").alias("shape"), F.col("isolation").cast("double").alias("isolation"), F.col("vector").cast("array<double>").alias("vector"))
     looks = vectors.where("vector is not null").groupBy(game, track).agg(F.sort_array(F.collect_list(look)).alias("looks"))
     return rows.join(looks, [game, track], "left")
@@ -251,16 +271,16 @@ def _closest(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
-def possible_links(tracks: DataFrame, game: str, track: str) -> DataFrame:
+def possible_links(tracks: DataFrame, game: str, track: str, rules: Rules) -> DataFrame:
     """(game, a, b): pairs of tracklets of calibrated games that could bring their clusters together."""
     pairs = intervals.banded_pairs(tracks.where("placed > 0"), [game], track, "start", "end", GAP)
     t = lambda n: tracks.select(game, F.col(track).alias(n), F.col("seen").alias(f"seen_{n}"), F.col("looks").alias(f"looks_{n}"))
     both = pairs.join(t("a"), [game, "a"]).join(t("b"), [game, "b"])
-    schema = both.select(game, "a", "b").schema
+    schema, most = both.select(game, "a", "b").schema, rules.look_most
 
     def run(batches):
         for batch in batches:
-            keep = _closest(batch.column("looks_a"), batch.column("looks_b")) <= LOOK_MOST + 1e-9
+            keep = _closest(batch.column("looks_a"), batch.column("looks_b")) <= most + 1e-9
             for k in np.flatnonzero(~keep):
                 keep[k] = _touch(batch.column("seen_a")[int(k)].as_py(), batch.column("seen_b")[int(k)].as_py())
             yield batch.select(schema.names).filter(pa.array(keep))
@@ -291,7 +311,7 @@ def _in_groups(left: DataFrame, right: DataFrame, keys: list[str], run: Callable
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
-def consolidated(boxes: DataFrame, vectors: DataFrame, game: str, track: str, frame: str, diagonal: float) -> DataFrame:
+def consolidated(boxes: DataFrame, vectors: DataFrame, game: str, track: str, frame: str, diagonal: float, params: Params | None = None) -> DataFrame:
     """(game, track, cluster, into, step, cost): tracklets with their identity, named by its smallest tracklet; for merged ones also the cluster they were merged into, as which merge of theirs, and at what cost.
 
     Tracklets that are too short or out of play are left out.  In games without
@@ -299,8 +319,9 @@ def consolidated(boxes: DataFrame, vectors: DataFrame, game: str, track: str, fr
     Every game's result is that of merging its cheapest pair first, until none is left.
     """
     kind, ident = boxes.schema[game].dataType.simpleString(), boxes.schema[track].dataType.simpleString()
-    tracks = saved(tracks_of(boxes, vectors, game, track, frame))
-    links = saved(possible_links(tracks, game, track))
+    rules = Rules.of(params)
+    tracks = saved(tracks_of(boxes, vectors, game, track, frame, rules))
+    links = saved(possible_links(tracks, game, track, rules))
     node = lambda c: F.xxhash64(game, c)
     roots = components(links.select(node("a").alias("a"), node("b").alias("b")))
     named = tracks.join(roots, node(track) == F.col("node"), "left")
@@ -317,7 +338,7 @@ def consolidated(boxes: DataFrame, vectors: DataFrame, game: str, track: str, fr
             linked[g].setdefault(b, []).append(a)
         rows = []
         for g, members in games.items():
-            found, log = contracted(members, linked[g], diagonal)
+            found, log = contracted(members, linked[g], diagonal, rules)
             merged = {b: (a, k, c) for k, (a, b, c) in enumerate(log)}
             rows += [(g, t, c.name, *merged.get(t, (None,) * 3)) for c in found for t in sorted(c.tracks)]
         columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -329,8 +350,8 @@ def consolidated(boxes: DataFrame, vectors: DataFrame, game: str, track: str, fr
     return _in_groups(groups, inner, ["part"], run, schema).unionByName(alone)
 
 
-def rostered(boxes: DataFrame, vectors: DataFrame, found: DataFrame, game: str, track: str, frame: str, diagonal: float, players: int = SIDE_PLAYERS) -> DataFrame:
-    """(game, cluster, side, final, likely_non_player): what the roster cap makes of consolidated identities.
+def rostered(boxes: DataFrame, vectors: DataFrame, found: DataFrame, game: str, track: str, frame: str, diagonal: float, players: int | None = None, params: Params | None = None) -> DataFrame:
+    """(game, cluster, side, final, likely_non_player): what the roster cap makes of consolidated identities; players: of a side, else the parameter.
 
     Where more than `players` surely placed identities of a side are seen at
     once, those with the shortest lives are extra.  Each of them, in the order in
@@ -339,11 +360,13 @@ def rostered(boxes: DataFrame, vectors: DataFrame, found: DataFrame, game: str,
     quarter of its life.  Sides that are never too many go to no task.
     """
     kind, ident = boxes.schema[game].dataType.simpleString(), boxes.schema[track].dataType.simpleString()
-    tracks = saved(tracks_of(boxes, vectors, game, track, frame).join(found.select(game, track, "cluster", "into", "step"), [game, track]))
+    rules = Rules.of(params)
+    players = rules.players if players is None else players
+    tracks = saved(tracks_of(boxes, vectors, game, track, frame, rules).join(found.select(game, track, "cluster", "into", "step"), [game, track]))
     sides = tracks.select(game, "cluster", "start", "end", F.aggregate("seen", F.lit(0), lambda s, x: s + (x["c"].isNotNull() & (x["c"][0] < 9.0)).cast("int")).alias("_a"), F.size(F.filter("seen", lambda x: x["c"].isNotNull())).alias("_n"))
     lives = sides.groupBy(game, "cluster").agg(F.sum("_a").alias("_a"), F.sum("_n").alias("_n"), F.sum(F.col("end") - F.col("start") + 1).alias("life"))
     side, sure = scalars.side_of(F.col("_a"), F.col("_n") - F.col("_a"))
-    lives = saved(lives.withColumn("side", F.when(sure >= SURE, side)).select(game, "cluster", "side", "life"))
+    lives = saved(lives.withColumn("side", F.when(sure >= rules.sure, side)).select(game, "cluster", "side", "life"))
     spans = sides.join(lives.where("side is not null"), [game, "cluster"]).select(game, "side", "cluster", F.col("start").alias("s"), (F.col("end") + 1).alias("e"), "life")
     extra = saved(intervals.excess(spans, [game, "side"], "cluster", "s", "e", "life", players, slice_=SLICE, first="since"))
     mine = tracks.join(lives.drop("life"), [game, "cluster"]).join(extra.select(game, "side").distinct(), [game, "side"], "left_semi")
@@ -355,7 +378,7 @@ def rostered(boxes: DataFrame, vectors: DataFrame, found: DataFrame, game: str,
         for _, _, into, name in sorted(m for m in merges if m[1] is not None):
             parts[into].absorb(parts.pop(name))
         order = [c for *_, c in sorted(zip(*(right.column(c).to_pylist() for c in ("since", "life", "cluster")), strict=True))]
-        moved = capped([parts[n] for n in sorted(parts)], order, diagonal)
+        moved = capped([parts[n] for n in sorted(parts)], order, diagonal, rules)
         names = right.column("cluster").to_pylist()
         return right.select([game, "side", "cluster"]).append_column("final", pa.array([moved.get(n) for n in names], right.schema.field("cluster").type))
 

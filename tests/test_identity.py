@@ -200,6 +200,17 @@ def test_relaxed_merge(spark):
     assert sorted((r["cluster"], r["final"], r["likely_non_player"]) for r in out.collect()) == [(0, 0, False), (1, 2, False), (2, 2, False)]
 
 
+def test_parameters_decide(spark):
+    """A lower bar leaves more identities; longer tracklets asked for leave fewer."""
+    from matchlake.params import Params
+
+    x, y = game(random.Random(2))
+    boxes, vectors = spark.createDataFrame([(1, *b) for b in x], BOXES), spark.createDataFrame([(1, *v) for v in y], VECTORS)
+    count = lambda **v: identity.consolidated(boxes, vectors, "game", "track", "frame", DIAGONAL, Params().patched({"player_tracking": v})).select("cluster").distinct().count()
+    usual = count()
+    assert count(MERGE_MAX_COST=0.0) > usual > count(MIN_TRACKLET_FRAMES=30)
+
+
 def test_empty(spark):
     boxes, vectors = spark.createDataFrame([], BOXES), spark.createDataFrame([], VECTORS)
     got = identity.consolidated(boxes, vectors, "game", "track", "frame", DIAGONAL)
