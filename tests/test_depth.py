@@ -124,3 +124,26 @@ def test_settled_removes_what_was_saved_on_the_way(spark):
 
     assert len(paths) == 2 and not any(Path(p.replace("//", "/")).exists() for p in paths)
     assert tables.saved(spark.range(2)).count() == 2
+
+
+@pytest.mark.parametrize("rows", [3, 8192])
+def test_gallery_match_equals_all_pairs(spark, rows):
+    """Squares of three vectors or one square: nearest names with a margin, ties, missing vectors and a game without gallery."""
+    rng = np.random.default_rng(rows)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    gallery = [(g, f"n{k % 4}", unit(rng.normal(size=3))) for g in (1, 2) for k in range(14)] + [(1, "tie", [1.0, 0.0, 0.0]), (1, "also", [1.0, 0.0, 0.0]), (2, "none", None)]
+    queries = [(g, k, unit(rng.normal(size=3))) for g in (1, 2, 3) for k in range(20)] + [(1, 99, [1.0, 0.0, 0.0]), (2, 98, None)]
+    q, g = spark.createDataFrame(queries, "game int, id int, v array<double>"), spark.createDataFrame(gallery, "game int, name string, v array<double>")
+    for accept, margin in ((0.3, 0.08), (0.9, 0.0)):
+        got = {tuple(r)[:3]: r["distance"] for r in vectors.gallery_match(q, g, "id", "v", "name", ["game"], accept, margin, rows=rows).collect()}
+        want = {}
+        for game, k, v in queries:
+            best = {}
+            for h, n, w in gallery:
+                if h == game and v is not None and w is not None:
+                    best[n] = min(best.get(n, 9.0), 1 - float(np.dot(v, w)))
+            near = sorted((d, n) for n, d in best.items())
+            if near and near[0][0] <= accept and (len(near) < 2 or near[1][0] - near[0][0] >= margin):
+                want[game, k, near[0][1]] = near[0][0]
+        assert got.keys() == want.keys() and len(want) > 5 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert vectors.gallery_match(q, g.where("game > 9"), "id", "v", "name", ["game"]).collect() == []
