@@ -15,7 +15,9 @@ from matchlake.streaming import folds, sessions
 def rocks(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     folds.use_rocksdb(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     if before:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     else:
