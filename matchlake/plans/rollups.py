@@ -166,10 +166,19 @@ def appearance_distances_all(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def identity_cliques(spark: SparkSession, d: str) -> DataFrame:
     """Groups of vectors of a label that are pairwise similar."""
-    e = table(spark, d, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    edges = a.join(b, "label").where("a < b").withColumn("s", scalars.dot(F.col("x"), F.col("y"))).where("s > 0.9")
-    return graph.clique_groups(edges, "label", "a", "b", "s")
+    return graph.clique_groups(vectors.similar_pairs(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.9), "label", "a", "b", "s")
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 5) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) > 0.2""")
+def look_alikes(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of a label that are a little alike."""
+    return vectors.similar_pairs(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.2).withColumn("s", F.round("s", 5))
+
+
+@query()
+def look_alike_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of vectors of a label that are pairwise a little alike, the most alike joined first."""
+    return graph.clique_groups(vectors.similar_pairs(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.2), "label", "a", "b", "s")
 
 
 @query()

@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from matchlake import catalog
-from matchlake.operators import graph, intervals, members
-from matchlake.plans import flights
+from matchlake.operators import graph, intervals, members, vectors
+from matchlake.plans import flights, rollups
 from matchlake.plans.bindings import touches
 
 DIR = "/root/testdata/sf0.001"
@@ -142,6 +143,55 @@ def test_groups_with_vetoes(spark):
         assert {(r["node"], r["group"]) for r in got.collect()} == cliques(edges, shared, names), trial
 
 
+def vectors_by_label():
+    out = defaultdict(list)
+    for i, label, v in duckdb.sql(f"select vec_id, label, embedding from '{DIR}/embeddings.parquet' order by vec_id").fetchall():
+        out[label].append((i, np.array(v, float)))
+    return out
+
+
+def test_look_alike_groups_query(spark):
+    want = set()
+    for label, some in vectors_by_label().items():
+        edges = [(i, j, x @ y) for k, (i, x) in enumerate(some) for j, y in some[k + 1 :] if x @ y > 0.2]
+        want |= {(label, n, g) for n, g in cliques(edges, set(), {})}
+    got = rollups.look_alike_groups(spark, DIR).collect()
+    assert {(r["label"], r["node"], r["group"]) for r in got} == want and len(want) > 20
+    assert all(0.2 <= r["confidence"] < 0.6 for r in got)
+
+
+def test_identity_cliques_of_copies(spark, tmp_path):
+    """Three near copies and a pair in one label, a copy in another one; nulls and repeated rows pair with nothing new."""
+    rng = np.random.default_rng(3)
+    x, y = (v / np.linalg.norm(v) for v in rng.normal(size=(2, 16)))
+    near = lambda v: [float(c) for c in v + rng.normal(size=16) * 0.01]
+    rows = [(1, 1, near(x)), (2, 1, near(x)), (3, 1, near(x)), (4, 1, near(y)), (9, 1, near(y)), (7, 2, near(x)), (None, 1, near(x)), (8, 1, None), (10, 1, [None] * 16)]
+    spark.createDataFrame([*rows, rows[0]], "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["label"], r["node"], r["group"]) for r in rollups.identity_cliques(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (1, 9, 4)}
+
+
+def test_similar_pairs_in_squares(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k % 7 > 1, k, [float(c) for c in rng.normal(size=3)]) for k in range(150)]
+    df = spark.createDataFrame(rows, "hot boolean, id long, v array<double>")
+    want = {(h, i, j) for h, i, u in rows for g, j, v in rows if h == g and i < j and np.dot(u, v) > 1.5}
+    for size in (4096, 20):
+        got = [(r["hot"], r["a"], r["b"]) for r in vectors.similar_pairs(df, ["hot"], "id", "v", 1.5, size).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert vectors.similar_pairs(df.where("false"), ["hot"], "id", "v", 1.5).collect() == []
+
+
+def test_cliques_of_chains_need_no_game_in_one_task(spark):
+    """Many small components of one game, loops, repeated, null and numberless edges."""
+    edges = [(1, 10 * k + u, 10 * k + v, 0.5 + 0.01 * u) for k in range(50) for u, v in ((0, 1), (1, 2), (0, 2), (2, 3))]
+    odd = [(1, 5, 5, 0.9), (1, 0, 1, 0.1), (1, None, 7, 0.9), (1, 0, 9, None), (1, 0, 9, float("nan")), (None, 1, 2, 0.9)]
+    made = graph.clique_groups(spark.createDataFrame(edges + odd, "game long, a long, b long, s double"), "game", "a", "b", "s")
+    got = {(r["node"], r["group"]) for r in made.collect()}
+    assert got == cliques([e[1:] for e in edges], set(), {})
+    assert graph.clique_groups(spark.createDataFrame([], "game long, a long, b long, s double"), "game", "a", "b", "s").collect() == []
+
+
 def test_review_groups_query(spark):
     rows = flights.review_groups(spark, DIR).collect()
     size = Counter((r["game"], r["group"]) for r in rows)
