@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from matchlake.llm import quality, toxicity
+from matchlake.llm.kernels import flat
 
 
 def maximal(score):
@@ -107,3 +112,88 @@ def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
         rows = query(spark, str(tmp_path)).collect()
         assert len(rows) == 62 and all(r["held_out"] is False for r in rows if r["doc_id"] is None)
         assert all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in rows) and 0 < sum(r["held_out"] for r in rows) < 60
+
+
+def by_hand(rows):
+    """Scores by counts, ratios, dual coordinate descent and a logistic curve over dicts, of (id, text, label or None)."""
+    feats = {i: [int(f) for f in quality.features(*flat(pa.array([t])))[0]] for i, t, _ in rows}
+    marked = sorted((i, y) for i, _, y in rows if y is not None)
+    counts = [Counter(f for i, v in marked if v == k for f in feats[i]) for k in (0, 1)]
+    total = [quality.SMOOTH * quality.BUCKETS + sum(c.values()) for c in counts]
+    ratio = lambda f, own=(0, 0): math.log((quality.SMOOTH + counts[1][f] - own[1]) / total[1]) - math.log((quality.SMOOTH + counts[0][f] - own[0]) / total[0])
+
+    def scaled(values):
+        length = max(1e-12, math.sqrt(sum(v * v for v in values.values())))
+        return {f: v / length for f, v in values.items()}
+
+    xs = [scaled({f: ratio(f, (1 - y, y)) for f in feats[i]}) for i, y in marked]
+    ys = [2 * y - 1 for _, y in marked]
+    fitting, test = [k for k in range(len(xs)) if k % 5], [k for k in range(len(xs)) if k % 5 == 0]
+    w, bias, alpha, rng = Counter(), 0.0, [0.0] * len(fitting), np.random.default_rng(1)
+    for _ in range(quality.EPOCHS):
+        worst = 0.0
+        for n in rng.permutation(len(fitting)):
+            x, y = xs[fitting[n]], ys[fitting[n]]
+            g = y * (sum(w[f] * v for f, v in x.items()) + bias) - 1
+            new = min(max(alpha[n] - g / (sum(v * v for v in x.values()) + 1), 0.0), quality.COST)
+            step, worst = (new - alpha[n]) * y, max(worst, abs(new - alpha[n]))
+            alpha[n] = new
+            bias += step
+            for f, v in x.items():
+                w[f] += step * v
+        if worst < 1e-3:
+            break
+    z = [sum(w[f] * v for f, v in xs[k].items()) + bias for k in test]
+    slope, offset = quality.logistic(np.array(z), np.array([ys[k] > 0 for k in test], float))
+    margin = {i: sum(w[f] * v for f, v in scaled({f: ratio(f) for f in feats[i]}).items()) + bias for i in feats}
+    return {i: 1 / (1 + math.exp(-slope * m - offset)) for i, m in margin.items()}
+
+
+def test_quality_equals_a_plain_version(spark):
+    """Long, empty and repeated texts among them."""
+    rows = [(i, t, q if i % 7 != 3 and i % 4 != 2 else None) for i, t, _, q in corpus(160, 5)]
+    rows += [(900, "", None), (901, rows[0][1], rows[0][2]), (902, rows[0][1], None), (903, "Some words. " * 30_000, None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, quality int")
+    got = {r[0]: r[1] for r in quality.score(docs, quality.fit(docs, labels, F.lit(True)), ["doc_id"]).collect()}
+    want = by_hand(rows)
+    assert got.keys() == want.keys() and max(abs(got[i] - v) for i, v in want.items()) < 1e-6
+    assert got[902] == got[0] and min(got.values()) < 0.1 < 0.9 < max(got.values())
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    """Counts, left-out segments by definition, calibration and scores, of repeated, empty and one-word texts too."""
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(140):
+        words = [rng.choice(pool) for _ in range(rng.randint(1, 22))]
+        if i % 4 == 0:
+            words[rng.randrange(len(words)) :] = [rng.choice(["idiot", "scum"]) for _ in range(3)]
+        rows.append((i, " ".join(words), int(i % 4 == 0) if i % 5 else None))
+    rows += [(900, "", 0), (901, rows[4][1], None), (902, rows[4][1], rows[4][2]), (903, "scum", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")
+    got = {r[0]: r[1] for r in toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True)), ["doc_id"]).collect()}
+    parts = {i: [x.tolist() for x in toxicity.tokens(*flat(pa.array([t])))[:2]] for i, t, _ in rows}
+    tables = [Counter(x for i, _, y in rows if y == k for side in parts[i] for x in side) for k in (0, 1)]
+    sums = [max(1, sum(len(parts[i][0]) for i, _, y in rows if y == k)) for k in (0, 1)]
+    share = sums[1] / (sums[0] + sums[1])
+
+    def found(i, leave=None):
+        own = [Counter(x for side in parts[i] for x in side) if leave == k else Counter() for k in (0, 1)]
+        count = lambda k, x: tables[k][x] - own[k][x]
+        odds = []
+        for token, start in zip(*parts[i], strict=True):
+            p = (count(1, start) + toxicity.BETA * share) / (count(1, start) + count(0, start) + toxicity.BETA)
+            odds.append(math.log((count(1, token) + toxicity.ALPHA * p) / sums[1]) - math.log((count(0, token) + toxicity.ALPHA * (1 - p)) / sums[0]) - toxicity.DRIFT)
+        return [s for _, _, s in maximal(np.array(odds))]
+
+    seen = pd.DataFrame([(y, len(parts[i][0]), found(i, y)) for i, _, y in rows if y is not None], columns=["label", "n", "sums"])
+    law = toxicity.Model(np.ones(toxicity.TOKENS + toxicity.STARTS), np.ones(toxicity.TOKENS + toxicity.STARTS), (1, 1))
+    toxicity.calibrate(law, seen)
+    for i, value in got.items():
+        bar = law.location + math.log(max(1, len(parts[i][0]))) / law.decay
+        evidence = math.log1p(sum((s - bar) * law.decay for s in found(i) if s > bar))
+        assert abs(value - 1 / (1 + math.exp(-law.slope * evidence - law.offset))) < 1e-6, i
+    assert got[901] == got[902] == got[4] and min(got.values()) < 0.4 < 0.6 < max(got.values())

@@ -89,3 +89,9 @@ def test_equal_chunks_share_a_map():
     key, leave, _ = t.maps(data, at, np.full(100, 256), at == at[-1])
     assert len(np.unique(key & 0xFFFFFFFF)) < 20 and set(leave) <= set(key & 0xFFFFFFFF)
     assert t.composed(data, none, none + len(data)).tolist() == t.run(data, none, none + len(data), none)[1].tolist()
+
+
+def test_counts_of_no_documents(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
+    got = token_counts.token_counts(empty, JSON)
+    assert got.collect() == [] and got.columns[:3] == ["doc_id", "n_bytes", "n_tokens"]
