@@ -155,9 +155,9 @@ def plausible_speed(speed: Column, most: float = TOP_SPEED) -> Column:
     return F.when(speed <= most, speed)
 
 
-def sure_action(confidence: Column, overlap: Column) -> Column:
+def sure_action(confidence: Column, overlap: Column, least: float = DETECTED) -> Column:
     """A detected action that is sure enough and meets a player's box."""
-    return F.coalesce((confidence >= DETECTED) & (overlap >= OVERLAP), F.lit(False))
+    return F.coalesce((confidence >= least) & (overlap >= OVERLAP), F.lit(False))
 
 
 def effective_range(start: Column, end: Column, duration: Column) -> tuple[Column, Column]:

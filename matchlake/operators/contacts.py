@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.scalars import TOP_SPEED, distance
+from matchlake.functions.scalars import distance
 from matchlake.operators import asof, intervals, stats
+from matchlake.params import Params
 
 # m/s^2; points of a flight; seconds beyond the points and between two tries; metres and share of the diagonal that flights may miss each other by.
 GRAVITY, LEAST, MARGIN, STEP, MISS, MISS_SHARE = 9.81, 4, 0.05, 1 / 240, 1.0, 0.05
-# Metres, share of the diagonal and frames that a player may be away; seconds of flight looked at.
-REACH, REACH_SHARE, NEAR, LOOK = 2.5, 0.15, 5, 3.0
+# Share of the diagonal and frames that a player may be away; seconds of flight looked at.
+REACH_SHARE, NEAR, LOOK = 0.15, 5, 3.0
 # Points and seconds of an arc, share of the rise at which it is cut, mean error as a share of the diagonal.
 ARC_POINTS, ARC_SECONDS, RISE, ERROR = 5, 0.15, 0.5, 0.01
 
@@ -31,7 +32,7 @@ def flight_bounds(hits: DataFrame, keys: list[str], frame: str, rally: str, star
     return rows.drop("_p_f", "_p_r", "_n_f", "_n_r")
 
 
-def refined(hits: DataFrame, points: DataFrame, players: DataFrame, keys: list[str], fps: float, diagonal: float, near: int = NEAR, look: float = LOOK) -> DataFrame:
+def refined(hits: DataFrame, points: DataFrame, players: DataFrame, keys: list[str], fps: float, diagonal: float, near: int = NEAR, look: float = LOOK, params: Params | None = None) -> DataFrame:
     """hits with contacts moved to where the flights before and after meet: adds refined, at_px, at_py, at_cx, at_cy, at_height, at_time, speed_in, speed_out and real_units.
 
     hits: keys, frame, low, high (see flight_bounds), px, py.  points: keys,
@@ -43,7 +44,10 @@ def refined(hits: DataFrame, points: DataFrame, players: DataFrame, keys: list[s
     the grid is one of the two beside its minimum and no grid is built.  Hits
     without enough points, whose flights miss each other, with no player near
     or with an impossible speed stay as they are, with null in the new columns.
+    params: the reach of a player and the largest speed.
     """
+    p = params or Params()
+    reach, top_speed = p.get("action_detection", "MAX_PLAYER_ATTRIBUTION_DISTANCE_M"), p.get("ball_detection", "MAX_PLAUSIBLE_REPORTED_SPEED_MS")
     h = hits.select(*keys, F.col("frame").alias("_hit"), "low", "high").distinct()
     p = points.select(*keys, F.col("frame").alias("_f"), "px", "py", "cx", "cy", "height")
     span = max(1, int(look * fps))
@@ -88,12 +92,12 @@ def refined(hits: DataFrame, points: DataFrame, players: DataFrame, keys: list[s
 
     made = ["at_px", "at_py", "at_cx", "at_cy", "at_height", "at_time", "speed_in", "speed_out", "real_units"]
     fit = fit.select(*keys, F.col("_hit").alias("frame"), F.inline(F.array(_let(given, lambda g: _let(best(g), lambda t: contact(g, t))))))
-    fit = fit.where((F.col("miss") <= F.when(F.col("real_units"), MISS).otherwise(MISS_SHARE * diagonal)) & (~F.col("real_units") | ((F.col("speed_in") <= TOP_SPEED) & (F.col("speed_out") <= TOP_SPEED))))
+    fit = fit.where((F.col("miss") <= F.when(F.col("real_units"), MISS).otherwise(MISS_SHARE * diagonal)) & (~F.col("real_units") | ((F.col("speed_in") <= top_speed) & (F.col("speed_out") <= top_speed))))
     frames = players.select(*keys, F.col("frame").alias("_f")).distinct()
     seen = asof.nearest(fit, frames, keys, "frame", "_f", [], within=near, prefix="_p")
     r = players.select(*keys, F.col("frame").alias("_ptime"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("px").alias("_px"), F.col("py").alias("_py"))
     metres = distance(F.col("at_cx"), F.col("at_cy"), F.col("_x"), F.col("_y"))
-    close = F.when(metres.isNotNull(), metres <= REACH).otherwise(distance(F.col("at_px"), F.col("at_py"), F.col("_px"), F.col("_py")) / diagonal <= REACH_SHARE)
+    close = F.when(metres.isNotNull(), metres <= reach).otherwise(distance(F.col("at_px"), F.col("at_py"), F.col("_px"), F.col("_py")) / diagonal <= REACH_SHARE)
     good = seen.join(r, [*keys, "_ptime"]).where(close).select(*keys, "frame", *made).distinct()
     return hits.join(good.withColumn("refined", F.lit(True)), [*keys, "frame"], "left").withColumn("refined", F.coalesce("refined", F.lit(False)))
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchlake.params import Params
+
 
 def over(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -44,6 +46,26 @@ def majority(df: DataFrame, keys: list[str], order: list, label: str, labels: li
     return df.withColumn("_seen", seen).withColumn(name, ranked[0]["label"]).drop("_seen")
 
 
+def live_rallies(chunks: DataFrame, keys: list[str], chunk: str, label: str, labels: list[str], live: list[str], fps: float, stride: int, frames: str, params: Params | None = None) -> DataFrame:
+    """(keys, rally, start_frame, end_frame, duration): rallies of a film whose chunks of `stride` frames have labels.
+
+    Chunks are numbered from 0.  Labels are smoothed by the majority of a
+    window; chunks of the labels `live` make a rally while no more than a gap
+    lies between two of them, and short rallies are left out, the others
+    numbered from 0.  Window, gap and shortest rally are parameters of
+    game_status, in seconds, and count one chunk at least.  frames: the column
+    with the film's number of frames, at which its last chunk ends.
+    """
+    p = params or Params()
+    in_chunks = lambda name: max(1, round(p.get("game_status", name) * fps / stride))
+    smooth = majority(chunks, keys, [chunk], label, labels, p.get("game_status", "SMOOTHING_WINDOW_CHUNKS") // 2, "_label").where(F.col("_label").isin(*live))
+    runs = sessions(smooth, keys, [chunk], F.col(chunk), in_chunks("MAX_GAP_SECONDS_WITHIN_RALLY"), "_run").groupBy(*keys, "_run").agg(F.min(chunk).alias("_a"), F.max(chunk).alias("_z"), F.max(frames).alias("_frames"))
+    long = runs.where(F.col("_z") - F.col("_a") + 1 >= in_chunks("MIN_RALLY_DURATION_SECONDS"))
+    begin, end = F.col("_a") * stride, F.least((F.col("_z") + 1) * stride, F.col("_frames")) - 1
+    number = (F.row_number().over(over(keys, ["_a"])) - 1).cast("long")
+    return long.select(*keys, number.alias("rally"), begin.alias("start_frame"), end.alias("end_frame"), ((end - begin) / fps).alias("duration"))
+
+
 def separated(df: DataFrame, keys: list[str], time: str, strength: str, gap: float) -> DataFrame:
     """Greedy de-duplication: (keys, time, strength) of the kept rows.
 

@@ -270,7 +270,7 @@ def effective_ranges(spark: SparkSession, d: str) -> DataFrame:
 def confidence_gates(spark: SparkSession, d: str) -> DataFrame:
     """How many rows pass the gates of the ball, of detected actions and of read scores."""
     c, o = F.col("l_discount") * 10, F.col("l_tax") * 3
-    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("clip")).agg(F.count_if(c >= Params().get("ball_detection", "MIN_SELECT_CONFIDENCE")).alias("selected"), F.count_if(scalars.sure_action(c, o)).alias("detected"), F.count_if(F.col("l_quantity") * 2 >= 40).alias("read"))
+    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("clip")).agg(F.count_if(c >= Params().get("ball_detection", "MIN_SELECT_CONFIDENCE")).alias("selected"), F.count_if(scalars.sure_action(c, o, Params().get("action_detection", "ACTION_DETECTOR_CONFIDENCE_THRESHOLD"))).alias("detected"), F.count_if(F.col("l_quantity") * 2 >= 40).alias("read"))
 
 
 @query(f"""WITH {_WON}, s AS (SELECT game, set_index, min(rally) AS first FROM rallies GROUP BY ALL) SELECT s.game, s.set_index, count(w.rally) AS rallies, count(*) FILTER (winner = 'A') AS won_a, count(*) FILTER (winner = 'B') AS won_b FROM s LEFT JOIN won w ON s.game = w.game AND s.set_index = w.set_index GROUP BY ALL""")

@@ -169,6 +169,24 @@ def smoothed_types(spark: SparkSession, d: str) -> DataFrame:
     return out.select("game", "touch_id", "smoothed")
 
 
+@query(f"""WITH {TOUCHES}, c AS (SELECT game, row_number() OVER (PARTITION BY game ORDER BY frame, touch_id) - 1 AS chunk, CASE WHEN action_type = 'serve' THEN 'service' WHEN action_type IN ('set', 'dig') THEN 'play' ELSE 'no-play' END AS label FROM touches),
+w AS (SELECT game, chunk, list(label) OVER (PARTITION BY game ORDER BY chunk ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w, count(*) OVER (PARTITION BY game) * 8 - 3 AS frames FROM c),
+u AS (SELECT game, chunk, frames, v, count(*) AS n, min(i) AS first FROM (SELECT game, chunk, frames, unnest(w) AS v, unnest(range(len(w))) AS i FROM w) GROUP BY ALL),
+s AS (SELECT game, chunk, frames, arg_min(v, row(-n, first)) AS label FROM u GROUP BY game, chunk, frames),
+l AS (SELECT *, CASE WHEN chunk - lag(chunk) OVER (PARTITION BY game ORDER BY chunk) > 3 THEN 1 ELSE 0 END AS new FROM s WHERE label <> 'no-play'),
+r AS (SELECT *, sum(new) OVER (PARTITION BY game ORDER BY chunk ROWS UNBOUNDED PRECEDING) AS k FROM l),
+g AS (SELECT game, k, min(chunk) AS a, least((max(chunk) + 1) * 8, max(frames)) - 1 AS e FROM r GROUP BY game, k HAVING max(chunk) - min(chunk) + 1 >= 4)
+SELECT game, row_number() OVER (PARTITION BY game ORDER BY a) - 1 AS rally, a * 8 AS start_frame, e AS end_frame, round((e - a * 8) / 24.0, 6) AS duration FROM g""")
+def status_rallies(spark: SparkSession, d: str) -> DataFrame:
+    """Rallies of games whose touches stand for chunks of a film: labels smoothed, gaps bridged, short ones left out."""
+    t = touches(spark, d)
+    w = Window.partitionBy("game")
+    label = F.when(F.col("action_type") == "serve", "service").when(F.col("action_type").isin("set", "dig"), "play").otherwise("no-play")
+    chunks = t.select("game", (F.row_number().over(w.orderBy("frame", "touch_id")) - 1).cast("long").alias("chunk"), label.alias("label"), (F.count("*").over(w) * 8 - 3).alias("frames"))
+    out = ordered.live_rallies(chunks, ["game"], "chunk", "label", ["no-play", "play", "service"], ["play", "service"], 24.0, 8, "frames")
+    return out.withColumn("duration", r6(F.col("duration"), "duration"))
+
+
 @query(f"""WITH {TOUCHES}, m AS (SELECT *, CASE WHEN lag(action_type) OVER w = action_type THEN 0 ELSE 1 END AS s FROM touches WINDOW w AS (PARTITION BY game ORDER BY frame, touch_id)),
 i AS (SELECT *, sum(s) OVER (PARTITION BY game ORDER BY frame, touch_id ROWS UNBOUNDED PRECEDING) - 1 AS island FROM m)
 SELECT game, CAST(island AS BIGINT) AS island, min(action_type) AS action_type, count(*) AS n, min(frame) AS start, max(frame) AS "end" FROM i GROUP BY game, island""")

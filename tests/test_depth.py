@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchlake.operators import detection, ordered, ranks, tables, vectors
+from matchlake.operators import contacts, detection, ordered, ranks, tables, vectors
+from matchlake.params import Params
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -147,3 +148,50 @@ def test_gallery_match_equals_all_pairs(spark, rows):
                 want[game, k, near[0][1]] = near[0][0]
         assert got.keys() == want.keys() and len(want) > 5 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert vectors.gallery_match(q, g.where("game > 9"), "id", "v", "name", ["game"]).collect() == []
+
+
+def rallies_by_loop(labels, live, window, gap, least, stride, frames):
+    """Rallies of a list of labels, chunk by chunk."""
+    smooth = []
+    for k in range(len(labels)):
+        some = labels[max(0, k - window // 2) : k + window // 2 + 1]
+        smooth.append(max(some, key=lambda x: (some.count(x), -some.index(x))))
+    found = []
+    for k in (k for k, x in enumerate(smooth) if x in live):
+        if found and k - found[-1][1] <= gap:
+            found[-1][1] = k
+        else:
+            found.append([k, k])
+    kept = [(a, z) for a, z in found if z - a + 1 >= least]
+    return [(n, a * stride, min((z + 1) * stride, frames) - 1) for n, (a, z) in enumerate(kept)]
+
+
+def test_status_parameters_shape_rallies(spark):
+    rng = random.Random(6)
+    films = {g: [x for _ in range(40) for x in [rng.choice(["no", "no", "play", "serve"])] * rng.randint(1, 6)] for g in range(6)}
+    rows = [(g, k, x, 8 * len(xs) - g) for g, xs in films.items() for k, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "game long, chunk long, label string, frames long")
+    seen = []
+    for changes, window, gap, least in (({}, 5, 3, 4), ({"SMOOTHING_WINDOW_CHUNKS": 1}, 1, 3, 4), ({"MAX_GAP_SECONDS_WITHIN_RALLY": 0.2, "MIN_RALLY_DURATION_SECONDS": 3}, 5, 1, 9)):
+        out = ordered.live_rallies(df, ["game"], "chunk", "label", ["no", "play", "serve"], ["play", "serve"], 24.0, 8, "frames", Params().patched({"game_status": changes}))
+        got = sorted((r["game"], r["rally"], r["start_frame"], r["end_frame"]) for r in out.collect())
+        assert got == sorted((g, *r) for g, xs in films.items() for r in rallies_by_loop(xs, ("play", "serve"), window, gap, least, 8, 8 * len(xs) - g))
+        seen.append(got)
+    assert len({len(s) for s in seen}) == 3 and ordered.live_rallies(df.where("false"), ["game"], "chunk", "label", ["no"], ["play"], 24.0, 8, "frames").collect() == []
+
+
+def test_contact_parameters_gate_contacts(spark):
+    """One contact of a ball at 10 m/s, 2 m from the nearest player: a smaller reach or top speed leaves it as it is."""
+    points = [(1, 100 + k, 0.0, 0.0, 4.0 + (0.4 * k if k <= 0 else -0.4 * k), 4.0, None) for k in range(-6, 7)]
+    pts = spark.createDataFrame(points, "game long, frame long, px double, py double, cx double, cy double, height double")
+    hits = spark.createDataFrame([(1, 100, 94, 106, 0.0, 0.0)], "game long, frame long, low long, high long, px double, py double")
+    players = spark.createDataFrame([(1, 100, 4.0, 6.0, 0.0, 0.0)], "game long, frame long, x double, y double, px double, py double")
+
+    def moved(stage=None, **changes):
+        p = Params().patched({stage: changes} if stage else {})
+        return contacts.refined(hits, pts, players, ["game"], 25.0, 1000.0, params=p).collect()[0]["refined"]
+
+    assert moved() and not moved("action_detection", MAX_PLAYER_ATTRIBUTION_DISTANCE_M=1.5) and moved("ball_detection", MAX_PLAUSIBLE_REPORTED_SPEED_MS=10.5)
+    slow = pts.withColumn("cx", F.col("cx") * 3)
+    assert contacts.refined(hits, slow, players.withColumn("x", F.col("x") * 3), ["game"], 25.0, 1000.0).collect()[0]["refined"]
+    assert not contacts.refined(hits, slow, players.withColumn("x", F.col("x") * 3), ["game"], 25.0, 1000.0, params=Params().patched({"ball_detection": {"MAX_PLAUSIBLE_REPORTED_SPEED_MS": 20}})).collect()[0]["refined"]
