@@ -5,8 +5,8 @@
    one more group.  One page of each group represents it.
 2. Every page is aligned with its group's representative by simple tree
    matching: the largest mapping of nodes that keeps tags, parents and the order
-   of children; trees too large for that are aligned level by level down to
-   subtrees that are not.  Texts are counted by path over all pages.  A text
+   of children, of several that which pairs later children first; trees of any
+   size and depth alike.  Texts are counted by path over all pages.  A text
    that all pages with its path have there is template, others fill slots.
 3. The wrapper of a group is the deepest container that holds nearly all of the
    varying text, and the template texts.
@@ -32,12 +32,14 @@ repeated rows are alike; other columns are not read.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html as entities
 import json
+import math
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +51,8 @@ from matchlake.llm.url_filter import host_of
 SHARE = 0.8
 #: So many different pages settle a template text by themselves.
 ENOUGH = 4
-#: Trees are matched whole up to this product of their sizes and this depth, larger ones subtree by subtree.
-WHOLE, DEEPEST = 10_000, 150
+#: Numbers that a matching keeps, of subtrees and of the rows of one table; what goes beyond is computed again.
+KEPT, TABLE = 8_000_000, 2_000_000
 #: Layouts that may be broadcast with their groups' representatives; pages of a share where more are dealt out; references that a task keeps.
 SMALL, PART, KNOWN = 5_000, 4_096, 2_000
 
@@ -172,18 +174,13 @@ def parse(page: str) -> Node:
 class Outline:
     """A page's elements outside inline ones and outside the regions that are out, in page order, and its blocks (element, text)."""
 
-    __slots__ = ("above", "names", "blocks", "nodes", "sizes", "depths", "inside")
+    __slots__ = ("above", "names", "blocks", "tags", "inside", "shapes")
 
     def __init__(self, above: list[int], names: list[str], blocks: list[tuple[int, str]]):
-        self.above, self.names, self.blocks = above, names, blocks
-        self.nodes = [Node(n.split(".")[0], n, False, False, None) for n in names]
-        self.sizes, self.depths, self.inside = [1] * len(names), [1] * len(names), [False] * len(names)
+        self.above, self.names, self.blocks, self.shapes = above, names, blocks, None
+        self.tags, self.inside = [n.split(".")[0] for n in names], [False] * len(names)
         for k in range(1, len(names)):
-            self.nodes[above[k]].children.append(self.nodes[k])
-            self.inside[k] = self.inside[above[k]] or self.nodes[k].tag == "article"
-        for k in range(len(names) - 1, 0, -1):
-            self.sizes[above[k]] += self.sizes[k]
-            self.depths[above[k]] = max(self.depths[above[k]], self.depths[k] + 1)
+            self.inside[k] = self.inside[above[k]] or self.tags[k] == "article"
 
 
 def blocks(root: Node) -> tuple[list[int], list[str], list[tuple[int, str]]]:
@@ -243,90 +240,223 @@ def layout(above: list[int], names: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b(b"".join(sorted(found)), digest_size=8).digest(), "big", signed=True)
 
 
-def matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The node pairs of a largest simple tree matching of a and b (empty if their tags differ)."""
-    memo: dict[tuple[int, int], int] = {}
-
-    def size(x: Node, y: Node) -> int:
-        if x.tag != y.tag:
-            return 0
-        if not x.children or not y.children:
-            return 1
-        key = (id(x), id(y))
-        if key not in memo:
-            memo[key] = 1 + table(x, y)[-1][-1]
-        return memo[key]
-
-    def table(x: Node, y: Node) -> list[list[int]]:
-        xs, ys = [c for c in x.children if type(c) is not str], [c for c in y.children if type(c) is not str]
-        rows = [[0] * (len(ys) + 1)]
-        for c in xs:
-            row, above = [0], rows[-1]
-            for j, d in enumerate(ys):
-                row.append(max(above[j + 1], row[j], above[j] + size(c, d)))
-            rows.append(row)
-        return rows
-
-    pairs = []
-    todo = [(a, b)] if a.tag == b.tag else []
-    while todo:
-        x, y = todo.pop()
-        pairs.append((x, y))
-        xs, ys = [c for c in x.children if type(c) is not str], [c for c in y.children if type(c) is not str]
-        rows = table(x, y)
-        i, j = len(xs), len(ys)
-        while i and j:
-            s = size(xs[i - 1], ys[j - 1])
-            if s and rows[i][j] == rows[i - 1][j - 1] + s:
-                todo.append((xs[i - 1], ys[j - 1]))
+class Level:
+    """The shapes at one depth of a tree and, in one row, a gap and the children of each as places in the next level (a gap: -1; the first gap is not listed)."""
+
+    def __init__(self, tree: Shapes, nodes: list[int], place: dict[int, int], below: dict[int, int]):
+        row: list[int] = []
+        ends, self.place = [], place
+        for k in nodes:
+            row += [-1, *(below[tree.shapes[c]] for c in tree.kids[k])]
+            ends.append(len(row) - 1)
+        self.tags, self.row, self.ends = np.array([tree.words[tree.tags[k]] for k in nodes]), np.array(row[1:], np.int64), np.array(ends)
+        # Each shape's part of a row starts higher than any number in the part before, so that running maxima end there.
+        apart = max(tree.sizes[k] for k in nodes) + 1
+        self.start = np.arange(len(nodes), dtype=np.int32 if len(nodes) * apart < 2**31 else np.int64) * apart
+        self.base = self.start[np.cumsum(np.array(row) < 0) - 1]
+        self.present = set(self.tags.tolist())
+
+
+class Shapes:
+    """A tree with its subtrees numbered by shape: those of the same tags at the same places are one, also if they are in `like`, whose levels the tree is matched with."""
+
+    def __init__(self, above: list[int], tags: list[str], like: Shapes | None = None):
+        self.tags, self.kids = tags, [[] for _ in tags]
+        for k in range(1, len(tags)):
+            self.kids[above[k]].append(k)
+        self.shapes, self.sizes = [0] * len(tags), [1] * len(tags)
+        self.known: dict[tuple, int] = {}
+        old = like.known if like else {}
+        for k in range(len(tags) - 1, -1, -1):
+            key = (tags[k], *(self.shapes[c] for c in self.kids[k]))
+            found = old.get(key)
+            self.shapes[k] = self.known.setdefault(key, len(old) + len(self.known)) if found is None else found
+            if k:
+                self.sizes[above[k]] += self.sizes[k]
+        self.like, self.made, self.words = like, [], {}
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
+        self.room = KEPT
+
+    def levels(self) -> list[Level]:
+        if not self.made:
+            self.words = {t: n for n, t in enumerate(dict.fromkeys(self.tags))}
+            nodes, place = [0], {self.shapes[0]: 0}
+            while nodes:
+                below: dict[int, int] = {}
+                for k in nodes:
+                    for c in self.kids[k]:
+                        below.setdefault(self.shapes[c], c)
+                following, below = list(below.values()), {shape: n for n, shape in enumerate(below)}
+                self.made.append(Level(self, nodes, place, below))
+                nodes, place = following, below
+        return self.made
+
+    def against(self, k: int, depth: int) -> np.ndarray | None:
+        """Sizes of the largest matchings of the subtree at k with each shape at that depth of the other tree, and 0 for a gap; None: all are 0."""
+        levels, words = self.like.levels(), self.like.words
+        open_, done = [], self._known(k, depth, levels, words)
+        if done is not False:
+            return done
+        open_.append((k, depth, iter(self.kids[k]), levels[depth].base.copy()))
+        while open_:
+            k, depth, rest, row = open_[-1]
+            level = levels[depth]
+            if done is not False and done is not None:
+                # The table's next row of all shapes at once: leave the child, leave theirs, or pair both.
+                paired = row[:-1] + done.take(level.row)
+                np.maximum.accumulate(np.maximum(paired, row[1:], out=paired), out=row[1:])
+            c = next(rest, None)
+            if c is not None:
+                done = self._known(c, depth + 1, levels, words)
+                if done is False:
+                    open_.append((c, depth + 1, iter(self.kids[c]), levels[depth + 1].base.copy()))
+            else:
+                open_.pop()
+                done = np.append(np.where(level.tags == words[self.tags[k]], row[level.ends] - level.start + 1, 0), 0).astype(np.int32)
+                self._keep(k, depth, done)
+        return done
+
+    def _known(self, k: int, depth: int, levels: list[Level], words: dict[str, int]) -> np.ndarray | None | bool:
+        """What is known of `against` without a look at children; False: nothing."""
+        if depth >= len(levels) or words.get(self.tags[k]) not in levels[depth].present:
+            return None
+        found = self.kept.get((depth, self.shapes[k]))
+        if found is None and (not self.kids[k] or depth + 1 == len(levels)):
+            found = np.append(levels[depth].tags == words[self.tags[k]], False).astype(np.int32)
+            self._keep(k, depth, found)
+        return False if found is None else found
+
+    def _keep(self, k: int, depth: int, found: np.ndarray) -> None:
+        if len(found) <= self.room:
+            self.room -= len(found)
+            self.kept[(depth, self.shapes[k])] = found
+
+    def pairs(self, xs: list[int], ys: list[int], depth: int) -> list[tuple[int, int]]:
+        """The pairs of children of two paired nodes, xs and the other tree's ys, both at that depth.
+
+        Equal shapes at both ends belong together, so that the table is only
+        made of what is between.
+        """
+        other, out = self.like, []
+        i, j, low = len(xs), len(ys), 0
+        while i and j and self.shapes[xs[i - 1]] == other.shapes[ys[j - 1]]:
+            i, j = i - 1, j - 1
+            out.append((xs[i], ys[j]))
+        while low < i and low < j and self.shapes[xs[low]] == other.shapes[ys[low]]:
+            low += 1
+        if i == j == low + 1:
+            i = low
+            if self.tags[xs[low]] == other.tags[ys[low]]:
+                j = low
+                out.append((xs[low], ys[low]))
+        elif i > low and j > low:
+            place = other.levels()[depth].place
+            at = np.array([place[other.shapes[y]] for y in ys[low:j]])
+
+            def sizes(n: int) -> np.ndarray:
+                found = self.against(xs[low + n], depth)
+                return np.zeros(len(at), np.int32) if found is None else found.take(at)
+
+            found, i, j = best_in_order(i - low, j - low, sizes)
+            out += [(xs[low + p], ys[low + q]) for p, q in found]
+            i, j = low + i, low + j
+        # One list's rest is equal to the start of the other's rest: a later child may hold all of an equal one.
+        while i != j and i and j:
+            if self._holds(xs[i - 1], ys[j - 1], depth, self.sizes[xs[i - 1]] if i < j else other.sizes[ys[j - 1]]):
                 i, j = i - 1, j - 1
-            elif rows[i][j] == rows[i - 1][j]:
+                out.append((xs[i], ys[j]))
+            elif i < j:
+                j -= 1
+            else:
+                i -= 1
+        return out + list(zip(xs[:i], ys[:j], strict=True)) if i == j else out
+
+    def _holds(self, x: int, y: int, depth: int, size: int) -> bool:
+        other = self.like
+        if self.shapes[x] == other.shapes[y]:
+            return True
+        if self.tags[x] != other.tags[y] or min(self.sizes[x], other.sizes[y]) < size:
+            return False
+        return size == 1 or int(self.against(x, depth)[other.levels()[depth].place[other.shapes[y]]]) == size
+
+    def matched(self) -> list[int]:
+        """For each node its node of the other tree, or -1, by a largest simple tree matching."""
+        to, todo = [-1] * len(self.tags), [(0, 0, 0)] if self.tags[0] == self.like.tags[0] else []
+        while todo:
+            x, y, depth = todo.pop()
+            to[x] = y
+            if self.kids[x] and self.like.kids[y]:
+                todo += [(p, q, depth + 1) for p, q in self.pairs(self.kids[x], self.like.kids[y], depth + 1)]
+        return to
+
+
+def best_in_order(n: int, m: int, sizes: Callable[[int], np.ndarray]) -> tuple[list[tuple[int, int]], int, int]:
+    """Pairs (i, j) of n and m children, both falling, of the largest sum of sizes(i)[j], and how many of both are before the last pair's side ran out.
+
+    The table's rows are kept up to TABLE numbers, else every so many, and those
+    between computed again; rows of small tables are lists.
+    """
+    small = n * m <= 100
+
+    def following(row, found):
+        if small:
+            out = [0]
+            for q, size in enumerate(found):
+                out.append(max(out[q], row[q + 1], row[q] + size))
+            return out
+        out = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + found), out=out[1:])
+        return out
+
+    step = max(TABLE // (m + 1), math.isqrt(n)) + 1
+    last = (n - 1) // step
+    marks = [[0] * (m + 1) if small else np.zeros(m + 1, np.int32)]
+    row = marks[0]
+    for i in range(last * step):
+        row = following(row, sizes(i).tolist() if small else sizes(i))
+        if (i + 1) % step == 0:
+            marks.append(row)
+    pairs, i, j = [], n, m
+    for low in range(last * step, -1, -step):
+        if not j:
+            break
+        rows, found = [marks.pop()], []
+        for p in range(low, i):
+            found.append(sizes(p).tolist() if small else sizes(p))
+            rows.append(following(rows[-1], found[-1]))
+        while i > low and j:
+            size, now, before = found[i - 1 - low][j - 1], rows[i - low][j], rows[i - 1 - low]
+            if size and now == before[j - 1] + size:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif now == before[j]:
                 i -= 1
             else:
                 j -= 1
-    return pairs
-
-
-def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[int, int]]:
-    """Places of equal names in two long lists, both rising: equal ends, then the k-th of a name with the k-th, as many as keep their order."""
-    low, high = 0, min(len(xs), len(ys))
-    while low < high and xs[low].name == ys[low].name:
-        low += 1
-    end = 0
-    while end < high - low and xs[-1 - end].name == ys[-1 - end].name:
-        end += 1
-    places: dict[str, list[int]] = {}
-    for j in range(len(ys) - end - 1, low - 1, -1):
-        places.setdefault(ys[j].name, []).append(j)
-    tails: list[int] = []
-    last: list[tuple[int, int, tuple | None]] = []
-    for i in range(low, len(xs) - end):
-        if places.get(xs[i].name):
-            j = places[xs[i].name].pop()
-            n = bisect.bisect_left(tails, j)
-            tails[n : n + 1] = [j]
-            last[n : n + 1] = [(i, j, last[n - 1] if n else None)]
-    middle, at = [], last[-1] if last else None
-    while at:
-        middle.append(at[:2])
-        at = at[2]
-    return [(i, i) for i in range(low)] + middle[::-1] + [(len(xs) - n, len(ys) - n) for n in range(end, 0, -1)]
+    return pairs, i, j
+
+
+def matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """The node pairs of a largest simple tree matching of a and b (empty if their tags differ)."""
+
+    def flat(root: Node) -> tuple[list[Node], list[int]]:
+        nodes, above = [root], [-1]
+        for k, node in enumerate(nodes):
+            some = [c for c in node.children if type(c) is not str]
+            nodes += some
+            above += [k] * len(some)
+        return nodes, above
+
+    (xs, above_x), (ys, above_y) = flat(a), flat(b)
+    to = Shapes(above_x, [x.tag for x in xs], Shapes(above_y, [y.tag for y in ys])).matched()
+    return [(x, ys[j]) for x, j in zip(xs, to, strict=True) if j >= 0]
 
 
 def aligned(a: Outline, b: Outline) -> list[int]:
-    """For each element of a its element of b, or -1: by simple tree matching, of large trees subtree by subtree."""
-    place_a, place_b = {id(n): k for k, n in enumerate(a.nodes)}, {id(n): k for k, n in enumerate(b.nodes)}
-    to, todo = [-1] * len(a.nodes), [(a.nodes[0], b.nodes[0])]
-    while todo:
-        x, y = todo.pop()
-        i, j = place_a[id(x)], place_b[id(y)]
-        if a.sizes[i] * b.sizes[j] <= WHOLE and a.depths[i] <= DEEPEST:
-            for u, v in matching(x, y):
-                to[place_a[id(u)]] = place_b[id(v)]
-        else:
-            to[i] = j
-            todo += [(x.children[p], y.children[q]) for p, q in _in_order(x.children, y.children)]
-    return to
+    """For each element of a its element of b, or -1, by simple tree matching."""
+    if b.shapes is None:
+        b.shapes = Shapes(b.above, b.tags)
+    return Shapes(a.above, a.tags, b.shapes).matched()
 
 
 class Reference:

@@ -94,6 +94,99 @@ def test_large_trees_are_aligned_in_order():
     assert len(to) == len(b.names) and to == sorted(to)
 
 
+def made_tree(rng, n, tags, deep):
+    """Parents and tags of n elements in page order."""
+    above, path = [-1], [0]
+    for k in range(1, n):
+        while len(path) > 1 and rng.random() > deep:
+            path.pop()
+        above.append(path[-1])
+        path.append(k)
+    return above, ["", *(rng.choice(tags) for _ in range(n - 1))]
+
+
+def changed_tree(rng, above, tags, names):
+    """The tree with some elements left out with all below, added or renamed."""
+    place, out, named = {0: 0}, [-1], [""]
+    for k in range(1, len(above)):
+        if above[k] in place and rng.random() > 0.03:
+            if rng.random() < 0.05:
+                out.append(place[above[k]])
+                named.append(rng.choice(names))
+            place[k] = len(out)
+            out.append(place[above[k]])
+            named.append(tags[k] if rng.random() < 0.97 else rng.choice(names))
+    return out, named
+
+
+def plainly_aligned(a, b):
+    """Simple tree matching by its recursion over all pairs of children; of several largest ones that which pairs later children."""
+    kids = [[[c for c in range(1, len(above)) if above[c] == k] for k in range(len(above))] for above, _ in (a, b)]
+    memo = {}
+
+    def table(x, y):
+        if (x, y) not in memo:
+            rows = [[0] * (len(kids[1][y]) + 1)]
+            for c in kids[0][x]:
+                row = [0]
+                for j, d in enumerate(kids[1][y]):
+                    row.append(max(row[j], rows[-1][j + 1], rows[-1][j] + size(c, d)))
+                rows.append(row)
+            memo[(x, y)] = rows
+        return memo[(x, y)]
+
+    def size(x, y):
+        return 1 + table(x, y)[-1][-1] if a[1][x] == b[1][y] else 0
+
+    to, todo = [-1] * len(a[0]), [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        to[x] = y
+        rows, i, j = table(x, y), len(kids[0][x]), len(kids[1][y])
+        while i and j:
+            c, d = kids[0][x][i - 1], kids[1][y][j - 1]
+            if size(c, d) and rows[i][j] == rows[i - 1][j - 1] + size(c, d):
+                todo.append((c, d))
+                i, j = i - 1, j - 1
+            elif rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return to
+
+
+@pytest.mark.parametrize(("kept", "table"), [(8_000_000, 2_000_000), (0, 1), (100, 30)])
+def test_trees_of_all_sizes_are_matched_whole(monkeypatch, kept, table):
+    """Small trees, those of hundreds of elements and deep ones equal the recursion, also where little of it may be kept."""
+    monkeypatch.setattr(H, "KEPT", kept)
+    monkeypatch.setattr(H, "TABLE", table)
+    rng = random.Random(11)
+    large = 0
+    for n, names, deep in [(k, "abcd"[: 1 + k % 4], d) for k in (1, 2, 5, 20, 60) for d in (0.2, 0.5, 0.8) for _ in range(6)] + [(400, "abc", 0.3), (400, "ab", 0.45), (300, "abcd", 0.1), (250, "ab", 0.995)]:
+        a = made_tree(rng, n, names, deep)
+        for b in (changed_tree(rng, *a, names), made_tree(rng, rng.randint(1, n + 5), names, deep)):
+            for x, y in ((a, b), (b, a)):
+                assert H.aligned(H.Outline(*x, []), H.Outline(*y, [])) == plainly_aligned(x, y)
+                large += len(x[0]) * len(y[0]) > 10_000
+    assert large > 8
+
+
+@pytest.mark.parametrize("more", ["<section></section>" * 150, "<section></section>" * 3000, "<section>" * 200 + "</section>" * 200])
+def test_a_page_s_size_changes_no_text(spark, more):
+    """A line whose elements have classes of their own on each page is template beside few elements, beside many and beside deep ones."""
+    page = lambda i, more: f"<body><div class=n{i}><p class=p{i}>Subscribe today</p></div>{more}<p>{f'tale {i} ' * 9}</p></body>"
+    few = texts(spark, [(i, f"http://h.io/{i}", page(i, "")) for i in range(8)])
+    assert few == {i: (f"tale {i} " * 9).strip() for i in range(8)}
+    assert texts(spark, [(i, f"http://h.io/{i}", page(i, more)) for i in range(8)]) == few
+
+
+def test_pages_beside_long_ones_of_their_layout(spark):
+    """Long and short pages of one host are matched alike: the line is template on all."""
+    page = lambda i, more: f"<body><div class=n{i}><p class=p{i}>Subscribe today</p></div>{'<ul><li></li></ul>' * more}<p>{f'tale {i} ' * 9}</p></body>"
+    got = texts(spark, [(i, f"http://h.io/{i}", page(i, 10 ** (i % 4))) for i in range(12)])
+    assert got == {i: (f"tale {i} " * 9).strip() for i in range(12)}
+
+
 def test_template_decides_inside_articles(spark):
     page = lambda i: f"<article><h1>T{i}</h1><div class=lead><p>Support our paper</p></div><p>{f'tale {i} ' * 9}</p>{'<p>A saying</p>' if i else ''}<p>Support our paper</p></article>"
     copy = lambda i: f"<article><h1>One text</h1><p>{'a long text ' * 9}</p><p>seen {i}</p></article>"
