@@ -21,9 +21,20 @@ def consolidated(touches: DataFrame, game: str = "game", player: str = "player",
     return out.withColumn("ending_rate", F.col("ending_touches") / F.col("total_hits"))
 
 
-def sides(samples: DataFrame, keys: list[str], x: str, middle: float = 9.0, least: int = 5) -> DataFrame:
-    """The side of each key by its mean x, from at least `least` samples."""
-    out = samples.groupBy(*keys).agg(F.avg(x).alias("mean_x"), F.count(x).alias("n")).where(F.col("n") >= least)
+def ordered_mean(df: DataFrame, keys: list[str], x: str, order: list[str], mean: str) -> DataFrame:
+    """(keys, mean, n) of the values of x that aren't null, added one after another in the order given.
+
+    Sums of parts differ in the last digits with how the rows are dealt out,
+    which turns means at a limit or at half a rounding step; these don't.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = df.where(F.col(x).isNotNull()).select(*keys, F.sum(x).over(w).alias("_sum"), F.row_number().over(w).alias("_n"))
+    return sums.groupBy(*keys).agg((F.max_by("_sum", "_n") / F.max("_n")).alias(mean), F.max("_n").cast("long").alias("n"))
+
+
+def sides(samples: DataFrame, keys: list[str], x: str, order: list[str], middle: float = 9.0, least: int = 5) -> DataFrame:
+    """The side of each key by its mean x, from at least `least` samples, added up in the order given."""
+    out = ordered_mean(samples, keys, x, order, "mean_x").where(F.col("n") >= least)
     return out.withColumn("side", F.when(F.col("mean_x") < middle, "A").otherwise("B"))
 
 

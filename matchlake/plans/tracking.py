@@ -85,7 +85,7 @@ def momentum(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TOUCHES} SELECT game, player, count(x) AS n, round(avg(x), 6) AS mean_x, CASE WHEN avg(x) < 9.0 THEN 'A' ELSE 'B' END AS side FROM touches GROUP BY game, player HAVING count(x) >= 5""")
 def side_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return stats.sides(touches(spark, d), ["game", "player"], "x").withColumn("mean_x", F.round("mean_x", 6))
+    return stats.sides(touches(spark, d), ["game", "player"], "x", ["frame", "touch_id"]).withColumn("mean_x", F.round("mean_x", 6))
 
 
 @query(f"""WITH {_WON}, t AS (SELECT DISTINCT game, rally, CASE WHEN x < 9.0 THEN 'A' ELSE 'B' END AS side, action_type FROM touches WHERE action_type <> 'hit')
@@ -113,7 +113,7 @@ w AS (SELECT game, count(*) FILTER (winner = 'A') AS wins_a, count(*) FILTER (wi
 SELECT game, players_a, players_b, CASE WHEN players_a > 0 AND players_b > 0 THEN wins_a END AS wins_a, CASE WHEN players_a > 0 AND players_b > 0 THEN wins_b END AS wins_b FROM n JOIN w USING (game)""")
 def matchup(spark: SparkSession, d: str) -> DataFrame:
     """Rallies won by side, where both sides have players."""
-    s = stats.sides(touches(spark, d), ["game", "player"], "x").groupBy("game").agg(F.count_if(F.col("side") == "A").alias("players_a"), F.count_if(F.col("side") == "B").alias("players_b"))
+    s = stats.sides(touches(spark, d), ["game", "player"], "x", ["frame", "touch_id"]).groupBy("game").agg(F.count_if(F.col("side") == "A").alias("players_a"), F.count_if(F.col("side") == "B").alias("players_b"))
     w = _won(spark, d).groupBy("game").agg(F.count_if(F.col("winner") == "A").alias("wins_a"), F.count_if(F.col("winner") == "B").alias("wins_b"))
     both = (F.col("players_a") > 0) & (F.col("players_b") > 0)
     return s.join(w, "game").select("game", "players_a", "players_b", F.when(both, F.col("wins_a")).alias("wins_a"), F.when(both, F.col("wins_b")).alias("wins_b"))

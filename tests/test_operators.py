@@ -219,3 +219,16 @@ def test_rally_override(spark):
     good, faults = upserts.rallies_overridden(given, games)
     assert [tuple(r)[:4] for r in good.orderBy("rally_index").collect()] == [("a", 0, 30, 75), ("a", 1, 600, 900)]
     assert sorted((r["start_time_s"], r["fault"]) for r in faults.collect()) == [(2.0, "overlaps the one before"), (5.0, "ends after the game"), (9.0, "ends before it begins")]
+
+
+def test_means_at_a_limit_dont_depend_on_how_rows_are_dealt(spark):
+    values = [[round(rng.uniform(0, 18), 2) + 0.07 * k for k in range(64)] for rng in map(random.Random, range(40))]
+    df = spark.createDataFrame([(g, k, x) for g, own in enumerate(values) for k, x in enumerate(own)], "g int, k int, x double")
+    want = []
+    for g, own in enumerate(values):
+        total = 0.0
+        for x in own:
+            total += x
+        want.append((g, total / 64, 64, "A" if total / 64 < 9.0 else "B"))
+    for dealt in (df.repartition(1), df.repartition(7), df.orderBy(F.desc("k"))):
+        assert rows(stats.sides(dealt, ["g"], "x", ["k"])) == want
