@@ -153,7 +153,9 @@ def profile_rollup(spark: SparkSession, d: str) -> DataFrame:
     kept = t.join(low, "game").where(F.col("frame") >= F.col("lo")).drop("lo")
     name = F.when(F.col("player") % 11 != 0, F.concat(F.lit(" p"), (F.col("player") % 6).cast("string")))
     names = kept.select("game", "player", name.alias("name")).distinct()
-    side = kept.groupBy("game", "player").agg(F.when(F.avg("x") < 9.0, "A").otherwise("B").alias("side"), F.date_format(F.timestamp_seconds(F.min("frame")), "yyyy-MM-dd").alias("day"))
+    day = kept.groupBy("game", "player").agg(F.date_format(F.timestamp_seconds(F.min("frame")), "yyyy-MM-dd").alias("day"))
+    mean = stats.ordered_mean(kept, ["game", "player"], "x", ["frame", "touch_id"], "x")
+    side = day.join(mean, ["game", "player"], "left").select("game", "player", F.when(F.col("x") < 9.0, "A").otherwise("B").alias("side"), "day")
     won = _won(spark, d).select("game", "rally", "winner")
     m = won.groupBy("game").agg(stats.winner(F.count_if(F.col("winner") == "A"), F.count_if(F.col("winner") == "B"), "A", "B").alias("w"))
     own = members.with_names(stats.consolidated(kept), names, ["game", "player"]).join(side, ["game", "player"]).join(m, "game").where("name is not null")

@@ -232,3 +232,23 @@ def test_means_at_a_limit_dont_depend_on_how_rows_are_dealt(spark):
         want.append((g, total / 64, 64, "A" if total / 64 < 9.0 else "B"))
     for dealt in (df.repartition(1), df.repartition(7), df.orderBy(F.desc("k"))):
         assert rows(stats.sides(dealt, ["g"], "x", ["k"])) == want
+
+
+def test_profiles_take_sides_in_the_order_of_touches(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    rng, start, made = random.Random(3), datetime.datetime(2024, 1, 1), []
+    for player in range(60):  # means of nine but for the last digits
+        cents = [rng.randint(0, 1799) for _ in range(19)]
+        cents = [c for c in cents if 0 <= 1800 - c < 1800 and c] + [1800 - c for c in cents if c]
+        rng.shuffle(cents)
+        for k, c in enumerate([500, *cents]):
+            made.append((0 if not k else 90_000 + 100 * k + player, player, c / 100 + 18.0 * rng.randint(0, 9)))
+    made = [(i, start + datetime.timedelta(seconds=t), u, "purchase", v, '{"k": 5}') for i, (t, u, v) in enumerate(sorted(made))]
+    df = spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.repartition(8, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect(config={"threads": 1})
+    c.execute(f"set TimeZone = 'UTC'; create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet') order by event_id")
+    assert rows(catalog.queries()["profile_rollup"](spark, str(tmp_path))) == sorted(c.execute(catalog.oracle_sql()["profile_rollup"]).fetchall())
