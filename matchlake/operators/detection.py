@@ -28,11 +28,13 @@ def selected(candidates: DataFrame, game: str, frame: str, candidate: str, width
 
     First the surest of each frame; if a game has PROFILE of these, their sizes
     give plausible ranges, and then the candidate nearest to these is taken (of
-    equals the surer, then the smaller id).
+    equals the surer, then the smaller id).  Of equals in both, a hash of frame
+    and size decides whose size counts: always the same one, and none is preferred.
     """
     sure_at = (params or Params()).get("ball_detection", "MIN_SELECT_CONFIDENCE")
     w = Window.partitionBy(game, frame)
-    rows = candidates.withColumn("_first", F.row_number().over(w.orderBy(F.desc(confidence), candidate)) == 1)
+    either = (F.xxhash64(frame, width, height), width, height)
+    rows = candidates.withColumn("_first", F.row_number().over(w.orderBy(F.desc(confidence), candidate, *either)) == 1)
     sure = rows.where(F.col("_first") & (F.col(confidence) >= sure_at))
     m, s = (lambda c: F.avg(c)), (lambda c: F.stddev_pop(c))
     profile = sure.groupBy(game).agg(F.count("*").alias("_n"), m(width).alias("_mw"), s(width).alias("_sw"), m(height).alias("_mh"), s(height).alias("_sh")).where(F.col("_n") >= PROFILE)
