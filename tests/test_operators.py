@@ -259,3 +259,19 @@ def test_ball_of_equal_candidates_is_the_same_in_any_order_of_rows(spark):
     made += [(1, f, 0, 18.0, 12.0, 0.9) for f in range(40)] + [(1, 99, 1, 9.0, 12.0, 0.7), (1, 99, 2, 19.5, 12.0, 0.7)]
     pick = lambda some: rows(detection.selected(spark.createDataFrame(some, "g int, f int, id int, w double, h double, c double").coalesce(1), "g", "f", "id", "w", "h", "c"))
     assert pick(made) == pick(made[::-1])
+
+
+def test_all_pairs_in_squares_keep_missing_vectors(spark):
+    rng = np.random.default_rng(5)
+    made = {(g, k): rng.normal(size=3).tolist() for g in "xy" for k in range(30)}
+    made |= {("x", 30): None, ("x", 31): [1.0, None, 2.0], ("z", 1): None, ("z", 2): None, ("w", 1): [1.0, 0.0, 0.0]}
+    df = spark.createDataFrame([(*k, v) for k, v in made.items()], "g string, k int, v array<float>")
+    got = {(r.g, r.a, r.b): r.s for r in vectors.similar_pairs(df, ["g"], "k", "v", rows=7).collect()}
+    want = {(g, a, b): (p, q) for (g, a), p in made.items() for (h, b), q in made.items() if g == h and a < b}
+    assert got.keys() == want.keys()
+    for pair, (p, q) in want.items():
+        if p is None or q is None or None in p + q:
+            assert np.isnan(got[pair])
+        else:
+            assert abs(got[pair] - np.float32(p).astype(float) @ np.float32(q).astype(float)) < 1e-12
+    assert rows(vectors.similar_pairs(df, ["g"], "k", "v", 0.5, rows=7).select("g", "a", "b")) == sorted(k for k, s in got.items() if s > 0.5)
