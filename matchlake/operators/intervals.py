@@ -115,13 +115,28 @@ class Presence:
 
 def banded_pairs(df: DataFrame, keys: list[str], member: str, start: str, end: str, gap: int) -> DataFrame:
     """(keys, a, b): pairs of spans in order of start, the later beginning at most `gap` after the earlier ends."""
+    return _banded(df, keys, member, start, end, gap, max(1, gap)).select(*keys, "a", "b")
+
+
+def _banded(df: DataFrame, keys: list[str], member: str, start: str, end: str, gap: int, width: int) -> DataFrame:
     a = df.select(*keys, F.col(member).alias("a"), F.col(start).alias("_as"), F.col(end).alias("_ae"))
     b = df.select(*keys, F.col(member).alias("b"), F.col(start).alias("_bs"))
-    width = max(1, gap)
     a = a.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_as") / width), F.floor((F.col("_ae") + gap) / width))))
     b = b.withColumn("_k", F.floor(F.col("_bs") / width))
     later = (F.col("_bs") > F.col("_as")) | ((F.col("_bs") == F.col("_as")) & (F.col("b") > F.col("a")))
-    return a.join(b, [*keys, "_k"]).where(later & (F.col("_bs") <= F.col("_ae") + gap)).select(*keys, "a", "b")
+    return a.join(b, [*keys, "_k"]).where(later & (F.col("_bs") <= F.col("_ae") + gap))
+
+
+def least_gaps(df: DataFrame, keys: list[str], member: str, start: str, end: str, gap: int, wide: int = 16) -> DataFrame:
+    """(keys, a, b, gap): pairs of members, a the smaller, whose spans never overlap and come within `gap` of each other, with the least gap.
+
+    Only spans of one bucket of `wide` gaps meet: those further apart can neither
+    be the nearest nor overlap.  A wider bucket copies fewer spans into the next
+    one and compares more.
+    """
+    near = _banded(df, keys, member, start, end, gap, max(1, wide * gap)).where("a <> b")
+    pairs = near.groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.agg(F.min(F.col("_bs") - F.col("_ae")).alias("gap")).where("gap > 0")
 
 
 def inside_any(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: int, all_without: bool = False) -> DataFrame:

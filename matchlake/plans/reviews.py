@@ -424,9 +424,7 @@ def part_bridges(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of parts of a supplier's equal lines whose spans never overlap and come within 1800 frames of each other."""
     c = F.col
     s = table(spark, d, "lineitem").select((c("l_suppkey") * 8 + c("l_linenumber")).alias("game"), c("l_partkey").alias("m"), (c("l_orderkey") * 10).alias("s"), (c("l_orderkey") * 10 + c("l_quantity").cast("long")).alias("e"))
-    ids = s.select("game", "m").distinct()
-    pairs = ids.select("game", c("m").alias("a")).join(ids.select("game", c("m").alias("b")), "game").where("a < b")
-    return detection.bridged(s, pairs, ["game"], "m", "s", "e").where("gap <= 1800")
+    return intervals.least_gaps(s, ["game"], "m", "s", "e", 1800)
 
 
 @query("""WITH u AS (SELECT trim(source) AS name, 0 AS part FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT upper(trim(source)), 1 FROM documents UNION ALL SELECT upper(trim(lang)), 2 FROM documents) SELECT arg_min(name, (part, name)) AS name FROM u WHERE name <> '' GROUP BY lower(name)""".replace("(part, name)", "row(part, name)"))

@@ -275,3 +275,16 @@ def test_all_pairs_in_squares_keep_missing_vectors(spark):
         else:
             assert abs(got[pair] - np.float32(p).astype(float) @ np.float32(q).astype(float)) < 1e-12
     assert rows(vectors.similar_pairs(df, ["g"], "k", "v", 0.5, rows=7).select("g", "a", "b")) == sorted(k for k, s in got.items() if s > 0.5)
+
+
+def test_least_gaps_against_a_loop(spark):
+    rng = random.Random(8)
+    spans = [(g, rng.randrange(9), s, s + rng.choice([0, 3, 40, 700])) for g in range(4) for s in (rng.randrange(3000) for _ in range(25))]
+    best = {}
+    for g, m, s, e in spans:
+        for h, n, t, u in spans:
+            if g == h and m < n:
+                best[g, m, n] = min(best.get((g, m, n), 10**9), max(s - u, t - e))
+    df = spark.createDataFrame(spans, "g int, m int, s int, e int")
+    for wide in (1, 16):
+        assert rows(intervals.least_gaps(df, ["g"], "m", "s", "e", 20, wide)) == sorted((*k, v) for k, v in best.items() if 0 < v <= 20)
