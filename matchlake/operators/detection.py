@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchlake.operators.vectors import gallery_distance
 
@@ -90,6 +96,62 @@ def bridged(spans: DataFrame, pairs: DataFrame, keys: list[str], member: str, st
     return out.where("gap > 0 or _twice").select(*keys, "a", "b", F.greatest("gap", F.lit(0)).alias("gap"))
 
 
+def gaps(spans: DataFrame, keys: list[str], member: str, start: str, end: str, twice: DataFrame | None = None) -> DataFrame:
+    """bridged() over all pairs a < b of the members of a key, found in one pass over a key's spans.
+
+    A member's spans, sorted, with the latest end up to each, tell for any other
+    span the nearest before and after it, so a pair of members costs a
+    logarithmic step for each span instead of a product of spans.  No pair but a
+    result leaves a task; a key (a game) is one task's work.
+    """
+    rows = spans.dropna(subset=[*keys, member, start, end]).select(*keys, F.col(member).alias("_m"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    if twice is not None:
+        rows = rows.withColumn("_t", F.lit(None).cast(rows.schema["_m"].dataType))
+        pairs = twice.select(*keys, F.least("a", "b").alias("_m"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), F.lit(None).cast(rows.schema["_e"].dataType).alias("_e"), F.greatest("a", "b").alias("_t"))
+        rows = rows.unionByName(pairs)
+    difference = rows.select((F.col("_s") - F.col("_e")).alias("gap")).schema["gap"].dataType
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, rows.schema["_m"].dataType) for n in ("a", "b")), T.StructField("gap", difference)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        key, known = table.slice(0, 1).select(keys), table
+        also: dict = {}
+        if "_t" in table.column_names:
+            known = table.filter(pc.is_valid(table.column("_s")))
+            told = table.filter(pc.is_null(table.column("_s")))
+            for a, b in zip(told.column("_m").to_pylist(), told.column("_t").to_pylist(), strict=True):
+                also.setdefault(a, set()).add(b)
+        known = known.sort_by([("_m", "ascending"), ("_s", "ascending")])
+        if not len(known):
+            return
+        names = known.column("_m").combine_chunks()
+        s, e = (known.column(c).to_numpy() for c in ("_s", "_e"))
+        codes = names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        ids, bounds = names.take(pa.array(first)), [*first, len(codes)]
+        listed = ids.to_pylist() if also else []
+        place = {n: k for k, n in enumerate(listed)}
+        for k in range(len(first) - 1):
+            own, rest = slice(bounds[k], bounds[k + 1]), slice(bounds[k + 1], None)
+            starts, latest = s[own], np.maximum.accumulate(e[own])
+            at = np.searchsorted(starts, e[rest], "right")
+            before = s[rest] - latest[np.maximum(at - 1, 0)]
+            after = starts[np.minimum(at, len(starts) - 1)] - e[rest]
+            near = np.where(at == 0, after, np.where(at == len(starts), before, np.minimum(before, after)))
+            least = np.minimum.reduceat(near, first[k + 1 :] - bounds[k + 1])
+            keep = least > 0
+            if also:
+                for n in also.get(listed[k], ()):
+                    if n in place and place[n] > k:
+                        keep[place[n] - k - 1] = True
+            j = np.flatnonzero(keep)
+            if len(j):
+                columns = [*(key.column(c).take(pa.array(np.zeros(len(j), int))) for c in keys), ids.take(pa.array(np.full(len(j), k))), ids.take(pa.array(k + 1 + j)), pa.array(np.maximum(least[j], 0))]
+                yield from pa.table(dict(zip(schema.names, columns, strict=True))).combine_chunks().to_batches()
+
+    return rows.groupBy(*keys).applyInArrow(run, schema)
+
+
 # Frames, share of the shorter track and mean overlap up to which two boxes of a frame are one body.
 TWICE_FRAMES, TWICE_SHARE, TWICE_IOU = 30, 0.02, 0.40
 
@@ -101,12 +163,14 @@ def seen_twice(boxes: DataFrame, keys: list[str], member: str, frame: str, corne
     their boxes overlap by `least` on average.  Boxes (one per member and frame)
     meet only in the cells of a grid that both touch, `cell` wide and high, so
     boxes far from each other in a frame are never compared; frames are only
-    counted for pairs whose boxes overlap somewhere.
+    counted for pairs whose boxes overlap somewhere.  Frames with a single box
+    are left out first, by one shuffle; only the others' boxes are dealt to cells.
     """
     n = [F.col(c).cast("double") for c in corners]
     rows = boxes.select(*keys, F.col(member).alias("_m"), F.col(frame).alias("_f"), *[c.alias(f"_{k}") for k, c in enumerate(n)])
+    crowded = rows.withColumn("_boxes", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_f"))).where("_boxes > 1").drop("_boxes")
     across = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-    cells = rows.withColumn("_cx", across("_0", "_2")).withColumn("_cy", across("_1", "_3"))
+    cells = crowded.withColumn("_cx", across("_0", "_2")).withColumn("_cy", across("_1", "_3"))
     other = cells.select(*keys, "_f", "_cx", "_cy", F.col("_m").alias("b"), *[F.col(f"_{k}").alias(f"_o{k}") for k in range(4)])
     met = cells.withColumnRenamed("_m", "a").join(other, [*keys, "_f", "_cx", "_cy"]).where("a < b")
     first = (F.col("_cx") == F.floor(F.greatest("_0", "_o0") / cell)) & (F.col("_cy") == F.floor(F.greatest("_1", "_o1") / cell))
@@ -114,7 +178,7 @@ def seen_twice(boxes: DataFrame, keys: list[str], member: str, frame: str, corne
     sums = met.where(first).groupBy(*keys, "a", "b").agg(F.sum(both).alias("_sum")).where("_sum > 0")
     times = rows.groupBy(*keys, "_m").agg(F.count("*").alias("_n"))
     of = lambda to, n: times.select(*keys, F.col("_m").alias(to), F.col("_n").alias(n))
-    at = rows.select(*keys, "_m", "_f")
+    at = crowded.select(*keys, "_m", "_f")
     shared = sums.select(*keys, "a", "b").join(at.withColumnRenamed("_m", "a"), [*keys, "a"]).join(at.withColumnRenamed("_m", "b"), [*keys, "b", "_f"]).groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
     out = sums.join(shared, [*keys, "a", "b"]).join(of("a", "_na"), [*keys, "a"]).join(of("b", "_nb"), [*keys, "b"])
     few = (F.col("shared") <= frames) & (F.col("shared") <= share * F.least("_na", "_nb"))

@@ -50,9 +50,7 @@ def duplicate_bridges(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d)
     twice = _twice(b)
     spans = b.groupBy("game", "m", F.floor(F.col("f") / 5000).alias("part")).agg(F.min("f").alias("s"), F.max("f").alias("e"))
-    ids = spans.select("game", "m").distinct()
-    pairs = ids.select("game", F.col("m").alias("a")).join(ids.select("game", F.col("m").alias("b")), "game").where("a < b")
-    out = detection.bridged(spans, pairs, ["game"], "m", "s", "e", twice)
+    out = detection.gaps(spans, ["game"], "m", "s", "e", twice)
     return out.join(twice.select("game", "a", "b", F.lit(True).alias("twice")), ["game", "a", "b"], "left").withColumn("twice", F.coalesce("twice", F.lit(False)))
 
 

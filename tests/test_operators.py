@@ -288,3 +288,14 @@ def test_least_gaps_against_a_loop(spark):
     df = spark.createDataFrame(spans, "g int, m int, s int, e int")
     for wide in (1, 16):
         assert rows(intervals.least_gaps(df, ["g"], "m", "s", "e", 20, wide)) == sorted((*k, v) for k, v in best.items() if 0 < v <= 20)
+
+
+def test_gaps_of_all_pairs_against_bridged(spark):
+    rng = random.Random(4)
+    spans = [(g, rng.choice("abcdefg"), s, s + rng.choice([0, 5, 60])) for g in (1, 2, 3) for s in (rng.randrange(2000) for _ in range(20))]
+    df = spark.createDataFrame([*spans, (4, "a", 1, 2), (None, "a", 1, 2), (None, "b", 5, 6)], "g int, m string, s int, e int")
+    ids = df.select("g", "m").distinct()
+    pairs = ids.withColumnRenamed("m", "a").join(ids.withColumnRenamed("m", "b"), "g").where("a < b")
+    twice = spark.createDataFrame([(1, "b", "a"), (1, "c", "f"), (2, "a", "g"), (3, "a", "zz")], "g int, a string, b string")
+    assert rows(detection.gaps(df, ["g"], "m", "s", "e")) == rows(detection.bridged(df, pairs, ["g"], "m", "s", "e"))
+    assert rows(detection.gaps(df, ["g"], "m", "s", "e", twice)) == rows(detection.bridged(df, pairs, ["g"], "m", "s", "e", twice))
