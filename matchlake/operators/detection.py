@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.operators.vectors import gallery_distance
+from matchlake.operators.tables import saved
+from matchlake.operators.vectors import _matrix
 
 from matchlake.functions.scalars import angle, distance, iou, noisy_or, outside
 from matchlake.params import Params
@@ -133,12 +134,7 @@ def gaps(spans: DataFrame, keys: list[str], member: str, start: str, end: str, t
         place = {n: k for k, n in enumerate(listed)}
         for k in range(len(first) - 1):
             own, rest = slice(bounds[k], bounds[k + 1]), slice(bounds[k + 1], None)
-            starts, latest = s[own], np.maximum.accumulate(e[own])
-            at = np.searchsorted(starts, e[rest], "right")
-            before = s[rest] - latest[np.maximum(at - 1, 0)]
-            after = starts[np.minimum(at, len(starts) - 1)] - e[rest]
-            near = np.where(at == 0, after, np.where(at == len(starts), before, np.minimum(before, after)))
-            least = np.minimum.reduceat(near, first[k + 1 :] - bounds[k + 1])
+            least = np.minimum.reduceat(_nearest(s[own], e[own], s[rest], e[rest]), first[k + 1 :] - bounds[k + 1])
             keep = least > 0
             if also:
                 for n in also.get(listed[k], ()):
@@ -240,23 +236,146 @@ def candidate_matches(spans: DataFrame, places: DataFrame, gallery: DataFrame, k
     by at most zone_most, they are not on different sides with both at least
     `confident`, and the mean distance of their galleries is at most `most`.
     Unknown zones and sides speak against nothing; without vectors there is no match.
+    A game's members are dealt to parts that meet two by two in a task, with
+    their vectors; only matches leave it.
     """
     p = params or Params()
     confident = p.get("player_tracking", "SIDE_MIN_CONFIDENCE") if confident is None else confident
     most = p.get("player_tracking", "CANDIDATE_MAX_APPEARANCE_DISTANCE") if most is None else most
-    ids = spans.select(*keys, member).distinct()
     each = places.where(F.col(zone).isNotNull()).groupBy(*keys, member, zone).agg(F.count("*").alias("_n"))
-    zones = each.groupBy(*keys, member).agg(F.map_from_entries(F.collect_list(F.struct(zone, "_n"))).alias("_zones"), F.sum("_n").alias("_total"))
+    zones = each.groupBy(*keys, member).agg(F.collect_list(F.struct(F.col(zone).alias("z"), F.col("_n").alias("n"))).alias("_zones"))
     sides = places.groupBy(*keys, member).agg(F.count_if(F.col(side) == "A").alias("_A"), F.count_if(F.col(side) == "B").alias("_B"))
-    known = ids.join(zones, [*keys, member], "left").join(sides, [*keys, member], "left")
-    known = known.withColumns({"_side": F.when(F.col("_A") + F.col("_B") > 0, F.when(F.col("_A") >= F.col("_B"), "A").otherwise("B")), "_sure": F.expr("try_divide(greatest(_A, _B), _A + _B)")})
-    of = lambda m: known.select(*keys, F.col(member).alias(m), *[F.col(c).alias(c + m) for c in ("_zones", "_total", "_side", "_sure")])
-    pairs = ids.withColumnRenamed(member, "a").join(ids.withColumnRenamed(member, "b"), keys).where("a < b")
-    pairs = bridged(spans, pairs, keys, member, start, end, twice).join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"])
-    shared = F.aggregate(F.map_entries("_zonesa"), F.lit(0.0), lambda s, z: s + F.least(z["value"] / F.col("_totala"), F.coalesce(F.element_at("_zonesb", z["key"]), F.lit(0)) / F.col("_totalb")))
-    near = F.coalesce(1 - shared <= zone_most, F.lit(True))
-    opposite = F.coalesce((F.col("_sidea") != F.col("_sideb")) & (F.col("_surea") >= confident) & (F.col("_sureb") >= confident), F.lit(False))
-    return gallery_distance(gallery, gallery, member, member, vector, keys, shape, pairs.where(near & ~opposite)).where(F.col("distance") <= most)
+    times = spans.dropna(subset=[*keys, member, start, end]).groupBy(*keys, member).agg(F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))).alias("_spans"))
+    known = times.join(zones, [*keys, member], "left").join(sides, [*keys, member], "left")
+    known = known.withColumns({"_a": F.when(F.col("_A") + F.col("_B") > 0, F.col("_A") >= F.col("_B")), "_sure": F.expr("try_divide(greatest(_A, _B), _A + _B)")})
+    kind = times.schema[member].dataType
+    if twice is None:
+        known = known.withColumn("_twice", F.lit(None).cast(T.ArrayType(kind)))
+    else:
+        known = known.join(twice.groupBy(*keys, F.least("a", "b").alias(member)).agg(F.collect_set(F.greatest("a", "b")).alias("_twice")), [*keys, member], "left")
+    known = saved(known.select(*keys, F.col(member).alias("_m"), "_spans", "_zones", "_a", "_sure", "_twice"))
+    looks = gallery.where(F.col(vector).isNotNull()).select(*keys, F.col(member).alias("_m"), F.col(shape).cast("double").alias("_bin"), F.col(vector).alias("_v"))
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_ms")).join(looks.groupBy(*keys).agg(F.count("*").alias("_vs")), keys)
+    many = F.broadcast(sizes.select(*keys, F.greatest(F.ceil(F.col("_ms") / SQUARE), F.ceil(F.col("_vs") / SQUARE_LOOKS)).alias("_n")).where("_n > 1"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        part = df.join(many, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_p", F.pmod(F.xxhash64("_m"), F.col("_n")))
+        met = part.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        return met.withColumns({"_i": F.least("_p", "_o"), "_j": F.greatest("_p", "_o")}).drop("_n", "_o")
+
+    schema = T.StructType([*(known.schema[k] for k in keys), T.StructField("a", kind), T.StructField("b", kind), T.StructField("distance", T.DoubleType())])
+
+    def run(members: pa.Table, seen: pa.Table) -> pa.Table:
+        return _matches(members, seen, keys, schema.names, zone_most, confident, most)
+
+    on = [*keys, "_i", "_j"]
+    return dealt(known).groupBy(*on).cogroup(dealt(looks).groupBy(*on)).applyInArrow(run, schema)
+
+
+# Members and vectors of a part of a game; two parts meet in a task.
+SQUARE, SQUARE_LOOKS = 256, 4096
+
+
+def _matches(members: pa.Table, seen: pa.Table, keys: list[str], names: list[str], zone_most: float, confident: float, most: float) -> pa.Table:
+    """The matches of a square: members of its first part with those of its second, or of its only one with each other."""
+    types = [*(members.schema.field(k).type for k in keys), *[members.schema.field("_m").type] * 2, pa.float64()]
+    none = pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
+    ids = pc.unique(seen.column("_m"))
+    members = members.filter(pc.is_in(members.column("_m"), value_set=ids)).sort_by("_m")
+    if len(members) < 2:
+        return none
+    ids = members.column("_m").combine_chunks()
+    at = pc.index_in(seen.column("_m"), value_set=ids)
+    seen = seen.filter(pc.is_valid(at))
+    owner, shape, vectors = pc.drop_null(at).to_numpy().astype(int), seen.column("_bin").to_numpy(), _matrix(seen.column("_v"))
+    order = np.lexsort((shape, owner))
+    owner, shape, vectors = owner[order], shape[order], vectors[order]
+    inside = members.column("_i")[0] == members.column("_j")[0]
+    here = pc.equal(members.column("_p"), members.column("_i")).to_numpy()
+    left, right = (np.arange(len(ids)),) * 2 if inside else (np.flatnonzero(here), np.flatnonzero(~here))
+    if not len(left) or not len(right):
+        return none
+    ok = _no_overlap(members, left, right) & _zones_meet(members, left, right, zone_most) & ~_opposite(members, left, right, confident)
+    if inside:
+        ok &= left[:, None] < right
+    if not ok.any():
+        return none
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (shape[1:] != shape[:-1])])
+    n = np.diff(np.r_[first, len(owner)])
+    mean = np.add.reduceat(vectors, first) / n[:, None]
+    away = np.linalg.norm(vectors - np.repeat(mean, n, axis=0), axis=1)
+    radius, length = np.maximum.reduceat(away, first), np.maximum.reduceat(np.linalg.norm(vectors, axis=1), first)
+    norm, bins, whose = np.linalg.norm(mean, axis=1), shape[first], owner[first]
+    x, y = (np.flatnonzero(np.isin(whose, side)) for side in (left, right))
+    starts = [np.flatnonzero(np.r_[True, whose[k][1:] != whose[k][:-1]]) for k in (x, y)]
+    fold = lambda f, m: f.reduceat(f.reduceat(m, starts[0], axis=0), starts[1], axis=1)
+    inner, step = mean[x] @ mean[y].T, 0.2 * np.abs(bins[x][:, None] - bins[y]) / 3
+    lowest = inner - norm[x][:, None] * radius[y] - radius[x][:, None] * norm[y] - radius[x][:, None] * radius[y]
+    safe = fold(np.logical_and, (lowest >= -1 + 2 * step + 1e-9) & (length[x][:, None] * length[y] <= 1 + 1e-6))
+    count = n[x][:, None] * n[y].astype(float)
+    distance = fold(np.add, count * ((1 - inner) / 2 + step)) / fold(np.add, count)
+    bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
+    for i, j in np.argwhere(ok & ~safe):  # distances that are cut at 0 or 1: vector by vector
+        p, q = (slice(bounds[k], bounds[k + 1]) for k in (left[i], right[j]))
+        total = 0.0
+        for lo in range(p.start, p.stop, 1024):
+            o = slice(lo, min(lo + 1024, p.stop))
+            total += np.minimum(1.0, np.clip((1 - vectors[o] @ vectors[q].T) / 2, 0.0, 1.0) + 0.2 * np.abs(shape[o][:, None] - shape[q]) / 3).sum()
+        distance[i, j] = total / ((p.stop - p.start) * (q.stop - q.start))
+    i, j = np.nonzero(ok & (distance <= most))
+    one, two = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+    columns = [*(members.column(k).take(pa.array(np.zeros(len(i), int))) for k in keys), ids.take(pa.array(one)), ids.take(pa.array(two)), pa.array(distance[i, j])]
+    return pa.table(dict(zip(names, columns, strict=True))).cast(pa.schema(list(zip(names, types, strict=True))))
+
+
+def _no_overlap(members: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether spans of two members never overlap, or the members were seen twice."""
+    spans = members.column("_spans").combine_chunks()
+    flat, of = spans.flatten(), np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy())
+    s, e = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    if len(of) == len(spans):
+        ok = np.maximum(s[left][:, None] - e[right], s[right] - e[left][:, None]) > 0
+    else:
+        bounds, held = np.searchsorted(of, np.arange(len(spans) + 1)), np.isin(of, right)
+        first = np.flatnonzero(np.r_[True, of[held][1:] != of[held][:-1]])
+        ok = np.array([np.minimum.reduceat(_nearest(s[bounds[k] : bounds[k + 1]], e[bounds[k] : bounds[k + 1]], s[held], e[held]), first) > 0 for k in left])
+    place = {}
+    for k, also in enumerate(members.column("_twice").to_pylist()):
+        if also:
+            place = place or {m: n for n, m in enumerate(members.column("_m").to_pylist())}
+            for m in also:
+                for p, q in ((k, place.get(m)), (place.get(m), k)):
+                    ok[np.ix_(left == p, right == q)] = True
+    return ok
+
+
+def _nearest(starts: np.ndarray, ends: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """For each span (s, e) the least gap to spans sorted by their starts; not above 0 where one overlaps."""
+    latest, at = np.maximum.accumulate(ends), np.searchsorted(starts, e, "right")
+    before, after = s - latest[np.maximum(at - 1, 0)], starts[np.minimum(at, len(starts) - 1)] - e
+    return np.where(at == 0, after, np.where(at == len(starts), before, np.minimum(before, after)))
+
+
+def _zones_meet(members: pa.Table, left: np.ndarray, right: np.ndarray, most: float) -> np.ndarray:
+    """Whether the shares of zones differ by at most `most`; unknown zones do."""
+    share, known = {}, np.zeros(len(members), bool)
+    for k, zones in enumerate(members.column("_zones").to_pylist()):
+        whole = sum(z["n"] for z in zones or ())
+        known[k] = whole > 0
+        for z in zones or ():
+            share.setdefault(z["z"], np.zeros(len(members)))[k] = z["n"] / whole
+    both = np.zeros((len(left), len(right)))
+    for z in sorted(share):
+        both += np.minimum(share[z][left][:, None], share[z][right])
+    return (1 - both <= most) | ~known[left][:, None] | ~known[right]
+
+
+def _opposite(members: pa.Table, left: np.ndarray, right: np.ndarray, confident: float) -> np.ndarray:
+    """Whether both sides are surely known and differ."""
+    told = pc.fill_null(members.column("_a"), False).to_numpy()
+    sure = pc.fill_null(members.column("_sure"), -1.0).to_numpy() >= confident
+    sure &= pc.is_valid(members.column("_a")).to_numpy()
+    return (told[left][:, None] != told[right]) & sure[left][:, None] & sure[right]
 
 
 def set_sides(samples: DataFrame, keys: list[str], side: str, team: str, weight: str, least: int = 1) -> DataFrame:

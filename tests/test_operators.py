@@ -299,3 +299,34 @@ def test_gaps_of_all_pairs_against_bridged(spark):
     twice = spark.createDataFrame([(1, "b", "a"), (1, "c", "f"), (2, "a", "g"), (3, "a", "zz")], "g int, a string, b string")
     assert rows(detection.gaps(df, ["g"], "m", "s", "e")) == rows(detection.bridged(df, pairs, ["g"], "m", "s", "e"))
     assert rows(detection.gaps(df, ["g"], "m", "s", "e", twice)) == rows(detection.bridged(df, pairs, ["g"], "m", "s", "e", twice))
+
+
+def test_candidate_matches_in_squares_against_a_loop(spark, monkeypatch):
+    rng, gen = random.Random(6), np.random.default_rng(6)
+    spans = [(g, m, s, s + rng.randrange(1, 30)) for g in "xy" for m in range(24) for s in (rng.randrange(400) for _ in range(rng.choice([1, 1, 2])))]
+    places = [(g, m, rng.choice([None, 0, 1, 2, 3]), rng.choice([None, "A", "B", "B"])) for g in "xy" for m in range(24) for _ in range(rng.choice([0, 1, 4]))]
+    units = gen.normal(size=(120, 3))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    looks = [(rng.choice("xy"), rng.randrange(24), v.tolist(), rng.randrange(4)) for v in units] + [("x", 3, None, 1), ("z", 1, [1.0, 0.0, 0.0], 0)]
+    twice = [("x", 9, 4), ("y", 1, 2), ("x", 0, 99)]
+    a, b, c = (spark.createDataFrame(r, t) for r, t in ((spans, "g string, m int, s int, e int"), (places, "g string, m int, zone int, side string"), (looks, "g string, m int, v array<double>, bin int")))
+    t = spark.createDataFrame(twice, "g string, a int, b int")
+    want = {}
+    for g in "xy":
+        for p in range(24):
+            for q in range(p + 1, 24):
+                gap = min(max(s - u, w - e) for h, m, s, e in spans if (h, m) == (g, p) for k, n, w, u in spans if (k, n) == (g, q))
+                zones = [[z for h, m, z, _ in places if (h, m) == (g, k) and z is not None] for k in (p, q)]
+                sides = [[s for h, m, _, s in places if (h, m) == (g, k) and s] for k in (p, q)]
+                share = sum(min(zones[0].count(z) / len(zones[0]), zones[1].count(z) / len(zones[1])) for z in range(4)) if all(zones) else 1
+                most = ["A" if s.count("A") >= s.count("B") else "B" for s in sides]
+                apart = all(sides) and most[0] != most[1] and all(s.count(o) / len(s) >= 0.7 for s, o in zip(sides, most, strict=True))
+                d = [min(1.0, min(1.0, max(0.0, (1 - np.dot(v, w)) / 2)) + 0.2 * abs(i - j) / 3) for h, m, v, i in looks if (h, m) == (g, p) and v for k, n, w, j in looks if (k, n) == (g, q) and w]
+                if d and (gap > 0 or (g, q, p) in twice or (g, p, q) in twice) and 1 - share <= 0.95 and not apart and np.mean(d) <= 0.5:
+                    want[g, p, q] = np.mean(d)
+    assert len(want) > 40
+    for members, held in ((256, 4096), (5, 4096), (256, 20)):
+        monkeypatch.setattr(detection, "SQUARE", members)
+        monkeypatch.setattr(detection, "SQUARE_LOOKS", held)
+        got = {(r.g, r.a, r.b): r.distance for r in detection.candidate_matches(a, b, c, ["g"], "m", "s", "e", "zone", "side", "v", "bin", confident=0.7, most=0.5, twice=t).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - d) < 1e-9 for k, d in want.items())
