@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from matchlake.functions import scalars
 from matchlake.operators import intervals
 from matchlake.operators.components import components
 from matchlake.operators.tables import saved
+from matchlake.operators.vectors import _matrix
 from matchlake.params import Params
 
 # Frames between parts of one player, most distant zones, cost of a relaxed merge.
@@ -261,31 +263,75 @@ def tracks_of(boxes: DataFrame, vectors: DataFrame, game: str, track: str, frame
     return rows.join(looks, [game, track], "left")
 
 
-def _closest(left: pa.Array, right: pa.Array) -> np.ndarray:
+#: Tracklets of a part of a time slice; two parts meet in a task.
+SQUARE = 256
+
+
+def _closest(left: pa.Table, right: pa.Table) -> np.ndarray:
     """Per pair of galleries the least distance of two vectors."""
-    out = np.full(len(left), np.inf)
-    for k, (a, b) in enumerate(zip(left.to_pylist(), right.to_pylist(), strict=True)):
-        if a and b:
-            d = (1 - np.clip(np.array([v["vector"] for v in a]) @ np.array([v["vector"] for v in b]).T, -1, 1)) / 2
-            out[k] = np.minimum(1.0, d + SHAPE_STEP * np.abs(np.subtract.outer([v["shape"] for v in a], [v["shape"] for v in b]))).min()
+    out = np.full((len(left), len(right)), np.inf)
+    (p, x, k), (q, y, m) = (_flat(t.column("looks")) for t in (left, right))
+    if not len(p) or not len(q):
+        return out
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    bounds = np.searchsorted(p, np.arange(len(left) + 1))
+    for n in np.unique(p):
+        own = slice(bounds[n], bounds[n + 1])
+        d = (1 - np.clip(x[own] @ y.T, -1, 1)) / 2 + SHAPE_STEP * np.abs(k[own][:, None] - m)
+        out[n, q[first]] = np.minimum(1.0, np.minimum.reduceat(d.min(0), first))
     return out
 
 
+def _flat(looks: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of galleries one below the other: whose, the vectors, their shapes."""
+    looks = looks.combine_chunks()
+    of, each = pc.list_parent_indices(looks).to_numpy().astype(int), pc.list_flatten(looks)
+    return of, _matrix(pa.chunked_array([each.field("vector")])) if len(of) else np.zeros((0, 1)), each.field("shape").to_numpy(zero_copy_only=False)
+
+
 def possible_links(tracks: DataFrame, game: str, track: str, rules: Rules) -> DataFrame:
-    """(game, a, b): pairs of tracklets of calibrated games that could bring their clusters together."""
-    pairs = intervals.banded_pairs(tracks.where("placed > 0"), [game], track, "start", "end", GAP)
-    t = lambda n: tracks.select(game, F.col(track).alias(n), F.col("seen").alias(f"seen_{n}"), F.col("looks").alias(f"looks_{n}"))
-    both = pairs.join(t("a"), [game, "a"]).join(t("b"), [game, "b"])
-    schema, most = both.select(game, "a", "b").schema, rules.look_most
-
-    def run(batches):
-        for batch in batches:
-            keep = _closest(batch.column("looks_a"), batch.column("looks_b")) <= most + 1e-9
-            for k in np.flatnonzero(~keep):
-                keep[k] = _touch(batch.column("seen_a")[int(k)].as_py(), batch.column("seen_b")[int(k)].as_py())
-            yield batch.select(schema.names).filter(pa.array(keep))
-
-    return both.mapInArrow(run, schema)
+    """(game, a, b): pairs of tracklets of calibrated games that could bring their clusters together.
+
+    Games are cut into slices of GAP frames, in each of which the tracklets that
+    begin there meet those that ended less than GAP frames before or still run;
+    slices with many are dealt to squares.  Boxes and vectors go to a slice once,
+    not once for each pair.
+    """
+    given = tracks.where("placed > 0").dropna(subset=[game, track, "start", "end"]).select(game, track, "seen", "looks", "start", "end")
+    at = lambda c: F.floor(c / GAP)
+    earlier = given.withColumn("_k", F.explode(F.sequence(at(F.col("start")), at(F.col("end") + GAP))))
+    later = given.select(*[F.col(c).alias(c) for c in given.columns]).withColumn("_k", at(F.col("start")))
+    count = lambda df, n: df.groupBy(game, "_k").agg(F.count("*").alias(n))
+    sizes = count(earlier, "_x").join(count(later, "_y"), [game, "_k"])
+    many = F.broadcast(sizes.select(game, "_k", F.ceil(F.greatest("_x", "_y") / SQUARE).alias("_n")).where("_n > 1"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        part = df.join(many, [game, "_k"], "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+        return part.withColumns({own: F.pmod(F.xxhash64(track), F.col("_n")), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))}).drop("_n")
+
+    keys, most = [game, "_k", "_i", "_j"], rules.look_most
+    kinds = given.schema
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (t.column(track).combine_chunks() for t in (left, right))
+        names = pa.chunked_array([a, b]).unique().sort()
+        i, j = np.zeros(0, int), np.zeros(0, int)
+        if len(a) and len(b):
+            (s, e, n), (t, _, m) = ((*(x.column(c).to_numpy() for c in ("start", "end")), pc.index_in(x.column(track), value_set=names).to_numpy()) for x in (left, right))
+            follows = (t > s[:, None]) | ((t == s[:, None]) & (m > n[:, None]))
+            follows &= t <= e[:, None] + GAP
+            keep = follows & (_closest(left, right) <= most + 1e-9)
+            open_ = np.argwhere(follows & ~keep & (t <= e[:, None] + SOON))
+            if len(open_):
+                seen_a, seen_b = (dict(zip(u.tolist(), x.column("seen").take(pa.array(u)).to_pylist(), strict=True)) for x, u in ((left, np.unique(open_[:, 0])), (right, np.unique(open_[:, 1]))))
+                for p, q in open_.tolist():
+                    keep[p, q] = _touch(seen_a[p], seen_b[q])
+            i, j = np.nonzero(keep)
+        games = (left if len(left) else right).column(game).take(pa.array(np.zeros(len(i), int)))
+        return pa.table({game: games, "a": a.take(pa.array(i)), "b": b.take(pa.array(j))})
+
+    schema = f"{game} {kinds[game].dataType.simpleString()}, a {kinds[track].dataType.simpleString()}, b {kinds[track].dataType.simpleString()}"
+    return _in_groups(dealt(earlier, "_i", "_j"), dealt(later, "_j", "_i"), keys, run, schema)
 
 
 def _touch(a: list[dict], b: list[dict]) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from matchlake import catalog
@@ -247,3 +248,30 @@ def test_queries_equal_the_loop(spark):
     assert {(r["game"], r["track"], r["cluster"]) for r in got} == want and len(got) > 100
     out = catalog.queries()["roster_identities"](spark, d).collect()
     assert {(r["game"], r["cluster"], r["final"], r["likely_non_player"]) for r in out} == capped
+
+
+def test_possible_links_in_squares_against_all_pairs(spark, monkeypatch):
+    rng, gen = random.Random(2), np.random.default_rng(2)
+    boxes, looks = [], []
+    for g in range(2):
+        for t in range(30):
+            start, kind = rng.randrange(6000), rng.randrange(6)
+            boxes += [(g, t, f, 0.0, 0.0, 60.0, 150.0, rng.choice([4.0, 4.5, 12.0]), 4.0) for f in range(start, start + rng.choice([3, 9, 2500]), rng.choice([1, 7, 20]))]
+            looks += [(g, t, rng.randrange(3), 1.0, v.tolist()) for v in gen.normal(size=(rng.choice([0, 2, 3]), 3)) + np.eye(6)[kind][:3] * 4]
+    looks = [(*r[:4], (np.array(r[4]) / np.linalg.norm(r[4])).tolist()) for r in looks]
+    b = spark.createDataFrame(boxes, "game int, track int, frame int, x1 double, y1 double, x2 double, y2 double, u double, v double")
+    v = spark.createDataFrame(looks, "game int, track int, shape int, isolation double, vector array<double>")
+    rules = identity.Rules.of(None)._replace(frames=1, in_play=0.0)
+    tracks = identity.tracks_of(b, v, "game", "track", "frame", rules)
+    held, want = tracks.collect(), set()
+    for p in held:
+        for q in held:
+            if p.game == q.game and (p.start, p.track) < (q.start, q.track) and q.start <= p.end + identity.GAP:
+                d = [min(1.0, (1 - np.dot(x.vector, y.vector)) / 2 + identity.SHAPE_STEP * abs(x.shape - y.shape)) for x in p.looks or () for y in q.looks or ()]
+                if d and min(d) <= rules.look_most + 1e-9 or identity._touch([s.asDict() for s in p.seen], [s.asDict() for s in q.seen]):
+                    want.add((p.game, p.track, q.track))
+    assert len(want) > 20
+    for size in (256, 4):
+        monkeypatch.setattr(identity, "SQUARE", size)
+        got = [tuple(r) for r in identity.possible_links(tracks, "game", "track", rules).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
